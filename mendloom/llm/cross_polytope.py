@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mendloom.llm.common import materialise
 
-TABLES, PROBES = 8, 10
+TABLES, PROBES = 8, 16
 #: Vectors, or queries, of a bucket that one task holds; larger buckets are cut into blocks.
 BLOCK = 4096
 

@@ -26,21 +26,31 @@ TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|г
 _LATIN, _CYRILLIC = "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va", "ба бе бо ва ве го да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ви"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _SECRET = r"(?i:\b(?:password|passwd|token|secret|api[_-]?key|access[_-]?key))\"?\s{0,3}[=:]\s{0,3}[\"']?"
+_TITLED = rf"(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])\b(?:{TITLES})\.? {_NAME}(?: {_NAME})?"
+_LISTED = rf"(?=[{''.join(sorted({n[0] for n in ' '.join(GIVEN.values()).split()}))}])(?<!\p{{L}})(?:{'|'.join(' '.join(GIVEN.values()).split())}) {_NAME}"
 #: Patterns by type, in order of precedence; each finds whole entities and can't run over a long text twice.
+#: They begin with a look at one character, which settles almost every place of a text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    "secret": _SECRET + r"[A-Za-z0-9_/+.-]{6,200}+|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,80}+",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "name": rf"\b(?:{TITLES})\.? {_NAME}(?: {_NAME})?|(?<!\p{{L}})(?:{'|'.join(' '.join(GIVEN.values()).split())}) {_NAME}",
+    "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
+    "secret": rf"(?=[PpTtSsAa]){_SECRET}[A-Za-z0-9_/+.-]{{6,200}}+|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,80}}+",
+    "ip": r"(?=[0-9])(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
+    "iban": r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "card": r"(?=[0-9])(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
+    "ssn": r"(?=[0-9])(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?=[+(0-9])(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<!-)\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
+    "name": f"{_TITLED}|{_LISTED}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _HEADS = {"secret": _SECRET, "phone": r"^\+\d{1,3}(?=[ .(-])", "name": rf"^(?:{TITLES})\.? "}
 
 
+def has_entity(text: Column) -> Column:
+    """Whether any pattern matches; texts without a sign, a number or a name that all patterns need are settled cheaply."""
+    sign = F.contains(text, F.lit("@")) | F.rlike(text, F.lit(r"[0-9]\.?[0-9]|AKIA|gh[pousr]_")) | F.rlike(text, F.lit(_TITLED)) | F.rlike(text, F.lit(_LISTED))
+    word = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & F.rlike(text, F.lit(f"(?=[PpTtSsAa]){_SECRET}"))
+    return F.coalesce((sign | word) & F.rlike(text, F.lit(ANY)), F.lit(False))
+
+
 def kind_of(found: Column) -> Column:
     """Type of an entity: the first pattern that it matches whole."""
     return F.coalesce(*(F.when(F.rlike(found, F.lit(rf"^(?:{p})$")), F.lit(k)) for k, p in PATTERNS.items()))
@@ -73,58 +83,64 @@ def _spell(text: Column, stream: Column) -> Column:
 
 def _email(core: Column, stream: Column, key: str) -> Column:
     """Local part by the whole address, domain by the domain alone, under the reserved top level ``example``."""
-    domain = F.regexp_replace(F.substring_index(core, "@", -1), r"\.[^.]*$", "")
-    return F.concat(_spell(F.substring_index(core, "@", 1), stream), F.lit("@"), _spell(domain, _stream(key, F.lit("domain"), F.substring_index(core, "@", -1), F.lit(0))), F.lit(".example"))
+    domain = F.substring_index(core, "@", -1)
+    seeded = F.transform(F.array(domain), lambda d: F.struct(d.alias("domain"), _stream(key, F.lit("domain"), d, F.lit(0)).alias("stream")))
+    spelt = F.transform(seeded, lambda d: _spell(F.regexp_replace(d["domain"], r"\.[^.]*$", ""), d["stream"]))
+    return F.concat(_spell(F.substring_index(core, "@", 1), stream), F.lit("@"), spelt[0], F.lit(".example"))
 
 
 def _card(core: Column, stream: Column) -> Column:
     """Digits anew; a number that passes the Luhn check gets a last digit with which it passes again."""
-    spelt = _spell(core, stream)
-    stem, digits = F.substr(spelt, F.lit(1), F.length(spelt) - 1), F.regexp_replace(spelt, r"\D", "")
-    bare = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    last = F.filter(F.array(*(F.lit(str(d)) for d in range(10))), lambda d: F.call_function("luhn_check", F.concat(bare, d)))[0]
-    return F.when(F.call_function("luhn_check", F.regexp_replace(core, r"\D", "")), F.concat(stem, last)).otherwise(spelt)
+    sound = lambda x: F.call_function("luhn_check", F.regexp_replace(x, r"\D", ""))
+    stems = F.transform(F.array(_spell(core, stream)), lambda x: F.struct(x.alias("all"), F.substr(x, F.lit(1), F.length(x) - 1).alias("stem")))
+    ending = lambda x: F.filter(F.array(*(F.concat(x["stem"], F.lit(str(d))) for d in range(10))), sound)[0]
+    return F.transform(stems, lambda x: F.when(sound(core), ending(x)).otherwise(x["all"]))[0]
 
 
 def _name(core: Column, attempt: Column, key: str) -> Column:
     """Listed given names rotate within their gender and script; other parts become made-up words of the same script."""
 
-    def part(word: Column) -> Column:
-        stream = _stream(key, F.lit("name"), word, attempt)
+    def part(p: Column) -> Column:
         made = F.lit(None).cast("string")
         for script, syllables in ((r"\p{IsCyrillic}", _CYRILLIC), ("", _LATIN)):
             listed = F.array(*(F.lit(s) for s in syllables.split()))
-            word_of = F.initcap(F.concat(*(F.get(listed, F.pmod(_draw(stream, F.lit(i)), F.lit(len(syllables.split())))) for i in range(4))))
-            made = F.coalesce(made, F.when(F.rlike(word, F.lit(script)), word_of))
+            word = F.initcap(F.concat(*(F.get(listed, F.pmod(_draw(p["stream"], F.lit(i)), F.lit(len(syllables.split())))) for i in range(4))))
+            made = F.coalesce(made, F.when(F.rlike(p["word"], F.lit(script)), word))
         for names in GIVEN.values():
             listed, n = F.array(*(F.lit(x) for x in names.split())), len(names.split())
             turn = F.pmod(F.xxhash64(F.lit(key), F.lit(names), attempt), F.lit(n - 1)).cast("int") + 1
-            place = F.array_position(listed, word).cast("int")
+            place = F.array_position(listed, p["word"]).cast("int")
             made = F.when(place > 0, F.get(listed, F.pmod(place - 1 + turn, F.lit(n)))).otherwise(made)
         return made
 
-    return F.array_join(F.transform(F.split(core, " "), part), " ")
+    seeded = F.transform(F.split(core, " "), lambda w: F.struct(w.alias("word"), _stream(key, F.lit("name"), w, attempt).alias("stream")))
+    return F.array_join(F.transform(seeded, part), " ")
 
 
-def surrogate(kind: Column, core: Column, attempt: Column, key: str) -> Column:
-    """Replacement of an entity's changing part; from the eighth attempt on it is also longer, so some attempt is free."""
-    stream = _stream(key, kind, core, attempt)
+def _surrogate(kind: Column, core: Column, attempt: Column, stream: Column, key: str) -> Column:
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_draw(stream, i), F.lit(254)) + 1).cast("string")), ".")
     chosen = F.when(kind == "email", _email(core, stream, key)).when(kind == "ip", octets).when(kind == "card", _card(core, stream)).when(kind == "name", _name(core, attempt, key)).otherwise(_spell(core, stream))
     return F.when(attempt < 8, chosen).otherwise(F.concat(chosen, F.substr(stream, F.lit(1), F.lit(12))))
 
 
-def _parts(found: Column) -> Column:
-    kind = kind_of(found)
-    head = head_of(found, kind)
-    return F.struct(kind.alias("kind"), F.substr(found, F.length(head) + 1).alias("core"))
+def surrogates(parts: Column, key: str) -> Column:
+    """Replacements of an array of (head, kind, core, attempt); from the eighth attempt on they are also longer, so some attempt is free."""
+    seeded = F.transform(parts, lambda e: F.struct(e["head"].alias("head"), e["kind"].alias("kind"), e["core"].alias("core"), e["attempt"].alias("attempt"), _stream(key, e["kind"], e["core"], e["attempt"]).alias("stream")))
+    return F.transform(seeded, lambda e: F.concat(e["head"], _surrogate(e["kind"], e["core"], e["attempt"], e["stream"], key)))
+
+
+def parts(found: Column) -> Column:
+    """(head, kind, core) of each of an array of entities: one step after the other, so that each is done once."""
+    kinds = F.transform(found, lambda f: F.struct(f.alias("found"), kind_of(f).alias("kind")))
+    heads = F.transform(kinds, lambda e: F.struct(e["found"].alias("found"), e["kind"].alias("kind"), head_of(e["found"], e["kind"]).alias("head")))
+    return F.transform(heads, lambda e: F.struct(e["head"].alias("head"), e["kind"].alias("kind"), F.substr(e["found"], F.length(e["head"]) + 1).alias("core")))
 
 
 def entities(docs: DataFrame, column: str = "text") -> DataFrame:
     """(kind, core) of every distinct entity of all documents."""
     text = F.col(column)
-    found = docs.where(F.rlike(text, F.lit(ANY))).select(F.explode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("found")).distinct()
-    return found.select(_parts(F.col("found")).alias("p")).select("p.kind", "p.core").distinct()
+    found = docs.where(has_entity(text)).select(F.explode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("found")).distinct()
+    return found.select(F.explode(parts(F.array("found"))).alias("p")).select("p.kind", "p.core").distinct()
 
 
 def retried(found: DataFrame, key: str) -> DataFrame:
@@ -134,7 +150,7 @@ def retried(found: DataFrame, key: str) -> DataFrame:
     """
     known = materialise(found.withColumn("attempt", F.lit(0)), "entities")
     while True:
-        named = known.withColumn("given", surrogate(F.col("kind"), F.col("core"), F.col("attempt"), key))
+        named = known.withColumn("given", surrogates(F.array(F.struct(F.lit("").alias("head"), "kind", "core", "attempt")), key)[0])
         nth = F.row_number().over(Window.partitionBy("kind", "given").orderBy("attempt", "core"))
         real = known.select(F.col("kind").alias("k"), F.col("core").alias("real"))
         hit = named.withColumn("nth", nth).join(real, (F.col("kind") == F.col("k")) & (F.col("given") == F.col("real")), "left")
@@ -157,21 +173,15 @@ def replace_entities(docs: DataFrame, key: str, column: str = "text") -> DataFra
     odd = retried(entities(docs, column), key)
     tries = F.lit(None).cast("map<string,int>")
     if not odd.isEmpty():
-        found = docs.where(F.rlike(text, F.lit(ANY))).select(F.sha2(text, 256).alias("hash"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).alias("found")).distinct()
-        parts = found.select("hash", _parts(F.col("found")).alias("p")).select("hash", "p.kind", "p.core").distinct()
-        of_text = parts.join(odd, ["kind", "core"]).groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "core"), "attempt"))).alias("tries_"))
+        found = docs.where(has_entity(text)).select(F.sha2(text, 256).alias("hash"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).alias("found")).distinct()
+        named = found.select("hash", F.explode(parts(F.array("found"))).alias("p")).select("hash", "p.kind", "p.core").distinct()
+        of_text = named.join(odd, ["kind", "core"]).groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "core"), "attempt"))).alias("tries_"))
         docs = docs.join(of_text.withColumnRenamed("hash", "hash_"), F.sha2(text, 256) == F.col("hash_"), "left").drop("hash_")
         tries = F.col("tries_")
 
-    def new(found: Column) -> Column:
-        p = _parts(found)
-        kind, core = p["kind"], p["core"]
-        attempt = F.coalesce(F.element_at(tries, F.concat_ws("\x1f", kind, core)), F.lit(0))
-        return F.concat(F.substr(found, F.lit(1), F.length(found) - F.length(core)), surrogate(kind, core, attempt, key))
-
     hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.when(h.isNull(), F.lit("")).otherwise(new(h)))), "")
-    any_ = F.coalesce(F.rlike(text, F.lit(ANY)), F.lit(False))
-    out = docs.withColumn("entities", F.when(any_, F.size(hits)).otherwise(0).cast("long")).withColumn(column, F.when(F.col("entities") > 0, joined).otherwise(text))
+    tried = F.transform(parts(hits), lambda e: F.struct(e["head"].alias("head"), e["kind"].alias("kind"), e["core"].alias("core"), F.coalesce(F.element_at(tries, F.concat_ws("\x1f", e["kind"], e["core"])), F.lit(0)).alias("attempt")))
+    joined = F.array_join(F.zip_with(gaps, surrogates(tried, key), lambda g, new: F.concat(g, F.coalesce(new, F.lit("")))), "")
+    out = docs.withColumn("entities", F.when(has_entity(text), F.size(hits)).otherwise(0).cast("long")).withColumn(column, F.when(F.col("entities") > 0, joined).otherwise(text))
     return out.drop("tries_") if "tries_" in out.columns else out
