@@ -8,6 +8,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -161,9 +163,6 @@ def write_archive(pages: DataFrame, base: str, roll: int = ROLL, shard_bytes: in
 
 
 def _shard_of(starts: list[int]):
-    import numpy as np
-    import pandas as pd
-
     edges = np.array(starts[1:], np.int64)
 
     @F.pandas_udf("int")
