@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendloom.sources.scratch import written
+
 
 def in_holdout(key: Column, ratio: float) -> Column:
     """Whether the md5 of a key, read as a fraction, is under ``ratio``; a hex comparison, so it needs no shuffle."""
@@ -24,10 +26,11 @@ def hash_split(df: DataFrame, key: str, ratio: float, holdout: bool) -> DataFram
 def numbered(df: DataFrame, key: Sequence[str], name: str = "row_no") -> DataFrame:
     """Rows numbered from 0 in the order of ``key``, without one task for all of them.
 
-    Sorted ranges are numbered within, and the counts of earlier ranges added.
+    Sorted ranges are numbered within, and the counts of earlier ranges added. The ranges are drawn
+    from a sample that no second run repeats, so they are written before they are counted.
     """
-    ranged = df.repartitionByRange(*key).withColumn("range_", F.spark_partition_id()).sortWithinPartitions(*key)
-    local = ranged.withColumn("nth_", F.row_number().over(Window.partitionBy("range_").orderBy(*key)) - 1)
+    ranged = df.repartitionByRange(*key).withColumn("range_", F.spark_partition_id())
+    local = written(ranged.withColumn("nth_", F.row_number().over(Window.partitionBy("range_").orderBy(*key)) - 1), "ranges")
     sizes = local.groupBy("range_").agg(F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return local.join(F.broadcast(sizes.select("range_", before.alias("before_"))), "range_").withColumn(name, (F.col("nth_") + F.col("before_")).cast("long")).drop("range_", "nth_", "before_")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from mendloom.functions import chat, prompts, text
 from mendloom.operators import rewards, selection, transcripts
 from mendloom.plans import derive
-from mendloom.plans.derive import by_modulus, say, scratch, table
+from mendloom.plans.derive import by_modulus, say, table
 from mendloom.plans.registry import query
 from mendloom.sources import io
+from mendloom.sources.scratch import scratch
 
 DOC, EVT = "documents", "events"
 
