@@ -20,13 +20,37 @@ def no_blocks() -> Column:
     return F.array().cast(BLOCKS)
 
 
-def parse_blocks(x: Column | str) -> Column:
-    """All search/replace blocks of a text, one line end cut from each side; none for null."""
+def parse_blocks(x: Column | str, mode: str = "intended") -> Column:
+    """All search/replace blocks of a text, one line end cut from each side; none for null.
+
+    ``compat`` reads texts by paragraphs instead: see ``paragraph_blocks``.
+    """
+    if mode == "compat":
+        return paragraph_blocks(x)
     x = F.coalesce(col(x), F.lit(""))
     side = lambda i: F.transform(F.regexp_extract_all(x, F.lit(BLOCK), F.lit(i)), lambda s: F.regexp_replace(s, r"\n\z", ""))
     return F.zip_with(side(1), side(2), lambda s, r: F.struct(s.alias("search"), r.alias("replace")))
 
 
+def paragraph_blocks(x: Column | str) -> Column:
+    """Blocks as paragraphs: one a paragraph at most, both sides stripped.
+
+    A text in which a marker line lacks its partners, or a divider line stands before a search marker,
+    has none; so has an ordinary text of several blocks, and code with blank lines is cut apart. Blocks
+    glued together without a blank line are parted between REPLACE and SEARCH.
+    """
+    x = F.coalesce(col(x), F.lit(""))
+    has = lambda p: F.rlike(x, F.lit(p))
+    orphan = (has("=======") & has("REPLACE") & ~has("SEARCH")) | (has("SEARCH") & ~has("=======") & ~has("REPLACE")) | has(r"(?s)=+\n.*?\n<<<+\s*SEARCH")
+    parted = F.split(x, "\n\n", -1)
+    glued = F.split(x, r"(?<=REPLACE)\s*(?=<+\s*SEARCH)", -1)
+    pieces = F.when((F.size(parted) == 1) & (occurrences(x, "SEARCH") > 1), glued).otherwise(parted)
+    piece = r"(?s)SEARCH[^\n]*\n(.*?)=======[^\n]*\n(.*?)[^\n]*REPLACE"
+    side = lambda s, i: F.regexp_replace(F.regexp_extract(s, piece, i), r"^\s+|\s+\z", "")
+    found = F.transform(F.filter(pieces, lambda s: F.rlike(s, F.lit(piece))), lambda s: F.struct(side(s, 1).alias("search"), side(s, 2).alias("replace")))
+    return F.when(orphan, no_blocks()).otherwise(found)
+
+
 def apply_blocks(code: Column | str, blocks: Column | str) -> Column:
     """Code after each block in turn: all places of its search text are replaced; an empty search fills empty code only."""
     step = lambda acc, b: F.when(b["search"] == "", F.when(acc == "", b["replace"]).otherwise(acc)).otherwise(F.replace(acc, b["search"], b["replace"]))
@@ -50,8 +74,8 @@ def hunk_blocks(x: Column | str) -> Column:
     return F.filter(F.transform(F.filter(hunks, lambda h: F.rlike(h, F.lit(r"\S"))), block), lambda b: b["search"] != b["replace"])
 
 
-def format_quality(x: Column | str) -> Column:
-    """How well a text keeps the block format, from 0 to 1."""
+def format_quality(x: Column | str, mode: str = "intended") -> Column:
+    """How well a text keeps the block format, from 0 to 1; ``mode`` is that of ``parse_blocks``."""
     x = col(x)
     has = lambda p: F.rlike(x, F.lit(p))
     n = {w: occurrences(x, w) for w in ("SEARCH", "REPLACE", "=======")}
@@ -59,7 +83,7 @@ def format_quality(x: Column | str) -> Column:
     cost = lambda amount, when: F.when(when, amount).otherwise(0.0)
     base = 1.0 - cost(0.4, n["SEARCH"] == 0) - cost(0.4, n["REPLACE"] == 0) - cost(0.2, (n["======="] == 0) & ~F.contains(x, F.lit("DIVIDER")))
     perfect = has(PERFECT) & (n["SEARCH"] == 1) & (n["REPLACE"] == 1)
-    found = F.size(parse_blocks(x))
+    found = F.size(parse_blocks(x, mode))
     less = (
         cost(0.1, ~F.contains(x, F.lit("<<<<<<< SEARCH")) & has(r"<<+\s*SEARCH"))
         + cost(0.1, ~F.contains(x, F.lit(">>>>>>> REPLACE")) & has(r">>+\s*REPLACE"))

@@ -16,9 +16,9 @@ def categorical(completion: Column | str, answer: Column | str) -> Column:
     return (text.answer_tag(completion) == col(answer)).cast("double")
 
 
-def diff_format(completion: Column | str) -> Column:
+def diff_format(completion: Column | str, mode: str = "intended") -> Column:
     """Format quality of the block inside the answer."""
-    return diffs.format_quality(text.fenced(text.answer_tag(completion)))
+    return diffs.format_quality(text.fenced(text.answer_tag(completion)), mode)
 
 
 def block_pairs(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
@@ -37,9 +37,9 @@ def block_similarity(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     return df.join(mean, key, "left").select(key, F.round(one, 6).alias("similarity"))
 
 
-def diff_similarity(df: DataFrame, key: str, completion: str = "completion", reference: str = "diffs") -> DataFrame:
+def diff_similarity(df: DataFrame, key: str, completion: str = "completion", reference: str = "diffs", mode: str = "intended") -> DataFrame:
     """(key, similarity) of the blocks in an answer and those of the reference."""
-    parsed = df.select(key, diffs.parse_blocks(text.fenced(text.answer_tag(completion))).alias("a"), diffs.parse_blocks(reference).alias("b"))
+    parsed = df.select(key, diffs.parse_blocks(text.fenced(text.answer_tag(completion)), mode).alias("a"), diffs.parse_blocks(reference, mode).alias("b"))
     return block_similarity(parsed, "a", "b", key)
 
 

@@ -41,6 +41,13 @@ def test_format_quality_of_one_two_and_no_blocks(spark):
     assert one(spark, diffs.format_quality("t"), t="") == 0.0
 
 
+def test_blocks_by_paragraphs(spark):
+    block = "<<<<<<< SEARCH\n  a\n=======\nb\n>>>>>>> REPLACE"
+    found = lambda t: [(b.search, b.replace) for b in one(spark, diffs.parse_blocks("t", "compat"), t=t)]
+    assert found(block) == [("a", "b")] and found(f"{block}\n\n{block}") == [] and found("=======\nREPLACE") == []
+    assert one(spark, diffs.format_quality("t", "compat"), t=f"{block}\n\n{block}") == 0.6
+
+
 @pytest.mark.parametrize(("before", "after"), [("a\nb\nc", "a\nx\nc"), ("a\nb", "a\nb\nc"), ("a\nb\nc", "a\nc"), ("", "a"), ("a", ""), ("same", "same")])
 def test_generated_blocks_lead_from_before_to_after(spark, before, after):
     blocks = diffs.changed_blocks(before, after, 1)
