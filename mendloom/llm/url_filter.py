@@ -99,5 +99,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", url
     urls = pages.select("host", "path").where("host <> ''").distinct()
     hits = urls.select("host", "path", asked.alias("asked")).mapInArrow(possible, "host string, path string, listed long")
     exact = hits.join(rules.withColumnRenamed("verdict", "said"), "listed").where("(host = rule_host or endswith(host, concat('.', rule_host))) and startswith(path, rule_path)")
-    best = exact.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "said"), F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), "rule_host")).alias("won"))
-    return pages.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").withColumns({"rule": F.col("won.rule"), "verdict": F.coalesce("won.said", F.lit(otherwise))}).drop("h", "p", "won")
+    best = exact.groupBy(F.col("host").alias("hit_host_"), F.col("path").alias("hit_path_")).agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "said"), F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), "rule_host")).alias("hit_won_"))
+    return pages.join(best, (F.col("host") == F.col("hit_host_")) & (F.col("path") == F.col("hit_path_")), "left").withColumns({"rule": F.col("hit_won_.rule"), "verdict": F.coalesce("hit_won_.said", F.lit(otherwise))}).drop("hit_host_", "hit_path_", "hit_won_")
