@@ -61,8 +61,11 @@ def runs(data: bytes, of: np.ndarray, prefix: int = 0):
 
 
 def shingles(text: str, width: int) -> np.ndarray:
-    """Hashes of every ``width`` consecutive words; of all words together where there are fewer; none for no words."""
-    words = runs(text.encode("utf-8", "surrogatepass"), SOLID)[0]
+    """Hashes of every ``width`` consecutive words; of all words together where there are fewer; none for no words.
+
+    Words are runs of letters and digits, so copies that differ in punctuation share their shingles.
+    """
+    words = runs(text.encode("utf-8", "surrogatepass"), ALNUM)[0]
     n = max(1, len(words) - width + 1) if len(words) else 0
     width = min(width, len(words))
     out = np.full(n, width, np.uint64)
