@@ -142,10 +142,14 @@ class ToxicityModel:
     constant: float
 
     def score(self, docs: DataFrame, column: str = "text") -> DataFrame:
-        """``docs`` with ``score`` from 0 to 1, without a shuffle; null and empty texts are scored as texts without words."""
+        """``docs`` with ``score`` from 0 to 1, without a shuffle; null and empty texts are scored as texts without words.
+
+        Columns named ``score`` or like the model's own (``score_...``) are replaced or dropped.
+        """
+        taken = ["score_features", "score_margin", "score_raw", "score_probability", "score_class"]
+        docs = docs.drop("score", *taken)
         if self.trees is None:
             return docs.withColumn("score", F.lit(self.constant))
-        taken = ["score_features", "score_margin", "score_raw", "score_probability", "score_class"]
         dense = docs.withColumn("score_features", array_to_vector(feature_column(self.lexicon)(F.col(column))))
         scored = self.trees.transform(dense).withColumn("score_margin", vector_to_array("score_raw")[1])
         return self.calibration.transform(scored).drop(*taken)

@@ -236,6 +236,13 @@ def test_toxicity_of_held_out_documents(spark):
     assert (got.predicted == got.toxic).mean() > 0.95
 
 
+def test_toxicity_scores_are_whole_and_clash_with_no_column(spark):
+    at = DATA.replace("0.001", "0.01")
+    model = toxicity.fit(table(spark, at, "documents"), table(spark, at, "labels"))
+    got = {r.doc_id: r.score for r in model.score(docs(spark, *ODD, "you idiot, you pathetic moron").withColumn("score_raw", F.lit(1))).select("doc_id", "score").collect()}
+    assert len(got) == len(ODD) + 1 and all(0 <= s <= 1 for s in got.values()) and got[len(ODD)] > 0.5 > got[0] == got[1]
+
+
 def test_toxicity_on_odd_tables(spark):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark, *ODD), labels)
