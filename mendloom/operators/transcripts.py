@@ -49,6 +49,31 @@ def calls(df: DataFrame, key: str, completion: str = "completion") -> DataFrame:
     return df.select(key, F.posexplode(triples(completion)).alias("pos", "t")).select(key, (F.col("pos") + 1).alias("pos"), "t.*")
 
 
+def matches(df: DataFrame, key: str, completion: str, pattern: str, kind: str) -> DataFrame:
+    """(key, kind, start, end, body): a row per match, offsets by running sums in the order of matches."""
+    x = F.coalesce(F.col(completion), F.lit(""))
+    both = F.arrays_zip(F.split(x, pattern, -1).alias("gap"), F.regexp_extract_all(x, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(x, F.lit(pattern), F.lit(1)).alias("body"))
+    found = df.select(key, F.posexplode(both).alias("nth", "m")).select(key, "nth", F.length("m.gap").alias("gap"), F.length("m.whole").alias("size"), F.col("m.body").alias("body"))
+    order = Window.partitionBy(key).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum("gap").over(order) + F.sum("size").over(order)
+    return found.where("size is not null").select(key, F.lit(kind).alias("kind"), (end - F.col("size")).alias("start"), end.alias("end"), "body")
+
+
+def calls_by_window(df: DataFrame, key: str, completion: str = "completion") -> DataFrame:
+    """The rows of ``calls`` for transcripts of any length: matches become rows, and windows pair them.
+
+    ``calls`` works inside a row, without a shuffle, in time that grows with the square of a transcript.
+    """
+    asked = matches(df, key, completion, CALL, "call").withColumn("at", F.col("end"))
+    said = matches(df, key, completion, RESPONSE, "response").withColumn("at", F.col("start"))
+    order = Window.partitionBy(key).orderBy("at", F.desc("kind"))
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    both = asked.unionByName(said).withColumn("found", F.first(F.when(F.col("kind") == "response", F.col("body")), ignorenulls=True).over(after))
+    valid = both.where("kind = 'call'").withColumn("cmd", command(F.col("body"))).where("cmd is not null")
+    ok = F.coalesce(~F.rlike(F.lower(strip("found")), F.lit(FAILED)), F.lit(False))
+    return valid.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("pos"), "cmd", ok.alias("ok"), F.coalesce("found", F.lit("")).alias("response"))
+
+
 def first_response(events: DataFrame, key: str) -> DataFrame:
     """Forward as-of join over (key, pos, kind, value): each call with the first response after it."""
     after = Window.partitionBy(key).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)

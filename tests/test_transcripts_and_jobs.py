@@ -3,10 +3,11 @@
 import json
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from mendloom.operators import mining, selection, transcripts
-from mendloom.plans import pipelines
+from mendloom.plans import derive, pipelines
 from mendloom.sources import io
 
 
@@ -48,6 +49,14 @@ def test_broken_blank_and_numeric_commands_are_no_calls(spark):
     assert [(r.cmd, r.ok, r.response) for r in found] == [("ls", False, "")]
 
 
+def test_calls_by_rows_and_by_windows_are_the_same(spark):
+    odd = call("ls", None) + "<tool_response>a</tool_response>" + call("rg x", None) + call("cat y", " late ") + "<tool_call>{bad}</tool_call>" + call("end", None)
+    rows = spark.createDataFrame([(1, odd), (2, ""), (3, None)], "id long, completion string")
+    events = derive.transcripts(derive.table(spark, DATA, "events")).withColumnRenamed("session", "id")
+    for frame in (rows, events):
+        assert sorted(map(tuple, transcripts.calls(frame, "id").collect())) == sorted(map(tuple, transcripts.calls_by_window(frame, "id").collect()))
+
+
 def test_functions_are_mined_and_bad_files_skipped(spark):
     good = 'class A:\n    @property\n    def f(self):\n        """Doc."""\n        def g():\n            "inner"\n        return 1\n'
     files = spark.createDataFrame([(1, good), (2, "def ("), (3, None), (4, "")], "file_id long, content string")
