@@ -108,7 +108,10 @@ class _Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.hidden, f"{self.base}/{self.name}")
+            final = f"{self.base}/{self.name}"
+            if self.fs.get_file_info(final).type != pafs.FileType.NotFound:
+                self.fs.delete_file(final)  # of an earlier attempt: the same bytes
+            self.fs.move(self.hidden, final)
             self.done.append((self.name, self.count, self.size, self.sha.hexdigest()))
             self.out, self.part = None, self.part + 1
 
