@@ -105,9 +105,13 @@ def with_fallback(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def recent(stamp: Column, as_of: Column, hours: int) -> Column:
-    """Whether the first three dash-separated parts of a folder name are a time within ``hours`` of ``as_of``; unreadable names aren't."""
+    """Whether the first three dash-separated parts of a folder name are an ISO time within ``hours`` of ``as_of``; unreadable names aren't.
+
+    The time may have dots for colons, which file systems of Hadoop don't take in names.
+    """
     text = F.array_join(F.slice(F.split(stamp, "-"), 1, 3), "-")
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyyMMdd-HHmmss-SSS")) > as_of - F.make_interval(hours=F.lit(hours)), F.lit(False))
+    text = F.regexp_replace(text, r"T(\d\d)\.(\d\d)\.(\d\d)", "T$1:$2:$3")
+    return F.coalesce(F.try_to_timestamp(text) > as_of - F.make_interval(hours=F.lit(hours)), F.lit(False))
 
 
 def pairs_by_hash(df: DataFrame, key: str, flag: str) -> DataFrame:

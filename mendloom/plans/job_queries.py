@@ -75,11 +75,11 @@ def _(spark, d):
     return _curated(spark, d)
 
 
-@query("g10_recovery", "SELECT event_id, 2 AS messages, CAST(-1.0 AS DOUBLE) AS reward, concat('fix ', user_id) AS problem_statement FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 AND date_trunc('millisecond', ts) > (SELECT max(ts) FROM events) - INTERVAL 240 HOUR")
+@query("g10_recovery", "SELECT event_id, 2 AS messages, CAST(-1.0 AS DOUBLE) AS reward, concat('fix ', user_id) AS problem_statement FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 AND date_trunc('second', ts) > (SELECT max(ts) FROM events) - INTERVAL 240 HOUR")
 def _(spark, d):
     events = table(spark, d, EVT)
     k = F.col("event_id")
-    name = F.when(k % 7 == 0, "broken").otherwise(say(F.date_format("ts", "yyyyMMdd-HHmmss-SSS"), "-", k.cast("string")))
+    name = F.when(k % 7 == 0, "broken").otherwise(say(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "-", k.cast("string")))
     talk = say('{"role":"user","content":"fix ', F.col("user_id").cast("string"), '"}\n\n{"role":"assistant","content":"ok"}\n{bad\n{"role":"user","content":"late"}')
     folders = events.select(name.alias("dir"), F.lit('{"model":"m1"}').alias("metadata"), F.when(k % 3 == 0, " ").otherwise("d").alias("diff"), talk.alias("messages"), F.lit("[]").alias("tools"))
     latest = events.agg(F.max("ts").alias("as_of"))

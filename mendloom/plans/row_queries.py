@@ -259,11 +259,11 @@ def _(spark, d):
     return table(spark, d, DOC).where(~F.col("source").eqNullSafe("src1")).select("doc_id")
 
 
-@query("f6_recency", "SELECT event_id FROM events WHERE event_id % 7 <> 0 AND date_trunc('millisecond', ts) > (SELECT max(ts) FROM events) - INTERVAL 240 HOUR")
+@query("f6_recency", "SELECT event_id FROM events WHERE event_id % 7 <> 0 AND date_trunc('second', ts) > (SELECT max(ts) FROM events) - INTERVAL 240 HOUR")
 def _(spark, d):
     events = table(spark, d, EVT)
     latest = events.agg(F.max("ts").alias("as_of"))
-    name = F.when(F.col("event_id") % 7 == 0, "broken-name").otherwise(say(F.date_format("ts", "yyyyMMdd-HHmmss-SSS"), "-", F.col("event_id").cast("string")))
+    name = F.when(F.col("event_id") % 7 == 0, "broken-name").otherwise(say(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "-", F.col("event_id").cast("string")))
     return events.crossJoin(F.broadcast(latest)).where(selection.recent(name, F.col("as_of"), 240)).select("event_id")
 
 

@@ -91,14 +91,14 @@ def test_split_is_disjoint_and_complete(spark):
 
 
 def test_history_folders_on_disk(spark, tmp_path):
-    for name, files in {"20250102-000000-000-a": 4, "20250102-000000-000-b": 3, "20240101-000000-000-c": 4}.items():
+    for name, files in {"2025-01-02T00.30.00-a": 4, "2025-01-02T00.30.00-b": 3, "2024-01-01-c": 4}.items():
         folder = tmp_path / name
         folder.mkdir()
         texts = {"metadata.json": '{"model":"m"}', "diff.txt": "d", "messages.jsonl": '{"role":"user","content":"hi"}\n{bad\n', "tools.json": "[]"}
         for f, t in list(texts.items())[:files]:
             (folder / f).write_text(t)
     got = pipelines.recover(io.history(spark, str(tmp_path)), F.lit("2025-01-02 01:00:00").cast("timestamp"), 5, "m").collect()
-    assert [(r.dir, r.problem_statement, len(r.messages)) for r in got] == [("20250102-000000-000-a", "hi", 1)]
+    assert [(r.dir, r.problem_statement, len(r.messages)) for r in got] == [("2025-01-02T00.30.00-a", "hi", 1)]
 
 
 def test_shards_merge_from_files(spark, tmp_path):
