@@ -32,10 +32,10 @@ _LISTED = rf"(?=[{''.join(sorted({n[0] for n in ' '.join(GIVEN.values()).split()
 #: They begin with a look at one character, which settles almost every place of a text.
 PATTERNS = {
     "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    "secret": rf"(?=[PpTtSsAa]){_SECRET}[A-Za-z0-9_/+.-]{{6,200}}+|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,80}}+",
+    "secret": rf"(?=[PpTtSsAa]){_SECRET}(?:(?<==\s{{0,3}}[\"']?)|(?=[A-Za-z_/+.-]{{0,199}}[0-9]))[A-Za-z0-9_/+.-]{{6,200}}+|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,80}}+",
     "ip": r"(?=[0-9])(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "iban": r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"(?=[0-9])(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
+    "card": r"(?=[0-9])(?<![\w.-])(?:\d{13,19}|[3-6]\d{3}(?:[ -]\d{4}){2}[ -]\d{1,4}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "ssn": r"(?=[0-9])(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?=[+(0-9])(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<!-)\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
     "name": f"{_TITLED}|{_LISTED}",
