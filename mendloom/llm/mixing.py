@@ -80,16 +80,16 @@ def cuts(rows: DataFrame, budgets: DataFrame, levels: Sequence[str], seed: int,
     inside = hashed.join(last, [*levels, "slice"])
     run = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*levels).orderBy("hash", "doc_id")) - F.col("n_tokens")
     point = inside.withColumn("run", run).where("run < rest").groupBy(*levels).agg(F.max(F.struct("hash", "doc_id")).alias("point"))
-    return leaves.join(point, list(levels), "left").select(*levels, "budget", "whole", F.col("point.hash").alias("last_hash"), F.col("point.doc_id").alias("last_id"))
+    return leaves.join(point, list(levels), "left").select(*levels, F.col("whole").alias("mix_whole_"), F.col("point.hash").alias("mix_hash_"), F.col("point.doc_id").alias("mix_id_"))
 
 
 def select(docs: DataFrame, cut: DataFrame, levels: Sequence[str], seed: int) -> DataFrame:
     """``docs`` once for every epoch in which they are chosen, with ``epoch``. The leaf table is joined; no text is ordered."""
-    own = _order(seed, F.col("whole"), F.col("doc_id"))
-    inside = (own < F.col("last_hash")) | ((own == F.col("last_hash")) & (F.col("doc_id") <= F.col("last_id")))
-    many = F.col("whole") + F.coalesce(inside, F.lit(False)).cast("int")
-    met = docs.join(cut.drop("budget"), list(levels)).withColumn("many_", many).where("many_ > 0")
-    return met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("many_") - 1))).drop("many_", "whole", "last_hash", "last_id")
+    own = _order(seed, F.col("mix_whole_"), F.col("doc_id"))
+    inside = (own < F.col("mix_hash_")) | ((own == F.col("mix_hash_")) & (F.col("doc_id") <= F.col("mix_id_")))
+    many = F.col("mix_whole_") + F.coalesce(inside, F.lit(False)).cast("int")
+    met = docs.join(cut, list(levels)).withColumn("mix_many_", many).where("mix_many_ > 0")
+    return met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("mix_many_") - 1))).drop("mix_many_", "mix_whole_", "mix_hash_", "mix_id_")
 
 
 def with_levels(docs: DataFrame, levels: dict[str, Column]) -> DataFrame:

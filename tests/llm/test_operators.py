@@ -273,7 +273,7 @@ def test_surrogates_keep_format_and_replace_everything(spark):
 
 
 def test_scripts_and_clean_texts(spark):
-    clean = [*ODD, "Version 2.0.1 of 12,345 things; see section 3.", "a-b_c 100% = 5: x"]
+    clean = [*ODD, "Version 2.0.1 of 12,345 things; see section 3.", "a-b_c 100% = 5: x", "2001 2002 2003 2004 were years", "the secret: nothing at all"]
     got = surrogates.replace_entities(docs(spark, *clean, "госпожа Анна Иванова"), "k").orderBy("doc_id").collect()
     assert [r.text for r in got[:-1]] == clean and {r.entities for r in got[:-1]} == {0}
     assert __import__("re").fullmatch(r"госпожа [А-Яё][а-яё]+ [А-Я][а-яё]+", got[-1].text) and "Анна" not in got[-1].text
@@ -379,11 +379,12 @@ def test_prefixes_of_seeded_epochs_are_those_of_brute_force(spark):
 
 
 def test_mixture_of_nothing_and_of_null_leaves(spark):
-    frame = docs(spark, *ODD).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    frame = docs(spark, *ODD).withColumns({"whole": F.lit("w"), "budget": F.lit("b"), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     levels = queries.mix_levels()
     for f, least in ((frame, 1), (frame.limit(0), 0)):
         rows_, _, cut = mixing.mix(f, levels, queries.mix_weights(), 1.0, 1, 1)
         assert mixing.select(rows_, cut, list(levels), 1).count() >= least
+        assert mixing.select(mixing.with_levels(f, levels), cut, list(levels), 1).count() >= least
 
 
 # Words and registered queries
