@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mendloom.llm.common import materialise
 
 #: Compressed bytes at which a file is full, and payload bytes that one range of keys should hold.
-ROLL, SHARD = 16 << 20, 64 << 20
+ROLL, SHARD = 16 << 20, 32 << 20
 #: Even cells into which the range of keys is cut for its first histogram.
 CELLS = 1024
 SMALL = 1000
@@ -122,6 +122,7 @@ def write_archive(pages: DataFrame, base: str, roll: int = ROLL, shard_bytes: in
     Pages are sorted by page_id (null first), then url, into shards of key ranges. Of equal payloads of
     at least ``small`` bytes the one of largest page_id is the response, the others are revisits; among
     rows of that same page_id and payload the first is the response. Null html is an empty payload.
+    Payloads are shuffled once: which pages are copies comes as notes, sorted before the pages they are about.
     Files become visible under final names only when complete, a retried task overwrites them with the
     same bytes, and readers see only files of the manifest, which Spark's commit makes visible at once.
     """
@@ -133,17 +134,21 @@ def write_archive(pages: DataFrame, base: str, roll: int = ROLL, shard_bytes: in
     light = materialise(keyed.select("page_id", "digest", (F.col("size") + 512).cast("long").alias("weight")), "payloads")
     starts = range_starts(light.where("page_id is not null"), "page_id", "weight", shard_bytes)
     first = light.where(F.col("weight") >= small + 512).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").select("digest", "response")
-    shard = F.lit(0)
-    if len(starts) > 1:
-        shard = _shard_of(starts)("key")
-    marked = keyed.withColumn("shard", shard).join(first, "digest", "left").select("shard", "page_id", "url", "digest", "payload", "response")
+    shard = _shard_of(starts) if len(starts) > 1 else lambda key: F.lit(0)
+    whole = keyed.select(shard("key").alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("response"))
+    known = light.join(first, "digest").select(F.coalesce("page_id", lowest).alias("key"), "page_id", "digest", "response").distinct()
+    notes = known.select(shard("key").alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "response")
     n = max(1, min(len(starts), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = marked.repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", F.asc_nulls_first("url"))
+    dealt = whole.unionByName(notes).repartitionByRange(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "kind", F.asc_nulls_first("url"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, last, done = None, None, []
+        out, last, noted, done = None, None, (None, None), []
         for batch in batches:
-            for shard_no, page_id, url, digest, body, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard_no, page_id, digest, kind, url, body, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    noted = (page_id, digest), response
+                    continue
+                response = noted[1] if noted[0] == (page_id, digest) else None
                 if out is None or out.shard != shard_no:
                     if out is not None:
                         out.close()
