@@ -98,7 +98,7 @@ def _(spark, d):
     return pipelines.score_task(derive.tagged(table(spark, d, DOC)), "doc_id", scorers)
 
 
-@query("g13_predictions", "SELECT d.doc_id AS instance_id, 'nano-agent-m' AS model_name_or_path, CASE WHEN quality = 1 THEN 'patch' ELSE '' END AS model_patch FROM (SELECT doc_id FROM documents ORDER BY 1 LIMIT 490 OFFSET 10) d LEFT JOIN labels USING (doc_id)")
+@query("g13_predictions", "SELECT d.doc_id AS instance_id, 'agent-m' AS model_name_or_path, CASE WHEN quality = 1 THEN 'patch' ELSE '' END AS model_patch FROM (SELECT doc_id FROM documents ORDER BY 1 LIMIT 490 OFFSET 10) d LEFT JOIN labels USING (doc_id)")
 def _(spark, d):
     results = table(spark, d, "labels").select(F.col("doc_id").alias("instance_id"), F.when(F.col("quality") == 1, "patch").otherwise("").alias("generated_diff"))
     return pipelines.predictions(table(spark, d, DOC).select(F.col("doc_id").alias("instance_id")), results, "m", spec="10:500")

@@ -86,7 +86,7 @@ def select_for_training(rows: DataFrame, reward_min: float = 0.2) -> DataFrame:
     return kept
 
 
-def predictions(inputs: DataFrame, results: DataFrame, model: str, scaffold: str = "nano-agent", spec: str = "") -> DataFrame:
+def predictions(inputs: DataFrame, results: DataFrame, model: str, scaffold: str = "agent", spec: str = "") -> DataFrame:
     """A prediction for every input of the slice, empty where no result has a patch."""
     taken = selection.sliced(inputs.select("instance_id"), ["instance_id"], spec)
     joined = taken.join(results, "instance_id", "left")

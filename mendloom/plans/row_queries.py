@@ -197,9 +197,9 @@ def _(spark, d):
     return docs.select("doc_id", text.first_full(F.when(k == 0, F.coalesce("lang", "source", F.lit("m"))), F.when(k == 1, F.coalesce("source", F.lit("m"))).otherwise(""), F.when(k == 2, "d"), F.lit(None).cast("string")).alias("model_patch"))
 
 
-@query("p13_prediction", "SELECT CAST(doc_id AS VARCHAR) AS instance_id, concat('nano-agent-', source) AS model_name_or_path, lang AS model_patch FROM documents")
+@query("p13_prediction", "SELECT CAST(doc_id AS VARCHAR) AS instance_id, concat('agent-', source) AS model_name_or_path, lang AS model_patch FROM documents")
 def _(spark, d):
-    return table(spark, d, DOC).select(F.col("doc_id").cast("string").alias("instance_id"), say("nano-agent-", F.col("source")).alias("model_name_or_path"), F.col("lang").alias("model_patch"))
+    return table(spark, d, DOC).select(F.col("doc_id").cast("string").alias("instance_id"), say("agent-", F.col("source")).alias("model_name_or_path"), F.col("lang").alias("model_patch"))
 
 
 @query("p14_eval_input", "SELECT doc_id AS instance_id, coalesce(lang, '') AS version FROM documents")
