@@ -1,10 +1,11 @@
 """Nearest neighbours by largest inner product, through cross-polytope hashing.
 
 Unit vectors pass through three rounds of random signs and a fast Hadamard transform; the hash is
-the signed axis nearest to the rotated vector. Every table has its own signs. A query visits the
-``probes`` axes nearest to it in each table (multiprobe) and scores what it meets there exactly.
-Vectors that are not of one length are lifted to a sphere by one more coordinate, which keeps the
-order of inner products.
+the signed axis nearest to the rotated vector, among its first ``COORDINATES``. Every table has its
+own signs. A query visits the axes nearest to it in each table (multiprobe) and scores what it meets
+there exactly; how many is measured on a sample. The hash is of directions alone, so the largest
+products with vectors of about one length are met alike at any length; vectors whose length few
+others have are scored by every query, and so are all rows by a query that meets too few.
 """
 
 from __future__ import annotations
@@ -18,7 +19,14 @@ from pyspark.sql import functions as F
 
 from mendloom.llm.common import materialise
 
-TABLES, PROBES = 8, 16
+#: Tables, axes that a query visits in each at least, and rotated coordinates that make up the axes at most.
+TABLES, PROBES, COORDINATES = 8, 16, 64
+#: Share of the nearest rows of a sample that the visited axes have to hold, and the queries that it is measured on.
+RECALL, MEASURED = 0.975, 128
+#: Bands of length to a factor of two, and all; rows of a band that are scored by every query, also the size of the sample.
+BAND, BANDS, SCANNED = 8, 64, 2048
+#: Bucket of the rows that every query scores.
+SCAN = -1
 #: Vectors, or queries, of a bucket that one task holds; larger buckets are cut into blocks.
 BLOCK = 4096
 
@@ -48,6 +56,31 @@ def axes(rotated: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(-np.take_along_axis(both, near, axis=1), axis=1, kind="stable"), axis=1)
 
 
+def hashes(points: np.ndarray, table: int, probes: int, seed: int = 0) -> np.ndarray:
+    """The ``probes`` nearest axes of each row in one table, nearest first."""
+    return axes(rotations(points, table, seed)[:, :COORDINATES], probes)
+
+
+def needed(sample: np.ndarray, k: int, tables: int = TABLES, seed: int = 0) -> int:
+    """Axes of each table that hold ``RECALL`` of the ``k`` rows nearest by angle to rows of the sample.
+
+    More rows have nearer neighbours, which take fewer axes.
+    """
+    if len(sample) < 2:
+        return 1
+    points = sample / np.linalg.norm(sample, axis=1)[:, None]
+    asked = points[:MEASURED]
+    s = asked @ points.T
+    s[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    k = min(k, len(points) - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    least = np.full(near.shape, 2 * COORDINATES)
+    for t in range(tables):
+        order = np.argsort(hashes(asked, t, 2 * COORDINATES, seed), axis=1)  # place of every axis in a row's order
+        least = np.minimum(least, np.take_along_axis(order, hashes(points, t, 1, seed)[near, 0], axis=1))
+    return int(np.quantile(least, RECALL, method="higher")) + 1
+
+
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """(id, vector) without null ids and without vectors that are null, zero or hold null or non-finite components."""
     v = F.col(column).cast("array<double>")
@@ -55,12 +88,13 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("vector")).where(F.col("id").isNotNull() & sound).distinct()
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = 0) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = 0, scanned: int = SCANNED) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products found for each id divisible by ``every``.
 
     Ties go to the smaller id. Equal vectors are hashed and scored once and expanded at the end, each
     by its ``k + 1`` least ids, which is all that a result can hold. A bucket of any size is scored in
-    blocks. All vectors are of one dimension; those of another than the commonest take no part.
+    blocks. ``probes`` is the least number of axes visited. Bands of ``scanned`` rows at most are scored by
+    every query. All vectors are of one dimension; those of another than the commonest take no part.
     Repeated rows count once, an id with several vectors counts with each; further columns are ignored.
     """
     rows = usable(vectors, key, column)
@@ -69,41 +103,45 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     rows = rows.where(F.size("vector") == dimension)
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("nth") <= k + 1)
     groups = materialise(ranked.groupBy("vector").agg(F.min("id").alias("rep"), F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
-    longest = groups.agg(F.max(F.aggregate(F.col("vector"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] or 1.0
+    square = F.aggregate(F.col("vector"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    longest = groups.agg(F.max(square)).first()[0] or 1.0
+    band = F.least(F.floor(F.log2(F.lit(longest) / F.greatest(square, F.lit(1e-300))) * (BAND / 2)), F.lit(BANDS - 1)).cast("int")
+    dense = [r.band for r in groups.groupBy(band.alias("band")).count().where(F.col("count") > scanned).collect()]
+    hashing = band.isin(dense) if dense else F.lit(False)
+    if dense:
+        sample = groups.where(hashing).orderBy(F.xxhash64("rep", "vector"), "rep").limit(SCANNED).select("vector").toArrow()
+        flat = sample.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        probes = max(probes, needed(flat.reshape(-1, dimension), k, tables, seed))
     asked = rows.where(F.col("id") % every == 0)
     queries = materialise(asked.join(groups.select("vector", "rep"), "vector").select(F.col("id").alias("query_id"), "rep"), "queries")
     wanted = groups.join(queries.select("rep").distinct(), "rep", "left_semi")
 
-    def hashed(side: str, tried: int):
+    def hashed(tried: int):
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
                     flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dimension)
-                    square = (flat * flat).sum(axis=1)
-                    lift = np.sqrt(np.maximum(0.0, longest - square)) if side == "v" else np.zeros(len(flat))
-                    lifted = np.concatenate([flat, lift[:, None]], axis=1) if uneven else flat
                     for table in range(tables):
-                        near = axes(rotations(lifted, table, seed), tried)
+                        near = hashes(flat, table, tried, seed)
                         take = np.repeat(np.arange(part.num_rows), near.shape[1])
                         yield pa.RecordBatch.from_arrays([pa.array(table * 65536 + near.ravel(), pa.int32()), part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take))], names=["bucket", "rep", "vector"])
 
         return emit
 
-    shortest = groups.agg(F.min(F.aggregate(F.col("vector"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] or 1.0
-    uneven = longest - shortest > 1e-4 * longest
     kind = dict(groups.dtypes)["vector"]
-    v = groups.select("rep", "vector").mapInArrow(hashed("v", 1), f"bucket int, rep long, vector {kind}")
-    q = wanted.select("rep", "vector").mapInArrow(hashed("q", probes), f"bucket int, rep long, vector {kind}")
-    sizes = materialise(v.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks")).join(q.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "bucket"), "buckets")
-    some = F.broadcast(sizes)  # tables x axes rows at most
-
-    def placed(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
+    whole = lambda side: side.select(F.lit(SCAN).alias("bucket"), "rep", "vector")
+    v, q = whole(groups.where(~hashing)), whole(wanted)
+    if dense:
+        form = f"bucket int, rep long, vector {kind}"
+        v = v.unionByName(groups.where(hashing).select("rep", "vector").mapInArrow(hashed(1), form))
+        q = q.unionByName(wanted.select("rep", "vector").mapInArrow(hashed(probes), form))
+
+    def placed(side: DataFrame, some: DataFrame, own: str, other: str, name: str) -> DataFrame:
         cut = side.join(some, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), own).cast("int"))
         cut = cut.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         return cut.select("bucket", F.col("mine" if name == "v" else "theirs").alias("vb"), F.col("theirs" if name == "v" else "mine").alias("qb"), F.lit(name).alias("side"), "rep", "vector")
 
-    both = placed(v, "v_blocks", "q_blocks", "v").unionByName(placed(q, "q_blocks", "v_blocks", "q"))
     kept = k + 1
 
     def score(group: pa.Table) -> pa.Table:
@@ -127,11 +165,28 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
         a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"asked": pa.array(a, pa.int64()), "met": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    met = both.groupBy("bucket", "vb", "qb").applyInArrow(score, "asked long, met long, score double")
-    met = met.groupBy("asked", "met").agg(F.max("score").alias("score"))
-    best = met.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "met"))).where(F.col("nth") <= kept)
-    best = best.join(groups.select(F.col("rep").alias("met"), "ids"), "met").select("asked", F.explode("ids").alias("vec_id"), "score")
-    best = best.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= kept)
-    found = queries.join(best, queries.rep == best.asked).where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    def ranked_of(v: DataFrame, q: DataFrame) -> DataFrame:
+        """The ranked results of the rows that the two sides meet in one bucket."""
+        cut = lambda side, name: side.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        sizes = materialise(cut(v, "v_blocks").join(cut(q, "q_blocks"), "bucket"), "buckets")
+        some = F.broadcast(sizes)  # tables x axes rows at most
+        both = placed(v, some, "v_blocks", "q_blocks", "v").unionByName(placed(q, some, "q_blocks", "v_blocks", "q"))
+        met = both.groupBy("bucket", "vb", "qb").applyInArrow(score, "asked long, met long, score double")
+        met = met.groupBy("asked", "met").agg(F.max("score").alias("score"))
+        best = met.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "met"))).where(F.col("nth") <= kept)
+        best = best.join(groups.select(F.col("rep").alias("met"), "ids"), "met").select("asked", F.explode("ids").alias("vec_id"), "score")
+        best = best.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= kept)
+        found = queries.join(best, queries.rep == best.asked).where("query_id <> vec_id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+    if not dense:
+        return ranked_of(v, q)
+    first = materialise(ranked_of(v, q), "neighbours")
+    full = first.where(F.col("rank") == k).select("query_id")
+    short = materialise(queries.join(full, "query_id", "left_anti"), "short")
+    if short.isEmpty():
+        return first
+    second = ranked_of(whole(groups), whole(groups.join(short.select("rep").distinct(), "rep", "left_semi")))
+    ids = short.select("query_id").distinct()
+    return first.join(ids, "query_id", "left_anti").unionByName(second.join(ids, "query_id", "left_semi"))

@@ -195,6 +195,35 @@ def test_recall_on_the_given_vectors(spark):
     assert np.mean(hit) >= 0.9
 
 
+def unit(rng, n, d):
+    v = rng.normal(size=(n, d))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(float)
+
+
+def recall(spark, v, **how):
+    got, n = defaultdict(set), len(v)
+    for q, _, i, _ in neighbours(spark, v.tolist(), **how):
+        got[q].add(i)
+    k = min(20, n - 1)
+    assert all(len(got[q]) == k for q in range(0, n, 20))
+    return np.mean([len(set(np.argsort(-np.where(np.arange(n) == q, -np.inf, v @ v[q]))[:k]) & got[q]) / k for q in range(0, n, 20)])
+
+
+def test_recall_with_one_long_vector_few_rows_and_many_dimensions(spark):
+    rng = np.random.default_rng(5)
+    v = unit(rng, 2600, 64)
+    v[1] *= 10
+    assert recall(spark, v) >= 0.95 and recall(spark, v, scanned=100) >= 0.95
+    assert recall(spark, unit(rng, 15, 64)) == 1
+    assert recall(spark, unit(rng, 2200, 768)) >= 0.95
+
+
+def test_a_query_that_meets_nothing_is_scored_against_all(spark):
+    v = np.eye(1, 64) + 0.001 * unit(np.random.default_rng(6), 60, 64)
+    v[0] *= -1
+    assert recall(spark, v, scanned=0) == 1
+
+
 # 5
 
 
