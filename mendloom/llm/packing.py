@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -91,17 +91,23 @@ def best_fit_decreasing(histogram: dict[int, int], window: int = WINDOW) -> tupl
 def tokenizer(path: str):
     """Encoder with the vocabulary of a byte-level BPE file of the ``tokenizers`` library, in tiktoken's faster form.
 
-    Ids equal those of ``tokenizers``; strings of special tokens are ordinary text.
+    Ids equal those of ``tokenizers`` without added special tokens: strings of the file's added tokens
+    are these tokens wherever they stand in a text.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        whole = json.load(f)
+    vocabulary, added = whole["model"]["vocab"], whole.get("added_tokens") or []
+    odd = [t["content"] for t in added if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if odd:
+        raise ValueError(f"added tokens that take in or look at their surroundings: {odd}")
+    special = {t["content"]: t["id"] for t in added}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
-    ranks = {bytes(shown[c] for c in word): i for word, i in vocabulary.items() if all(c in shown for c in word)}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(shown[c] for c in word): i for word, i in vocabulary.items() if word not in special and all(c in shown for c in word)}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -113,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = tokenizer(tokenizer_path).encode_ordinary, TaskContext.get().partitionId()
+        encode, part = partial(tokenizer(tokenizer_path).encode, allowed_special="all"), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         for batch in batches:
             rows = []

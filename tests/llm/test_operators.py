@@ -375,6 +375,15 @@ def test_packed_pieces_hold_every_id_once(spark):
     assert packing.pack(docs(spark, "a").limit(0), queries.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "a<|endoftext|><|endoftext|>\n <|endoftext|", "<|endoftext|>", "x  <|endoftext|>  y"])
+def test_strings_of_added_tokens_are_these_tokens(spark, text):
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(queries.tokenizer_path()).encode(text, add_special_tokens=False).ids, 1]
+    got = packing.pack(docs(spark, text), queries.tokenizer_path()).first()
+    assert 50256 in ids and (got.doc_tokens, got.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 # 10
 
 
