@@ -22,26 +22,38 @@ GIVEN = {
     "male cyrillic": "Иван Пётр Павел Сергей Алексей Дмитрий Михаил Николай",
 }
 #: Titles that announce a name.
-TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|господин|госпожа"
+TITLES = "Mr|Mrs|Ms|Miss|Mx|Sir|Dr|Dra|Doctor|Doktor|Docteur|Prof|Professor|Herr|Herrn|Frau|Fräulein|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señora|Señor|Señorita|Srta|Sra|Sr|Don|Doña|господин|госпожа|доктор|профессор"
 _LATIN, _CYRILLIC = "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va", "ба бе бо ва ве го да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ви"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-_SECRET = r"(?i:\b(?:password|passwd|token|secret|api[_-]?key|access[_-]?key))\"?\s{0,3}[=:]\s{0,3}[\"']?"
-_TITLED = rf"(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])\b(?:{TITLES})\.? {_NAME}(?: {_NAME})?"
-_LISTED = rf"(?=[{''.join(sorted({n[0] for n in ' '.join(GIVEN.values()).split()}))}])(?<!\p{{L}})(?:{'|'.join(' '.join(GIVEN.values()).split())}) {_NAME}"
+_MORE = rf"(?: (?:(?:von|van|zu|de|da|do|di|du|del|der|den|la|le) ){{0,2}}{_NAME})"
+_SECRET = r"(?i:(?:pass(?:word|wd)|token|secret|a(?:pi|ccess)[_-]?key)[A-Za-z0-9_-]{0,64}+)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+#: A secret follows an equals sign, or the colon of a quoted key and a quoted value, or has a digit; it ends at its closing quote or at white space.
+_PLAIN = r"(?<==\s{0,3}[\"']?)|(?<=[\"']\s{0,3}:\s{0,3}[\"'])"
+_QUOTED = "|".join(rf"(?<={q})(?:{_PLAIN}|(?=[^{q}\n]*?[0-9]))[^{q}\n]{{6,}}+(?={q}|$)" for q in ('"', "'"))
+_VALUE = rf"(?:{_QUOTED}|(?:{_PLAIN}|(?=[^\s\"']*?[0-9]))[^\s\"']{{5,}}[^\s\"'`,;.:!?)\]}}>])"
+_TITLED = rf"(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])\b(?:(?:{TITLES})\.? ){{1,3}}(?:(?:von|van|zu|de|da|do|di|du|del|der|den|la|le) ){{0,2}}{_NAME}{_MORE}{{0,2}}"
+_LISTED = rf"(?=[{''.join(sorted({n[0] for n in ' '.join(GIVEN.values()).split()}))}])(?<!\p{{L}})(?:{'|'.join(' '.join(GIVEN.values()).split())}){_MORE}{{1,2}}"
+#: International numbers, area codes in brackets, ten digits, national numbers in pairs, after an area code, in one piece, and Spanish ones.
+_PHONES = (
+    r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d{2,4}|\d(?=(?:[ .-]?\d){6}))(?:[ .-]?\d{2,4}){1,4}(?!\w)",
+    r"\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\w)",
+    r"\(0\d{1,5}\) ?\d{3,8}(?:[ /-]\d{2,8}){0,3}(?![\w-])",
+    r"(?<![/-])(?:\d{3}[ .-]\d{3}[ .-]\d{4}|0[1-9](?:[ .-]\d{2}){4}|0[1-9](?=(?:[ /-]?\d){6})\d{1,3}[ /-]\d{3,8}(?:[ -]\d{2,5}){0,3}|0[1-9]\d{8,9}|[6-9]\d\d(?: \d\d){3}|9\d \d{3} \d\d \d\d)(?![\w-])",
+)
 #: Patterns by type, in order of precedence; each finds whole entities and can't run over a long text twice.
 #: They begin with a look at one character, which settles almost every place of a text.
 PATTERNS = {
     "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    "secret": rf"(?=[PpTtSsAa]){_SECRET}(?:(?<==\s{{0,3}}[\"']?)|(?=[A-Za-z_/+.-]{{0,199}}[0-9]))[A-Za-z0-9_/+.-]{{6,200}}+|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,80}}+",
+    "secret": rf"(?=[PpTtSsAa]){_SECRET}{_VALUE}|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,}}+",
     "ip": r"(?=[0-9])(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "iban": r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?=[0-9])(?<![\w.-])(?:\d{13,19}|[3-6]\d{3}(?:[ -]\d{4}){2}[ -]\d{1,4}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "ssn": r"(?=[0-9])(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?=[+(0-9])(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<!-)\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
+    "phone": rf"(?=[+(0-9])(?<![\w.])(?:{'|'.join(_PHONES)})",
     "name": f"{_TITLED}|{_LISTED}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_HEADS = {"secret": _SECRET, "phone": r"^\+\d{1,3}(?=[ .(-])", "name": rf"^(?:{TITLES})\.? "}
+_HEADS = {"secret": f"^{_SECRET}", "phone": r"^(?:\+\d{1,3}(?=[ .(-])|\(?0)", "name": rf"^(?:(?:{TITLES})\.? ){{1,3}}"}
 
 
 def has_entity(text: Column) -> Column:
@@ -57,7 +69,7 @@ def kind_of(found: Column) -> Column:
 
 
 def head_of(found: Column, kind: Column) -> Column:
-    """What stays of an entity: a title, a country code, the word before a secret."""
+    """What stays of an entity: titles, a country code or leading 0, the word before a secret."""
     return reduce(lambda rest, k: F.when(kind == k, F.regexp_extract(found, _HEADS[k], 0)).otherwise(rest), _HEADS, F.lit(""))
 
 
@@ -75,9 +87,9 @@ def _pick(stream: Column, i: Column, chars: str) -> Column:
 
 
 def _spell(text: Column, stream: Column) -> Column:
-    """Every digit and letter replaced by one of its own kind; all else stays."""
+    """Every digit and letter replaced by one of its own kind, characters beyond ASCII by small letters; all else stays."""
     ranges = (("0", "9", "0123456789"), ("a", "z", "abcdefghijklmnopqrstuvwxyz"), ("A", "Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    one = lambda c, i: reduce(lambda rest, r: F.when((c >= r[0]) & (c <= r[1]), _pick(stream, i, r[2])).otherwise(rest), ranges, c)
+    one = lambda c, i: reduce(lambda rest, r: F.when((c >= r[0]) & (c <= r[1]), _pick(stream, i, r[2])).otherwise(rest), ranges, F.when(c > "\x7f", _pick(stream, i, ranges[1][2])).otherwise(c))
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
@@ -111,7 +123,7 @@ def _name(core: Column, attempt: Column, key: str) -> Column:
             turn = F.pmod(F.xxhash64(F.lit(key), F.lit(names), attempt), F.lit(n - 1)).cast("int") + 1
             place = F.array_position(listed, p["word"]).cast("int")
             made = F.when(place > 0, F.get(listed, F.pmod(place - 1 + turn, F.lit(n)))).otherwise(made)
-        return made
+        return F.when(F.rlike(p["word"], F.lit(r"^\p{Ll}")), p["word"]).otherwise(made)
 
     seeded = F.transform(F.split(core, " "), lambda w: F.struct(w.alias("word"), _stream(key, F.lit("name"), w, attempt).alias("stream")))
     return F.array_join(F.transform(seeded, part), " ")

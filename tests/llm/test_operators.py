@@ -301,6 +301,29 @@ def test_surrogates_keep_format_and_replace_everything(spark):
     assert surrogates.replace_entities(docs(spark, PRIVATE), "other").first().text != first
 
 
+SECRETS = [
+    *(f'{k} "{v}" end' for k, v in (("token =", "aZ9" * 100), ("client_secret=", "abcdefgh"), ("auth_token=", "a b c d e f"), ("\"password\":", "correcthorse"))),
+    *(f"{k}{v} end" for k, v in (("DB_PASSWORD=", "hunter22"), ("aws_secret_access_key = ", "wJalrXUtnFEMI/K7MDENG+bPx"), ("access_token: ", "abc123def"), ("secret_key = ", "s3cr3tkey"), ("password=", "Tr0!ub4dor&3"), ("password=", "пароль9x"), ("x ", "ghp_" + "b7" * 60))),
+]
+PHONES = ["030 1234567", "0171-2345678", "06 12 34 56 78", "(030) 123456", "+33 6 12 34 56 78", "555 123 4567", "0171 234 5678", "612 34 56 78", "+1 (555) 123-4567", "+49 30 1234567"]
+NAMES = ["Dr. Ada Quill", "Prof. Dr. Ada Quill", "Mr Ada Brisk Quill", "Mary Ada Quill", "Frau von Quill", "Maria de la Quill"]
+
+
+def test_private_forms(spark):
+    texts = [*SECRETS, *(f"call {p}, end" for p in PHONES), *(f"met {n}, end" for n in NAMES)]
+    got = [r for r in surrogates.replace_entities(docs(spark, *texts), "k").orderBy("doc_id").collect()]
+    assert [t for t, r in zip(texts, got, strict=True) if r.entities != 1] == []
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    for text, r in zip(texts, got, strict=True):
+        assert len(r.text) == len(text) or text.startswith("met ")
+        assert r.text.endswith("end") and not {"Ada", "Brisk", "Quill"} & set(r.text.replace(",", "").split())
+        assert text.startswith("met ") or (digits(r.text)[-5:] or "-") != digits(text)[-5:] or r.text != text
+    assert all(r.text.split('"')[-2][-100:] != "aZ9" * 100 for r in got[:1]) and "aZ9aZ9" not in got[0].text
+    assert "пароль" not in got[9].text and "correcthorse" not in got[3].text and "b7b7" not in got[10].text and "ub4dor" not in got[8].text
+    clean = ["01.02.2003 and 03/04/2005", "on 2001-02-03 at 04:05", "tokens: none here", "a 100 200 300 b", "the secrets: nothing 7", "03 04 2005"]
+    assert [r.text for r in surrogates.replace_entities(docs(spark, *clean), "k").orderBy("doc_id").collect()] == clean
+
+
 def test_scripts_and_clean_texts(spark):
     clean = [*ODD, "Version 2.0.1 of 12,345 things; see section 3.", "a-b_c 100% = 5: x", "2001 2002 2003 2004 were years", "the secret: nothing at all"]
     got = surrogates.replace_entities(docs(spark, *clean, "госпожа Анна Иванова"), "k").orderBy("doc_id").collect()
