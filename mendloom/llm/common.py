@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +18,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where none is named (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Only a local master may do without: it gets a temporary folder, removed at exit."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="spark-shared-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return "file://" + _local[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, which ``release`` removes."""
+    _tables.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
+def held() -> int:
+    """How many scratch tables there are: a mark for ``release``."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Sequence[str] = ()) -> None:
+    """Remove the scratch tables made since a mark, but those in ``keep``. What reads them must have been written or collected."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in [p for p in _tables[since:] if p not in keep]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _tables.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
