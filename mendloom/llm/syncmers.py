@@ -7,17 +7,19 @@ That depends on the k-mer alone, so an edit changes only the anchors that overla
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mendloom.llm.words import mix
 
-K, S, KEPT = 16, 6, 128
+#: Length of an anchor and of its inner pieces; anchors kept of any text, and one in how many beyond those.
+K, S, KEPT, SAMPLED = 16, 6, 128, 8
+_LIMIT = (1 << 32) // SAMPLED
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,20 +54,48 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str, kept: int = KEPT, k: int = K, s: int = S) -> np.ndarray:
-    """The ``kept`` least distinct anchor hashes, ascending: a bounded sample of all anchors."""
-    return np.unique(anchors(text, k, s)[1])[:kept]
+    """Anchor hashes that stand for a text, in text order, each where it comes first.
+
+    Kept are the hashes under one in ``SAMPLED`` of their range, and the ``kept`` least in any case: all
+    of a short text, an eighth of a long one, the same ones wherever an anchor occurs.
+    """
+    at, found = anchors(text, k, s)
+    found, first = np.unique(found, return_index=True)
+    many = max(kept, int(np.searchsorted(found, _LIMIT)))
+    return found[:many][np.argsort(at[first[:many]], kind="stable")]
+
+
+def _complete_to(a: np.ndarray, kept: int) -> int:
+    """The sketch has every anchor of its text up to this hash."""
+    return (1 << 32) - 1 if len(a) < kept else max(int(a.max()), _LIMIT - 1)
+
+
+def _rising(places: np.ndarray) -> int:
+    """Length of the longest rising run of places, others left out."""
+    tails: list[int] = []
+    for x in places.tolist():
+        i = bisect_left(tails, x)
+        tails[i : i + 1] = [x]
+    return len(tails)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """Share of common anchors among the least ``kept`` of the union; 1 for two empty sketches."""
-    union = np.union1d(a, b)[:kept]
-    if not len(union):
+    """Share of anchors that both texts have in one order, among the anchors of either; 1 for two empty sketches.
+
+    Only hashes up to which both sketches are complete count, so it is an unbiased estimate of the share over
+    all anchors: exact under ``kept`` anchors, else with a standard error of 0.5 / sqrt(kept) = 0.044 at most,
+    less for longer texts.
+    """
+    upto = min(_complete_to(a, kept), _complete_to(b, kept))
+    a, b = a[a <= upto], b[b <= upto]
+    if not len(a) and not len(b):
         return 1.0
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
+    common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return _rising(j[np.argsort(i)]) / (len(a) + len(b) - len(common))
 
 
 def render(fingerprint: np.ndarray) -> str:
-    """Hexadecimal, eight digits an anchor."""
+    """Hexadecimal, eight digits an anchor, in text order."""
     return fingerprint.astype(">u4").tobytes().hex()
 
 
@@ -84,29 +114,65 @@ def syncmer_anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def with_successor(docs: DataFrame, buckets: int) -> tuple[DataFrame, int]:
-    """Rows dealt into ranges of descending doc_id, each range ending with a copy of the next range's first row.
+def _order(key: np.ndarray, digests: list[bytes]) -> np.ndarray:
+    """24 bytes a row that sort as descending ids, then digests of the text."""
+    out = np.empty((len(key), 24), np.uint8)
+    out[:, :8] = (~key.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 8:] = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+    return out.view("S24").ravel()
+
 
-    Range starts are approximate quantiles, which are ids that occur, so the row to copy is known by
-    its id. At most ``buckets`` numbers reach the driver; the texts are shuffled once.
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key, digest): null ids last in descending order, null texts empty, a digest that orders equal ids."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "digest": F.unhex(F.md5(F.encode("text", "UTF-8")))})
+
+
+def range_starts(rows: DataFrame, buckets: int) -> np.ndarray:
+    """First rows, as sortable bytes, of ranges of about equal size in the order of ``_order``.
+
+    Spark draws the ranges over (key, digest) without texts, equal rows counted once; each start is the
+    least row of a range, so it is a row that occurs. ``buckets`` of them reach the driver.
     """
-    lowest = -(1 << 63)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"))
-    shares = [i / buckets for i in range(1, buckets)] or [0.5]
-    found = docs.agg(F.percentile_approx("key", shares, 10 * buckets).alias("starts"), F.max("key").alias("top")).first()
-    if found.top is None:
-        return docs.withColumns({"tail": F.lit(0), "bucket": F.lit(0)}), 0
-    starts = np.unique(np.array([*found.starts, found.top], np.int64))
+    light = rows.select("key", "digest").distinct().repartitionByRange(buckets, F.desc("key"), F.asc("digest"))
+    least = light.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min(F.struct(F.bitwise_not("key").alias("down"), "digest")).alias("least"))
+    found = [(-r.least.down - 1, bytes(r.least.digest)) for r in least.select("least").collect()]
+    return np.sort(_order(np.array([k for k, _ in found], np.int64), [d for _, d in found])) if found else np.zeros(0, "S24")
+
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def places(key):
-        at = np.searchsorted(starts, key.to_numpy(), side="left")
-        first = starts[at] == key.to_numpy()
-        import pandas as pd
+#: What a row is in its range: one of it, the first row of the next range, or a repeat of a row that the task sent already.
+OWN, TAIL, REPEAT = 0, 1, 2
 
-        return pd.Series([[int(i), int((i + 1) % len(starts))] if f else [int(i)] for i, f in zip(at, first, strict=True)])
 
-    return docs.select("doc_id", "text", "key", F.posexplode(places("key")).alias("tail", "bucket")), len(starts)
+def dealt(rows: DataFrame, starts: np.ndarray) -> DataFrame:
+    """Rows with the range they belong to, each start also at the end of the range before it.
+
+    Of rows that are equal in id and text each task sends one to its range; the others follow one of their
+    like, need no neighbour, and are dealt over all ranges.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            order = _order(batch.column("key").to_numpy(), batch.column("digest").to_pylist())
+            bucket = np.maximum(np.searchsorted(starts, order, side="right") - 1, 0)
+            first = starts[bucket] == order
+            take, where, what = [], [], []
+            for i, (o, at, is_first) in enumerate(zip(order.tolist(), bucket.tolist(), first.tolist(), strict=True)):
+                if o in seen:
+                    sent = [((at + len(seen) + i) % len(starts), REPEAT)]
+                else:
+                    seen.add(o)
+                    sent = [(at, OWN)] + ([((at - 1) % len(starts), TAIL)] if is_first else [])
+                for place, kind in sent:
+                    take.append(i)
+                    where.append(place)
+                    what.append(kind)
+            picked = batch.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(where, pa.int32()), pa.array(what, pa.int32())], names=[*picked.schema.names, "bucket", "kind"])
+
+    return rows.mapInArrow(deal, "doc_id long, text string, key long, digest binary, bucket int, kind int")
 
 
 def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -114,35 +180,46 @@ def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     The edited text has its last third replaced by as much of the head of the next document in
     descending doc_id; the last is followed by the first, a lone document by itself. Null texts are
-    empty. Null ids come last; rows of equal id follow one another by text. Further columns are
-    ignored. An empty table gives an empty result.
+    empty. Null ids come last; rows of equal id follow one another by the md5 of their text, so a hot id
+    is cut into ranges like any other. Repeated rows are kept. Further columns are ignored. An empty
+    table gives an empty result. A range without the row that follows it is an error: no row is lost unseen.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt, _ = with_successor(docs, min(50_000, buckets or 8 * n))
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), "text").select("bucket", "tail", "doc_id", "text")
+    rows = keyed(docs)
+    starts = range_starts(rows, min(50_000, buckets or 8 * n))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    if not len(starts):
+        return spark.createDataFrame([], RESULT)
+    whole = dealt(rows, starts).repartition(n, "bucket").sortWithinPartitions("bucket", "kind", F.desc("key"), "digest").select("bucket", "kind", "doc_id", "text")
 
     def pairs(batches: Iterator[pa.RecordBatch]):
         held = None
         for batch in batches:
-            for bucket, tail, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = (bucket, tail, key, text, sketch(text))
-                if held and held[0] == bucket and not held[1]:
+            for bucket, kind, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = (bucket, kind, key, text, sketch(text))
+                if held and (held[0] != bucket or kind == REPEAT):
+                    raise RuntimeError(f"range {held[0]} has no following row")
+                if held:
                     yield held, row
-                held = row
+                if kind == REPEAT:
+                    yield row, row
+                held = row if kind == OWN else None
+        if held:
+            raise RuntimeError(f"range {held[0]} has no following row")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+        rows, size = [], 0
         for (_, _, key, text, own), (_, _, _, other, following) in pairs(batches):
             cut = len(text) // 3
             edited = text[: len(text) - cut] + other[:cut]
             changed = sketch(edited) if edited != text else own
             rows.append((key, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), render(own), render(changed), likeness(own, changed), likeness(own, following)))
-            if len(rows) >= 1000:
+            size += len(own) + len(changed)
+            if len(rows) >= 1000 or size > 1 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                rows = []
+                rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return dealt.mapInArrow(judge, RESULT)
+    return whole.mapInArrow(judge, RESULT)
