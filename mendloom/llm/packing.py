@@ -8,9 +8,10 @@ of lengths alone. Spark counts, ranks and places the pieces.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache, partial
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,18 +88,23 @@ def best_fit_decreasing(histogram: dict[int, int], window: int = WINDOW) -> tupl
     return np.array(out, np.int64).reshape(-1, 5), windows
 
 
+#: Runs of one kind of character beyond which a text goes to ``tokenizers`` itself: they overflow tiktoken's pattern matcher.
+LONG_RUN = 4000
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+
+
 @lru_cache(1)
-def tokenizer(path: str):
-    """Encoder with the vocabulary of a byte-level BPE file of the ``tokenizers`` library, in tiktoken's faster form.
+def encoder(file: bytes) -> Callable[[str], list[int]]:
+    """Function from texts to the ids of a byte-level BPE file of the ``tokenizers`` library, without added special tokens.
 
-    Ids equal those of ``tokenizers`` without added special tokens: strings of the file's added tokens
-    are these tokens wherever they stand in a text.
+    Strings of the file's added tokens are these tokens wherever they stand. Most texts take tiktoken's
+    faster form of the same vocabulary; those with very long runs take the library, whose ids are the same.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        whole = json.load(f)
+    whole, library = json.loads(file), Tokenizer.from_str(file.decode("utf-8"))
     vocabulary, added = whole["model"]["vocab"], whole.get("added_tokens") or []
     odd = [t["content"] for t in added if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
     if odd:
@@ -107,7 +113,20 @@ def tokenizer(path: str):
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
     ranks = {bytes(shown[c] for c in word): i for word, i in vocabulary.items() if word not in special and all(c in shown for c in word)}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_RUN and _RUN.search(text):
+            return library.encode(text, add_special_tokens=False).ids
+        return fast.encode(text, allowed_special="all")
+
+    return encode
+
+
+def tokenizer_file(path: str) -> bytes:
+    """The file, read on the driver: it is a few megabytes, and tasks get its bytes."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -118,8 +137,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
 
+    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer_path))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = partial(tokenizer(tokenizer_path).encode, allowed_special="all"), TaskContext.get().partitionId()
+        encode, part = encoder(sent.value), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         for batch in batches:
             rows = []
@@ -149,9 +170,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int =
     plan, _ = best_fit_decreasing(histogram, window)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     span = max([1, *histogram.values()]) + 1
-    keys = plan[:, 0] * span + plan[:, 1]
+    placed = docs.sparkSession.sparkContext.broadcast((plan, plan[:, 0] * span + plan[:, 1]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, keys = placed.value
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(keys, length * span + rank, side="right") - 1
