@@ -1,39 +1,40 @@
 """Nearest neighbours by largest inner product, through cross-polytope hashing.
 
-Unit vectors pass through three rounds of random signs and a fast Hadamard transform; the hash is
-the signed axis nearest to the rotated vector, among its first ``COORDINATES``. Every table has its
-own signs. A query visits the axes nearest to it in each table (multiprobe) and scores what it meets
-there exactly; how many is measured on a sample. The hash is of directions alone, so the largest
-products with vectors of about one length are met alike at any length; vectors whose length few
-others have are scored by every query, and so are all rows by a query that meets too few.
+Unit vectors pass through three rounds of random signs and a fast Hadamard transform. Groups of rotated
+coordinates are polytopes: each hashes a vector to its nearest signed axis, and the axes of several
+polytopes together are its cell in a table. The number of cells follows that of the rows. A query visits
+the cells nearest to it in every table (multiprobe) and scores what it meets there exactly. How many it
+visits is measured: some queries are scored against all rows, and the cells of their true neighbours are
+ranked. The hash is of directions alone; vectors whose length few others have are scored by every query,
+and so are all rows by a query that meets too few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendloom.llm.common import materialise
 
-#: Tables, axes that a query visits in each at least, and rotated coordinates that make up the axes at most.
-TABLES, PROBES, COORDINATES = 8, 16, 64
-#: Share of the nearest rows of a sample that the visited axes have to hold, and the queries that it is measured on.
-RECALL, MEASURED = 0.975, 128
-#: Bands of length to a factor of two, and all; rows of a band that are scored by every query, also the size of the sample.
+TABLES = 2
+#: (polytopes of a cell, coordinates of each), and the rows from which on they are used: at least 32 a cell.
+SHAPES = [((2, 8), 0), ((2, 16), 32 << 10), ((2, 32), 32 << 12), ((2, 64), 32 << 14), ((4, 8), 32 << 16)]
+#: Share of the true neighbours that the visited cells have to hold, and the queries that it is measured on.
+RECALL, MEASURED = 0.96, 128
+#: Bands of length to a factor of two, and all; rows of a band that are scored by every query.
 BAND, BANDS, SCANNED = 8, 64, 2048
-#: Bucket of the rows that every query scores.
-SCAN = -1
-#: Vectors, or queries, of a bucket that one task holds; larger buckets are cut into blocks.
-BLOCK = 4096
+#: Components of the vectors that a task holds of one block, and how many times more of queries.
+BLOCK, QUERIES = 1 << 20, 4
 
 
 def rotations(points: np.ndarray, table: int, seed: int = 0) -> np.ndarray:
-    """Pseudo-random rotation of the rows for one table, padded to a power of two."""
-    width = 1 << max(1, (points.shape[1] - 1).bit_length())
+    """Pseudo-random rotation number ``table`` of the rows, padded to a power of two of 64 at least."""
+    width = 1 << max(6, (points.shape[1] - 1).bit_length())
     y = np.zeros((len(points), width))
     y[:, : points.shape[1]] = points
     signs = np.random.default_rng([seed, table]).choice([-1.0, 1.0], (3, width))
@@ -48,145 +49,312 @@ def rotations(points: np.ndarray, table: int, seed: int = 0) -> np.ndarray:
     return y
 
 
-def axes(rotated: np.ndarray, probes: int) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each row, nearest first: j for +j, width + j for -j."""
-    both = np.concatenate([rotated, -rotated], axis=1)
-    probes = min(probes, both.shape[1])
-    near = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(near, np.argsort(-np.take_along_axis(both, near, axis=1), axis=1, kind="stable"), axis=1)
+@dataclass(frozen=True)
+class Hashing:
+    """How vectors become cells: tables of ``polytopes`` groups of ``width`` coordinates each."""
 
+    polytopes: int
+    width: int
+    tables: int = TABLES
+    seed: int = 0
 
-def hashes(points: np.ndarray, table: int, probes: int, seed: int = 0) -> np.ndarray:
-    """The ``probes`` nearest axes of each row in one table, nearest first."""
-    return axes(rotations(points, table, seed)[:, :COORDINATES], probes)
+    @property
+    def cells(self) -> int:
+        return (2 * self.width) ** self.polytopes
 
+    def signed(self, points: np.ndarray) -> np.ndarray:
+        """Nearness to every axis: (tables, polytopes, rows, 2 x width), + before -."""
+        found: list[np.ndarray] = []
+        while len(found) < self.tables * self.polytopes:
+            y = rotations(points, len(found), self.seed)
+            found += np.split(y, y.shape[1] // self.width, axis=1)
+        y = np.stack(found[: self.tables * self.polytopes])
+        return np.concatenate([y, -y], axis=2).reshape(self.tables, self.polytopes, len(points), 2 * self.width)
 
-def needed(sample: np.ndarray, k: int, tables: int = TABLES, seed: int = 0) -> int:
-    """Axes of each table that hold ``RECALL`` of the ``k`` rows nearest by angle to rows of the sample.
+    def own(self, signed: np.ndarray) -> np.ndarray:
+        """The cell of every row in every table."""
+        nearest, cell = signed.argmax(axis=3), 0
+        for p in range(self.polytopes):
+            cell = cell * 2 * self.width + nearest[:, p]
+        return cell
 
-    More rows have nearer neighbours, which take fewer axes.
-    """
-    if len(sample) < 2:
-        return 1
-    points = sample / np.linalg.norm(sample, axis=1)[:, None]
-    asked = points[:MEASURED]
-    s = asked @ points.T
-    s[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    k = min(k, len(points) - 1)
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    least = np.full(near.shape, 2 * COORDINATES)
-    for t in range(tables):
-        order = np.argsort(hashes(asked, t, 2 * COORDINATES, seed), axis=1)  # place of every axis in a row's order
-        least = np.minimum(least, np.take_along_axis(order, hashes(points, t, 1, seed)[near, 0], axis=1))
-    return int(np.quantile(least, RECALL, method="higher")) + 1
+    def nearness(self, signed: np.ndarray, table: int, row: int) -> np.ndarray:
+        """Nearness of one query to all cells of a table."""
+        near = np.zeros(1)
+        for p in range(self.polytopes):
+            near = (near[:, None] + signed[table, p, row][None, :]).ravel()
+        return near
+
+    def of_cells(self, signed: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Nearness of the rows of one table (polytopes, rows, axes) to some cells: (rows, cells)."""
+        near, axes = 0.0, 2 * self.width
+        for p in range(self.polytopes):
+            near = near + signed[p][:, cells // axes ** (self.polytopes - 1 - p) % axes]
+        return near
+
+
+def hashing_for(rows: int, tables: int = TABLES, seed: int = 0) -> Hashing:
+    """The hashing for a number of rows."""
+    return Hashing(*[shape for shape, least in SHAPES if rows >= least][-1], tables, seed)
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(id, vector) without null ids and without vectors that are null, zero or hold null or non-finite components."""
+    """(id, vector, mark) without null ids and without vectors that are null, zero or hold null or non-finite components.
+
+    ``mark`` is 128 bits that stand for equal vectors.
+    """
     v = F.col(column).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("vector")).where(F.col("id").isNotNull() & sound).distinct()
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), "vector")), 16, "0")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("vector")).where(F.col("id").isNotNull() & sound)
+    return rows.withColumn("mark", F.unhex(F.concat(half(1), half(2))))
+
+
+def _marks(column: pa.Array) -> np.ndarray:
+    """Marks as rows of two longs."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, 2)
+
+
+def _dense(column: pa.Array, dimension: int) -> np.ndarray:
+    """A list column as rows of doubles, filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), column.value_lengths().to_numpy()
+    if len(flat) == dimension * len(sizes):
+        return flat.reshape(-1, dimension)
+    out = np.zeros((len(sizes), dimension))
+    out[np.arange(dimension)[None, :] < sizes[:, None]] = flat
+    return out
+
+
+def _top(query: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of every query."""
+    order = np.lexsort((tie, -score, query))
+    q = query[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+    return order[np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k]
+
+
+def measured(rows: DataFrame, asked: DataFrame, hashing: Hashing, k: int, dimension: int) -> int:
+    """Cells that a query has to visit in each table to meet ``RECALL`` of its true ``k`` neighbours among ``rows``.
+
+    ``MEASURED`` queries, the same ones in every run, are scored against all rows where these are; a
+    neighbour's rank is that of its cell, in the table where it is nearer.
+    """
+    some = asked.orderBy(F.xxhash64("id", "mark"), "id", "mark").limit(MEASURED).select("id", "vector").toArrow()
+    if not some.num_rows:
+        return 1
+    ids, points = some.column("id").to_numpy(), _dense(some.column("vector"), dimension)
+    sent = rows.sparkSession.sparkContext.broadcast((ids, points))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, points = sent.value
+        signed = hashing.signed(points)
+        sorted_ = {(t, q): np.sort(hashing.nearness(signed, t, q)) for t in range(hashing.tables) for q in range(len(ids))}
+        held = [np.zeros(0, t) for t in (int, float, np.int64, int)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                own, v = part.column(0).to_numpy(), _dense(part.column(1), dimension)
+                s = points @ v.T
+                s[ids[:, None] == own[None, :]] = -np.inf
+                keep = min(k, len(own))
+                q, r = np.nonzero(s >= -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep])
+                q, r = q[s[q, r] > -np.inf], r[s[q, r] > -np.inf]
+                cells = hashing.own(hashing.signed(v))
+                rank = np.full(len(q), hashing.cells)
+                for t in range(hashing.tables):
+                    near = sum(signed[t, p][q, cells[t][r] // (2 * hashing.width) ** (hashing.polytopes - 1 - p) % (2 * hashing.width)] for p in range(hashing.polytopes))
+                    place = np.array([hashing.cells - np.searchsorted(sorted_[t, a], x - 1e-9) for a, x in zip(q.tolist(), near.tolist(), strict=True)], int)
+                    rank = np.minimum(rank, place)
+                held = [np.concatenate(x) for x in zip(held, (q, s[q, r], own[r], rank), strict=True)]
+                held = [x[_top(held[0], held[1], held[2], k)] for x in held] if len(held[0]) else held
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["asked", "score", "id", "rank"])
+
+    met = rows.select("id", "vector").mapInArrow(judge, "asked long, score double, id long, rank long")
+    best = met.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k)
+    ranks = [r["rank"] for r in best.select("rank").collect()]
+    return int(np.quantile(ranks, RECALL, method="higher")) if ranks else 1
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Where the rows of a cell are compared: runs of cells of one table, or a part of one cell, by its first block and their number."""
 
+    first: np.ndarray
+    many: np.ndarray
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = 0, scanned: int = SCANNED) -> DataFrame:
+    def visited(self, cells: np.ndarray) -> np.ndarray:
+        first, many = self.first[cells], self.many[cells]
+        wide = np.flatnonzero(many > 1)
+        return np.unique(np.concatenate([first[many == 1], *(np.arange(first[i], first[i] + many[i]) for i in wide)]))
+
+
+def blocks_of(sizes: np.ndarray, most: int) -> Blocks:
+    """Neighbouring cells together up to ``most`` rows; a larger cell alone, in several blocks. Empty cells have none."""
+    first, many, at, filled = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0, 0
+    for cell in np.flatnonzero(sizes).tolist():
+        n = int(sizes[cell])
+        if filled and filled + n > most:
+            at, filled = at + 1, 0
+        first[cell], many[cell] = at, max(1, -(-n // most))
+        filled += n
+        if n > most:
+            at, filled = at + int(many[cell]), 0
+    return Blocks(first, many)
+
+
+def compared(both: DataFrame, hashing: Hashing | None, cells: int, dimension: int, kept: int) -> DataFrame:
+    """(asked, met, score): marks of queries and of the ``kept`` best vectors that each meets in a block.
+
+    ``both`` has id, vector, mark, and whether the row is searched (``is_v``) and whether it asks (``is_q``).
+    Without a hashing all rows are one cell, which every query visits. A vector is sent once for each
+    table, and once for each set of queries that fills a task; a query once for each block that it visits.
+    """
+    spark, most = both.sparkSession, max(256, BLOCK // dimension)
+    queries, rows = both.agg(F.count_if("is_q"), F.count_if("is_v")).first()
+    sizes = np.array([[rows]])
+    if hashing:
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros((hashing.tables, hashing.cells), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    own = hashing.own(hashing.signed(_dense(batch.column(0).slice(at, 4096), dimension)))
+                    for t in range(hashing.tables):
+                        seen[t] += np.bincount(own[t], minlength=hashing.cells)
+            t, c = np.nonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c), pa.array(seen[t, c])], names=["t", "cell", "n"])
+
+        sizes = np.zeros((hashing.tables, hashing.cells), np.int64)
+        for r in both.where("is_v").select("vector").mapInArrow(count, "t long, cell long, n long").groupBy("t", "cell").agg(F.sum("n").alias("n")).collect():
+            sizes[r.t, r.cell] = r.n  # tables x cells rows at most
+    sent = spark.sparkContext.broadcast([blocks_of(s, most) for s in sizes])
+    parts = max(1, -(-queries // (QUERIES * most)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, seen = sent.value, set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                marks = _marks(part.column(2))
+                signed = hashing.signed(_dense(part.column(1), dimension)) if hashing else None
+                own = hashing.own(signed) if hashing else np.zeros((1, len(marks)), int)
+                out: list[tuple] = []
+                for i, (m, mark, is_v, is_q) in enumerate(zip(marks[:, 0].tolist(), part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                    if is_v and (mark, 0) not in seen:
+                        seen.add((mark, 0))
+                        for t, b in enumerate(blocks):
+                            at = int(b.first[own[t, i]] + m % b.many[own[t, i]])
+                            out += [(t, at, p, i, False, -np.inf) for p in range(parts)]
+                    if is_q and (mark, 1) not in seen:
+                        seen.add((mark, 1))
+                        for t, b in enumerate(blocks):
+                            near = hashing.nearness(signed, t, i) if hashing else np.zeros(1)
+                            last = len(near) - min(cells, len(near))
+                            cut = float(np.partition(near, last)[last]) - 1e-9
+                            out += [(t, at, m % parts, i, True, cut) for at in b.visited(np.flatnonzero((near >= cut) & (b.many > 0))).tolist()]
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                rows = pa.array(cols[3], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.float64()), *(part.column(i).take(rows) for i in (0, 1, 2))], names=["t", "block", "part", "asks", "cut", "id", "vector", "mark"])
+
+    def best(found: list[list[np.ndarray]], tie: np.ndarray, n: int):
+        a, b, c = (np.concatenate(x) for x in found)
+        top = _top(a, c, tie[b], kept)
+        a, b, c = a[top], b[top], c[top]
+        floor, many = np.full(n, -np.inf), np.bincount(a, minlength=n)
+        full = many == kept
+        floor[full] = c[(np.cumsum(many) - 1)[full]]
+        return [[a], [b], [c]], floor
+
+    def score(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        table, asks, ids, marks = group.column("t")[0].as_py(), group.column("asks").to_numpy(), group.column("id").to_numpy(), _marks(group.column("mark"))
+
+        def side(which: np.ndarray) -> np.ndarray:
+            """Rows of one side, one of each mark: that of least id."""
+            at = np.flatnonzero(which)
+            at = at[np.lexsort((ids[at], marks[at, 1], marks[at, 0]))]
+            return at[np.r_[True, (marks[at][1:] != marks[at][:-1]).any(axis=1)]] if len(at) else at
+
+        v, q = side(~asks), side(asks)
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if len(v) and len(q):
+            vectors, asked = (_dense(group.column("vector").take(pa.array(x)), dimension) for x in (v, q))
+            cell = hashing.own(hashing.signed(vectors))[table] if hashing else np.zeros(len(v), int)
+            order = np.lexsort((ids[v], cell))
+            v, vectors, cell = v[order], vectors[order], cell[order]
+            names, first = np.unique(cell, return_index=True)
+            visits = hashing.of_cells(hashing.signed(asked)[table], names) >= group.column("cut").to_numpy()[q][:, None] if hashing else np.ones((len(q), 1), bool)
+            floor, size = np.full(len(q), -np.inf), 0
+            for c, (low, high) in enumerate(zip(first, [*first[1:], len(v)], strict=True)):
+                visitors = np.flatnonzero(visits[:, c])
+                step = max(1, (1 << 21) // (high - low))
+                for at in range(0, len(visitors), step):
+                    who = visitors[at : at + step]
+                    s = asked[who] @ vectors[low:high].T
+                    x, y = np.nonzero(s >= floor[who][:, None])
+                    for column, values in zip(found, (who[x], low + y, s[x, y]), strict=True):
+                        column.append(values)
+                    size += len(x)
+                    if size > 1 << 21:
+                        found, floor = best(found, ids[v], len(q))
+                        size = len(found[0][0])
+            found, _ = best(found, ids[v], len(q))
+        a, b = (pa.array(side_[x[0]]) for side_, x in ((q, found[0]), (v, found[1])))
+        return pa.table({"asked": group.column("mark").take(a), "met": group.column("mark").take(b), "score": pa.array(found[2][0])})
+
+    kind = dict(both.dtypes)["vector"]
+    dealt = both.select("id", "vector", "mark", "is_v", "is_q").mapInArrow(place, f"t long, block long, part long, asks boolean, cut double, id long, vector {kind}, mark binary")
+    return dealt.groupBy("t", "block", "part").applyInArrow(score, "asked binary, met binary, score double")
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", tables: int = TABLES, seed: int = 0, scanned: int = SCANNED) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products found for each id divisible by ``every``.
 
-    Ties go to the smaller id. Equal vectors are hashed and scored once and expanded at the end, each
-    by its ``k + 1`` least ids, which is all that a result can hold. A bucket of any size is scored in
-    blocks. ``probes`` is the least number of axes visited. Bands of ``scanned`` rows at most are scored by
-    every query. All vectors are of one dimension; those of another than the commonest take no part.
-    Repeated rows count once, an id with several vectors counts with each; further columns are ignored.
+    Ties go to the smaller id. Of equal vectors each task sends one to its block, and their ids are put in at
+    the end, the ``k + 1`` least of them, which is all that a result can hold. A cell of any size is scored in
+    blocks. Bands of ``scanned`` rows at most are scored by every query. Vectors of unequal dimension are
+    compared as if the shorter ones went on with zeros. Repeated rows count once, an id with several vectors
+    counts with each; further columns are ignored.
     """
-    rows = usable(vectors, key, column)
-    commonest = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = commonest.d if commonest else 1
-    rows = rows.where(F.size("vector") == dimension)
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("nth") <= k + 1)
-    groups = materialise(ranked.groupBy("vector").agg(F.min("id").alias("rep"), F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
     square = F.aggregate(F.col("vector"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    longest = groups.agg(F.max(square)).first()[0] or 1.0
+    base = usable(vectors, key, column).withColumn("is_q", F.col("id") % every == 0)
+    longest, dimension = base.agg(F.max(square), F.max(F.size("vector"))).first()
+    longest, dimension, kept = longest or 1.0, dimension or 1, k + 1
     band = F.least(F.floor(F.log2(F.lit(longest) / F.greatest(square, F.lit(1e-300))) * (BAND / 2)), F.lit(BANDS - 1)).cast("int")
-    dense = [r.band for r in groups.groupBy(band.alias("band")).count().where(F.col("count") > scanned).collect()]
-    hashing = band.isin(dense) if dense else F.lit(False)
-    if dense:
-        sample = groups.where(hashing).orderBy(F.xxhash64("rep", "vector"), "rep").limit(SCANNED).select("vector").toArrow()
-        flat = sample.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        probes = max(probes, needed(flat.reshape(-1, dimension), k, tables, seed))
-    asked = rows.where(F.col("id") % every == 0)
-    queries = materialise(asked.join(groups.select("vector", "rep"), "vector").select(F.col("id").alias("query_id"), "rep"), "queries")
-    wanted = groups.join(queries.select("rep").distinct(), "rep", "left_semi")
-
-    def hashed(tried: int):
-        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dimension)
-                    for table in range(tables):
-                        near = hashes(flat, table, tried, seed)
-                        take = np.repeat(np.arange(part.num_rows), near.shape[1])
-                        yield pa.RecordBatch.from_arrays([pa.array(table * 65536 + near.ravel(), pa.int32()), part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take))], names=["bucket", "rep", "vector"])
-
-        return emit
-
-    kind = dict(groups.dtypes)["vector"]
-    whole = lambda side: side.select(F.lit(SCAN).alias("bucket"), "rep", "vector")
-    v, q = whole(groups.where(~hashing)), whole(wanted)
-    if dense:
-        form = f"bucket int, rep long, vector {kind}"
-        v = v.unionByName(groups.where(hashing).select("rep", "vector").mapInArrow(hashed(1), form))
-        q = q.unionByName(wanted.select("rep", "vector").mapInArrow(hashed(probes), form))
-
-    def placed(side: DataFrame, some: DataFrame, own: str, other: str, name: str) -> DataFrame:
-        cut = side.join(some, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), own).cast("int"))
-        cut = cut.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return cut.select("bucket", F.col("mine" if name == "v" else "theirs").alias("vb"), F.col("theirs" if name == "v" else "mine").alias("qb"), F.lit(name).alias("side"), "rep", "vector")
-
-    kept = k + 1
+    counts = {r.band: r.n for r in base.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
+    dense = {b: n for b, n in counts.items() if n > scanned}
+    hashed = band.isin(list(dense)) if dense else F.lit(False)
 
-    def score(group: pa.Table) -> pa.Table:
-        side = np.array(group.column("side").to_pylist())
-        ids = group.column("rep").to_numpy()
-        flat = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
-        vi, vv, qi, qv = ids[side == "v"], flat[side == "v"], ids[side == "q"], flat[side == "q"]
-        order = np.argsort(vi, kind="stable")
-        vi, vv, out = vi[order], vv[order], []
-        for at in range(0, len(qi) if len(vi) else 0, 256):
-            s = qv[at : at + 256] @ vv.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :kept] if s.shape[1] <= 4 * kept else None
-            if top is None:
-                floor = -np.partition(-s, kept - 1, axis=1)[:, kept - 1]
-                for r in range(len(s)):
-                    near = np.flatnonzero(s[r] >= floor[r])
-                    near = near[np.argsort(-s[r, near], kind="stable")][:kept]
-                    out.append((np.full(len(near), qi[at + r]), vi[near], s[r, near]))
-            else:
-                out += [(np.full(top.shape[1], qi[at + r]), vi[top[r]], s[r, top[r]]) for r in range(len(s))]
-        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"asked": pa.array(a, pa.int64()), "met": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    def ranked_of(v: DataFrame, q: DataFrame) -> DataFrame:
-        """The ranked results of the rows that the two sides meet in one bucket."""
-        cut = lambda side, name: side.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-        sizes = materialise(cut(v, "v_blocks").join(cut(q, "q_blocks"), "bucket"), "buckets")
-        some = F.broadcast(sizes)  # tables x axes rows at most
-        both = placed(v, some, "v_blocks", "q_blocks", "v").unionByName(placed(q, some, "q_blocks", "v_blocks", "q"))
-        met = both.groupBy("bucket", "vb", "qb").applyInArrow(score, "asked long, met long, score double")
-        met = met.groupBy("asked", "met").agg(F.max("score").alias("score"))
-        best = met.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "met"))).where(F.col("nth") <= kept)
-        best = best.join(groups.select(F.col("rep").alias("met"), "ids"), "met").select("asked", F.explode("ids").alias("vec_id"), "score")
+    ids = base.select("id", "mark").distinct()
+    ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("mark").orderBy("id"))).where(F.col("nth") <= kept)
+    groups = materialise(ids.groupBy("mark").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    queries = base.where("is_q").select(F.col("id").alias("query_id"), F.col("mark").alias("asked")).distinct()
+
+    def ranked(met: DataFrame) -> DataFrame:
+        """Results of the pairs of marks that were scored: the best of them, with the ids that have those marks."""
+        met = met.groupBy("asked", "met").agg(F.max("score").alias("score")).join(groups.withColumnRenamed("mark", "met"), "met")
+        best = met.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "rep"))).where(F.col("nth") <= kept)
+        best = best.select("asked", F.explode("ids").alias("vec_id"), "score")
         best = best.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= kept)
-        found = queries.join(best, queries.rep == best.asked).where("query_id <> vec_id")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+        return queries.join(best, "asked").where("query_id <> vec_id").select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+    def met_in(searched: Column, hashing: Hashing | None, cells: int) -> DataFrame:
+        return compared(base.withColumn("is_v", searched).where("is_v or is_q"), hashing, cells, dimension, kept)
 
     if not dense:
-        return ranked_of(v, q)
-    first = materialise(ranked_of(v, q), "neighbours")
+        return ranked(met_in(F.lit(True), None, 1))
+    hashing = hashing_for(sum(dense.values()), tables, seed)
+    met = met_in(hashed, hashing, measured(base.where(hashed), base.where("is_q"), hashing, k, dimension))
+    if len(dense) < len(counts):
+        met = met.unionByName(met_in(~hashed, None, 1))
+    first = materialise(ranked(met), "neighbours")
     full = first.where(F.col("rank") == k).select("query_id")
     short = materialise(queries.join(full, "query_id", "left_anti"), "short")
     if short.isEmpty():
         return first
-    second = ranked_of(whole(groups), whole(groups.join(short.select("rep").distinct(), "rep", "left_semi")))
+    again = base.drop("is_q").join(short.select(F.col("asked").alias("mark"), F.lit(True).alias("is_q")).distinct(), "mark", "left")
+    again = again.withColumns({"is_q": F.coalesce("is_q", F.lit(False)), "is_v": F.lit(True)})
     ids = short.select("query_id").distinct()
-    return first.join(ids, "query_id", "left_anti").unionByName(second.join(ids, "query_id", "left_semi"))
+    return first.join(ids, "query_id", "left_anti").unionByName(ranked(compared(again, None, 1, dimension, kept)).join(ids, "query_id", "left_semi"))
