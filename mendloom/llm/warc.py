@@ -7,6 +7,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,44 +18,75 @@ from pyspark.sql import functions as F
 
 from mendloom.llm.common import materialise
 
-#: Compressed bytes at which a file is full, and payload bytes that one range of keys should hold.
+#: Compressed bytes at which a file is full, and payload bytes that a shard should hold.
 ROLL, SHARD = 16 << 20, 32 << 20
-#: Even cells into which the range of keys is cut for its first histogram.
-CELLS = 1024
+#: Tasks that a shuffle can well have. Beyond so many shards they grow with the table instead (6.7 TB; 500 MB each at 100 TB).
+MOST_SHARDS = 200_000
+#: The range of keys is cut into two to so many cells for its first histogram.
+CELL_BITS = 10
 SMALL = 1000
 _FORMAT = "WARC/1.1"
 
 
-def range_starts(df: DataFrame, key: str, weight: str, target: int) -> list[int]:
-    """First keys of ranges that hold about ``target`` of ``weight``, found from histograms: the same for equal rows, however partitioned.
+@dataclass(frozen=True)
+class Shards:
+    """Ranges of keys: first keys and the shard that begins there; a key too heavy for one shard has several, by a hash of the row."""
 
-    Even cells that are too heavy are cut again, until they are light or hold one key. There are
-    20,000 ranges at most, and what reaches the driver follows their number, not that of the rows.
+    starts: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+
+    def number(self) -> int:
+        return int(self.first[-1] + self.many[-1]) if len(self.starts) else 1
+
+    def of(self, key: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """Shard of rows by their key and 16 bits of their own."""
+        if not len(self.starts):
+            return np.zeros(len(key), np.int64)
+        at = np.maximum(np.searchsorted(self.starts, key, side="right") - 1, 0)
+        return self.first[at] + (spread.astype(np.int64) * self.many[at] >> 16)
+
+    def parts(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last shard of keys."""
+        if not len(self.starts):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        at = np.maximum(np.searchsorted(self.starts, key, side="right") - 1, 0)
+        return self.first[at], self.first[at] + self.many[at] - 1
+
+
+def key_ranges(df: DataFrame, key: str, weight: str, target: int, most: int = MOST_SHARDS) -> Shards:
+    """Ranges of a long key that hold about ``target`` of ``weight``, found from histograms: the same for equal rows, however partitioned.
+
+    Cells of equal width (a power of two) that are too heavy are cut into sixteen, until they are light or hold
+    one key. Null keys come first, as the least long. What reaches the driver follows the number of ranges,
+    not that of the rows.
     """
-    spark = df.sparkSession
-    low, high, total = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
-    if low is None:
-        return []
-    target = max(target, int(total or 0) // 20_000)
-    width, cells, light = high - low + 1, CELLS, []
-    rows = df.select(F.col(key).alias("key"), F.col(weight).cast("long").alias("weight"), F.lit(low).cast("long").alias("cell"))
-    while True:
-        width = max(1, -(-width // cells))
-        rows = rows.withColumn("cell", F.expr(f"cell + (key - cell) div {width} * {width}"))
+    spark, lowest = df.sparkSession, -(1 << 63)
+    low, high, total, nulls = df.agg(F.min(key), F.max(key), F.sum(weight), F.sum(F.when(F.col(key).isNull(), F.col(weight)))).first()
+    target = max(target, -(-int(total or 0) // most))
+    light = [(lowest, int(nulls))] if nulls else []
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(weight).cast("long").alias("weight"))
+    shift = max(0, (high - low).bit_length() - CELL_BITS) if low is not None else 0
+    part = rows
+    while low is not None:
         heavy = []
-        for cell, w in rows.groupBy("cell").agg(F.sum("weight")).collect():
-            (heavy if w > target and width > 1 else light).append((cell, w))
+        for cell, w in part.groupBy(F.shiftright("key", shift).alias("cell")).agg(F.sum("weight")).collect():
+            (heavy if w > target and shift else light).append((cell << shift, w))
         if not heavy:
             break
-        named = spark.createDataFrame([(c,) for c, _ in heavy], "cell long")
-        rows, cells = rows.join(F.broadcast(named), "cell"), 16
-    starts, filled = [], target
+        named = spark.createDataFrame([(c >> shift,) for c, _ in heavy], "cell long")
+        part = rows.withColumn("cell", F.shiftright("key", shift)).join(F.broadcast(named), "cell")
+        shift = max(0, shift - 4)
+    starts, first, many, filled, at = [], [], [], target, -1
     for start, w in sorted(light):
-        if filled >= target:
+        if filled >= target or w > target:
+            at += many[-1] if many else 1
             starts.append(start)
+            first.append(at)
+            many.append(max(1, -(-w // target)))
             filled = 0
         filled += w
-    return starts
+    return Shards(*(np.array(x, np.int64) for x in (starts, first, many)))
 
 
 def _urn(page_id) -> str:
@@ -84,7 +116,7 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
 
 
 class _Roller:
-    """Writes records as gzip members into numbered files: a temporary name first, the final one once complete."""
+    """Writes records as gzip members into numbered files: a temporary name first, the final one, by their digest, once complete."""
 
     def __init__(self, base: str, shard: int, roll: int):
         self.fs, self.base = pafs.FileSystem.from_uri(base)
@@ -97,8 +129,7 @@ class _Roller:
         if self.out is not None and self.size + len(member) > self.roll:
             self.close()
         if self.out is None:
-            self.name = f"shard-{self.shard:06d}-{self.part:05d}.warc.gz"
-            self.hidden = f"{self.base}/.{self.name}.{uuid.uuid4().hex}"
+            self.hidden = f"{self.base}/.shard-{self.shard:06d}-{self.part:05d}.{uuid.uuid4().hex}"
             self.out, self.size, self.count, self.sha = self.fs.open_output_stream(self.hidden, compression=None), 0, 0, hashlib.sha1()
         self.out.write(member)
         self.sha.update(member)
@@ -108,45 +139,57 @@ class _Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            final = f"{self.base}/{self.name}"
-            if self.fs.get_file_info(final).type != pafs.FileType.NotFound:
-                self.fs.delete_file(final)  # of an earlier attempt: the same bytes
-            self.fs.move(self.hidden, final)
-            self.done.append((self.name, self.count, self.size, self.sha.hexdigest()))
+            name = f"shard-{self.shard:06d}-{self.part:05d}-{self.sha.hexdigest()[:16]}.warc.gz"
+            self._publish(f"{self.base}/{name}")
+            self.done.append((name, self.count, self.size, self.sha.hexdigest()))
             self.out, self.part = None, self.part + 1
 
+    def _publish(self, final: str) -> None:
+        """The name holds the digest of the bytes, so a file that has it already, of another attempt, is the same and stays."""
+        there = lambda: self.fs.get_file_info(final).type != pafs.FileType.NotFound
+        if not there():
+            try:
+                self.fs.move(self.hidden, final)
+                return
+            except OSError:
+                if not there():
+                    raise
+        self.fs.delete_file(self.hidden)
+
 
 def write_archive(pages: DataFrame, base: str, roll: int = ROLL, shard_bytes: int = SHARD, small: int = SMALL) -> DataFrame:
     """Write one record per page under ``base`` and commit the manifest (file, records, bytes, sha1), which is returned.
 
-    Pages are sorted by page_id (null first), then url, into shards of key ranges. Of equal payloads of
-    at least ``small`` bytes the one of largest page_id is the response, the others are revisits; among
-    rows of that same page_id and payload the first is the response. Null html is an empty payload.
-    Payloads are shuffled once: which pages are copies comes as notes, sorted before the pages they are about.
-    Files become visible under final names only when complete, a retried task overwrites them with the
-    same bytes, and readers see only files of the manifest, which Spark's commit makes visible at once.
+    Pages are sorted by page_id (null first), then digest and url, into shards of key ranges, a task each; a
+    page_id that is too heavy for one shard has several, over which its rows are spread by digest and url.
+    Of equal payloads of at least ``small`` bytes the one of largest page_id is the response, the others are
+    revisits; among rows of that same page_id and payload the first by url is the response. Null html is
+    an empty payload. Payloads are shuffled once: which pages are copies comes as notes, sorted before the
+    pages they are about. Rows equal in all three columns stay together in one shard.
+    Files become visible only when complete, under names that hold their digest, so attempts can't harm each
+    other; readers see only files of the manifest, which Spark's commit makes visible at once. What other
+    attempts left is removed after it.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    lowest = F.lit(-(1 << 63))
-    keyed = rows.withColumn("key", F.coalesce("page_id", lowest))
-    light = materialise(keyed.select("page_id", "digest", (F.col("size") + 512).cast("long").alias("weight")), "payloads")
-    starts = range_starts(light.where("page_id is not null"), "page_id", "weight", shard_bytes)
-    first = light.where(F.col("weight") >= small + 512).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").select("digest", "response")
-    shard = _shard_of(starts) if len(starts) > 1 else lambda key: F.lit(0)
-    whole = keyed.select(shard("key").alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("response"))
-    known = light.join(first, "digest").select(F.coalesce("page_id", lowest).alias("key"), "page_id", "digest", "response").distinct()
-    notes = known.select(shard("key").alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "response")
-    n = max(1, min(len(starts), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = whole.unionByName(notes).repartitionByRange(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "kind", F.asc_nulls_first("url"))
+    keyed = rows.withColumns({"key": F.coalesce("page_id", F.lit(-(1 << 63))), "spread": F.shiftrightunsigned(F.xxhash64("digest", "url"), 48)})
+    light = materialise(keyed.select("page_id", "key", "url", "digest", (F.col("size") + 512).cast("long").alias("weight")), "payloads")
+    shards = key_ranges(light, "page_id", "weight", shard_bytes)
+    shard, span = _shard_of(shards), _shards_of(shards)
+    large = light.where(F.col("weight") >= small + 512)
+    first = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").select("digest", "response")
+    known = large.join(first, "digest").groupBy("key", "page_id", "digest", "response").agg(F.min(F.struct(F.col("url").isNotNull().alias("named"), "url")).alias("least"))
+    whole = keyed.select(shard("key", "spread").alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("response"))
+    notes = known.select(F.explode(span("key")).alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.col("least.url").alias("url"), F.lit(None).cast("binary").alias("payload"), "response")
+    dealt = whole.unionByName(notes).repartitionById(shards.number(), "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", "kind", F.asc_nulls_first("url"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, last, noted, done = None, None, (None, None), []
+        out, answered, noted, done = None, False, (None, None, None), []
         for batch in batches:
             for shard_no, page_id, digest, kind, url, body, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
-                    noted = (page_id, digest), response
+                    noted, answered = ((page_id, digest), response, url), False
                     continue
                 response = noted[1] if noted[0] == (page_id, digest) else None
                 if out is None or out.shard != shard_no:
@@ -154,9 +197,8 @@ def write_archive(pages: DataFrame, base: str, roll: int = ROLL, shard_bytes: in
                         out.close()
                         done += out.done
                     out = _Roller(base, shard_no, roll)
-                again = (page_id, digest) == last
-                last = (page_id, digest)
-                own = response is None or (page_id == response and not again)
+                own = response is None or (page_id == response and url == noted[2] and not answered)
+                answered = True
                 out.add(record(page_id, url, body, digest, None if own else response))
         if out is not None:
             out.close()
@@ -167,15 +209,32 @@ def write_archive(pages: DataFrame, base: str, roll: int = ROLL, shard_bytes: in
     fs, folder = pafs.FileSystem.from_uri(base)
     fs.create_dir(folder, recursive=True)
     dealt.mapInArrow(write, "file string, records long, bytes long, sha1 string").write.parquet(f"{base}/manifest")
+    sweep(spark, base)
     return spark.read.schema("file string, records long, bytes long, sha1 string").parquet(f"{base}/manifest")
 
 
-def _shard_of(starts: list[int]):
-    edges = np.array(starts[1:], np.int64)
+def sweep(spark: SparkSession, base: str) -> int:
+    """Remove the archive's files that its manifest doesn't list; how many there were."""
+    fs, folder = pafs.FileSystem.from_uri(base)
+    listed = {r.file for r in spark.read.parquet(f"{base}/manifest").select("file").toLocalIterator()}
+    left = [f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.type == pafs.FileType.File and f.base_name not in listed]
+    for path in left:
+        fs.delete_file(path)
+    return len(left)
+
 
+def _shard_of(shards: Shards):
     @F.pandas_udf("int")
+    def of(key: pd.Series, spread: pd.Series) -> pd.Series:
+        return pd.Series(shards.of(key.to_numpy(), spread.to_numpy()).astype("int32"))
+
+    return of
+
+
+def _shards_of(shards: Shards):
+    @F.pandas_udf("array<int>")
     def of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, key.to_numpy(), side="right").astype("int32"))
+        return pd.Series([list(range(a, b + 1)) for a, b in zip(*shards.parts(key.to_numpy()), strict=True)])
 
     return of
 
