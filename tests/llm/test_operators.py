@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, TABLES, rows
 from hypothesis import given, settings
@@ -45,17 +46,86 @@ def test_syncmers_are_those_of_the_definition(text):
     assert at.tolist() == want and len(found) == len(want)
 
 
+def edited_by_hand(ids, texts):
+    """Results of a plain loop over the rows in order: descending ids, null last, equal ids by the md5 of their text."""
+    order = sorted(zip(ids, ((t or "") for t in texts), strict=True), key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).digest()))
+    want = []
+    for (k, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + n[:cut]
+        want.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), *plain_fingerprints(t, edited, n)))
+    return sorted(map(str, want))
+
+
+def plain_fingerprints(text, edited, following):
+    """Fingerprints and likenesses from the definitions: sets, and a quadratic longest common subsequence."""
+
+    def kept(x):
+        at, found = syncmers.anchors(x)
+        first = {}
+        for p, h in zip(at.tolist(), found.tolist(), strict=True):
+            first.setdefault(h, p)
+        least = sorted(first)
+        chosen = [h for i, h in enumerate(least) if i < 128 or h < 1 << 29]
+        return sorted(chosen, key=first.get), (1 << 32 if len(chosen) < 128 else max(chosen[-1] + 1, 1 << 29))
+
+    def alike(x, y):
+        (a, upto), (b, other) = kept(x), kept(y)
+        a, b = [h for h in a if h < min(upto, other)], [h for h in b if h < min(upto, other)]
+        if not a and not b:
+            return 1.0
+        place = {h: i for i, h in enumerate(b)}
+        row = [place[h] for h in a if h in place]
+        if len(row) > 1000:
+            assert row == sorted(row)  # equal texts
+            return len(row) / len(set(a) | set(b))
+        best = []
+        for i, x in enumerate(row):
+            best.append(1 + max((best[j] for j in range(i) if row[j] < x), default=0))
+        return max(best, default=0) / len(set(a) | set(b))
+
+    shown = lambda x: "".join(f"{h:08x}" for h in kept(x)[0])
+    return shown(text), shown(edited), alike(text, edited), alike(text, following)
+
+
+def fingerprinted(spark, ids, texts, buckets):
+    got = syncmers.fingerprint_edits(docs(spark, *texts, ids=ids).repartition(3), buckets).collect()
+    return sorted(str((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next)) for r in got)
+
+
 @pytest.mark.parametrize("buckets", [1, 5, 40])
 def test_fingerprints_of_edited_texts(spark, buckets):
     texts = [*ODD, *(f"text number {i} " * 9 for i in range(30))]
     ids = [*range(len(texts) - 3), 2, None, 5000]
-    got = syncmers.fingerprint_edits(docs(spark, *texts, ids=ids), buckets).collect()
-    order = sorted(zip(ids, ((t or "") for t in texts), strict=True), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    want = []
-    for (k, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
-        cut = len(t) // 3
-        want.append((k, len(t), hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest(), syncmers.render(syncmers.sketch(t)), syncmers.likeness(syncmers.sketch(t), syncmers.sketch(n))))
-    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_next)) for r in got)
+    assert fingerprinted(spark, ids, texts, buckets) == edited_by_hand(ids, texts)
+
+
+def test_fingerprints_of_hash_ids_hot_ids_and_repeated_rows(spark):
+    ids = [r.h for r in spark.range(1000).select(F.xxhash64("id").alias("h")).collect()]
+    texts = [f"text {i % 300} of a thousand " * (i % 5) for i in range(1000)]
+    assert fingerprinted(spark, ids, texts, 64) == edited_by_hand(ids, texts)
+    high = [(1 << 62) + i for i in range(200)]
+    assert fingerprinted(spark, high, texts[:200], 64) == edited_by_hand(high, texts[:200])
+    hot = [None if i % 3 else 7 for i in range(600)]  # two ids only, many texts each, some of them equal
+    assert fingerprinted(spark, hot, texts[:600], 16) == edited_by_hand(hot, texts[:600])
+    assert syncmers.range_starts(syncmers.keyed(docs(spark, *texts[:600], ids=hot)), 16).size > 8
+
+
+def test_anchors_that_both_have_count_in_one_order_only():
+    rng = np.random.default_rng(1)
+    a, b = ("".join(rng.choice(list("abcdefgh"), 400)) for _ in range(2))
+    assert syncmers.likeness(syncmers.sketch(a + b), syncmers.sketch(b + a)) < 0.6 < 0.9 < syncmers.likeness(syncmers.sketch(a + b), syncmers.sketch(a + "x" + b))
+
+
+def test_error_of_the_likeness_of_long_texts():
+    rng = np.random.default_rng(2)
+    off = []
+    for _ in range(40):
+        a = "".join(rng.choice(list("abcdefghij"), 6000))
+        b = a[:3000] + "".join(rng.choice(list("abcdefghij"), 3000))
+        exact = [np.unique(syncmers.anchors(x)[1]) for x in (a, b)]
+        off.append(syncmers.likeness(syncmers.sketch(a), syncmers.sketch(b)) - len(np.intersect1d(*exact)) / len(np.union1d(*exact)))
+    assert abs(np.mean(off)) < 0.02 and np.sqrt(np.mean(np.square(off))) < 0.045
 
 
 def test_a_lone_and_no_document(spark):
@@ -218,6 +288,57 @@ def test_recall_with_one_long_vector_few_rows_and_many_dimensions(spark):
     assert recall(spark, unit(rng, 2200, 768)) >= 0.95
 
 
+def test_vectors_of_other_dimensions_take_part(spark):
+    rng = np.random.default_rng(8)
+    v = [r.tolist()[: 64 - i % 3] for i, r in enumerate(unit(rng, 15, 64))]
+    whole = np.array([[*r, *[0.0] * (64 - len(r))] for r in v])
+    got = neighbours(spark, v)
+    want = np.argsort(-np.where(np.arange(15) == 0, -np.inf, whole @ whole[0]), kind="stable")[:14]
+    assert [i for _, _, i, _ in got] == want.tolist() and len(got) == 14
+
+
+def test_the_share_of_rows_scored_falls_as_rows_grow(spark):
+    rng, shares = np.random.default_rng(9), []
+    for n in (4000, 40_000):
+        v = unit(rng, n, 64)
+        frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(v))})).repartition(4)
+        rows_ = cross_polytope.usable(frame, "vec_id", "embedding")
+        hashing = cross_polytope.hashing_for(n)
+        shares.append(cross_polytope.measured(rows_, rows_.where("id % 20 = 0"), hashing, 20, 64) / hashing.cells)
+        got = defaultdict(set)
+        for r in cross_polytope.nearest(frame).collect():
+            got[r.query_id].add(r.vec_id)
+        asked = np.arange(0, n, 20)
+        near = [set(np.argsort(-np.where(np.arange(n) == q, -9, v @ v[q]))[:20]) for q in asked[:300]]
+        assert np.mean([len(w & got[q]) / 20 for w, q in zip(near, asked, strict=False)]) >= 0.9
+    assert shares[1] < 0.8 * shares[0]
+
+
+def test_equal_vectors_and_a_hot_one(spark):
+    rng = np.random.default_rng(10)
+    v = unit(rng, 3000, 16)
+    v[::3] = v[0]
+    every = neighbours(spark, v.tolist())
+    hit = []
+    for q in range(0, 3000, 20):
+        least = np.sort(np.where(np.arange(3000) == q, -9, v @ v[q]))[-20]
+        hit.append(sum(s >= least - 1e-9 for a, _, _, s in every if a == q) / 20)
+    assert np.mean(hit) >= 0.9
+    got = [r for r in every if r[0] == 0]
+    assert [i for _, _, i, _ in got] == list(range(3, 63, 3)) and {round(s, 9) for *_, s in got} == {round(v[0] @ v[0], 9)}
+
+
+def test_cells_are_put_into_blocks():
+    sizes = np.array([3, 0, 9, 25, 1, 1, 8, 0])
+    b = cross_polytope.blocks_of(sizes, 10)
+    assert b.many.tolist() == [1, 0, 1, 3, 1, 1, 1, 0] and b.visited(np.array([3, 4])).tolist() == [*range(b.first[3], b.first[3] + 3), b.first[4]]
+    load = Counter()
+    for cell, n in enumerate(sizes.tolist()):
+        for i in range(n):
+            load[int(b.first[cell] + i % b.many[cell])] += 1
+    assert max(load.values()) <= 12
+
+
 def test_a_query_that_meets_nothing_is_scored_against_all(spark):
     v = np.eye(1, 64) + 0.001 * unit(np.random.default_rng(6), 60, 64)
     v[0] *= -1
@@ -248,6 +369,34 @@ def test_archive_round_trip(spark, roll, shard):
     assert sorted(warc.write_archive(pages(spark, *data[::-1]).repartition(7), again, roll, shard).collect()) == sorted(manifest.collect())
 
 
+def test_hot_page_ids_are_spread_over_shards(spark):
+    data = [(None, f"u{i}", f"{i} " * 600) for i in range(40)] + [(7, "u", f"{i // 2} " * 600) for i in range(40)] + [(i << 55, "w", "x" * 1500) for i in range(40)]
+    base = scratch_path(spark, "warc")
+    manifest = warc.write_archive(pages(spark, *data).repartition(5), base, 1 << 20, 10_000)
+    assert manifest.count() > 10
+    got = warc.read_archive(spark, base).collect()
+    assert Counter((r.page_id, r.payload_digest) for r in got) == Counter((k, hashlib.sha1(h.encode()).hexdigest()) for k, _, h in data)
+    most = {}
+    for k, _, h in data:
+        most[h] = max(most.get(h, -1), -1 if k is None else k)
+    by_digest = {hashlib.sha1(h.encode()).hexdigest(): k for h, k in most.items()}
+    many = Counter(hashlib.sha1(h.encode()).hexdigest() for _, _, h in data)
+    for digest, k in by_digest.items():
+        kinds = Counter((r.record_type, r.refers_to) for r in got if r.payload_digest == digest)
+        if many[digest] == 1 or k == -1:
+            assert kinds == {("response", None): many[digest]}
+        else:
+            assert kinds == {("response", None): 1, ("revisit", k): many[digest] - 1}
+
+
+def test_files_that_no_manifest_lists_are_swept(spark):
+    base = scratch_path(spark, "warc")
+    warc.write_archive(pages(spark, (1, "u", "x")), base)
+    left = __import__("pathlib").Path(base.removeprefix("file://"), ".shard-000000-00000.dead")
+    left.write_bytes(b"half")
+    assert warc.sweep(spark, base) == 1 and not left.exists() and warc.read_archive(spark, base).count() == 1
+
+
 def test_empty_archive(spark):
     base = scratch_path(spark, "warc")
     warc.write_archive(pages(spark, (1, "u", "x")).limit(0), base)
@@ -407,6 +556,15 @@ def test_strings_of_added_tokens_are_these_tokens(spark, text):
     assert 50256 in ids and (got.doc_tokens, got.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 1_000_000, "x" + "\n" * 300_000 + "y", "語" * 200_000, "é <|endoftext|>" + "!" * 100_000], ids=["blanks", "letters", "lines", "han", "marks"])
+def test_very_long_runs(spark, text):
+    from tokenizers import Tokenizer
+
+    ids = np.array([*Tokenizer.from_file(queries.tokenizer_path()).encode(text, add_special_tokens=False).ids, 1], "<u4")
+    got = packing.pack(docs(spark, text, "short"), queries.tokenizer_path()).where("doc_id = 0").orderBy("start").collect()
+    assert got[0].doc_tokens == len(ids) and [r.ids_crc32 for r in got] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in got]
+
+
 # 10
 
 
