@@ -20,8 +20,10 @@ from mendloom.llm.common import connected_components, materialise
 from mendloom.llm.words import mix, occurrences, shingles
 
 WIDTH, SIMILAR, FUNCTIONS, PICKED = 5, 0.8, 16, 3
-#: Shingles that one task holds of each side of a comparison; larger bucket groups are cut into blocks.
-BLOCK = 1 << 21
+#: Shingles that one task holds of each side of a comparison, every text counting as ``TEXT`` more; larger groups are cut into blocks.
+BLOCK, TEXT = 1 << 21, 256
+#: Members that all others of a cell are compared with before any further pairs are.
+LEADERS = 32
 
 
 def sketch(items: np.ndarray, functions: int = FUNCTIONS, picked: int = PICKED) -> np.ndarray:
@@ -69,34 +71,76 @@ def similarity(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _forest(nodes: list[int], texts: list[str], left: np.ndarray, right: np.ndarray, width: int, similar: float) -> list[tuple[int, int]]:
-    """Verified links between left and right members, as a spanning forest: links inside a component found already are left out."""
+def _forest(texts: list[str], left: np.ndarray, right: np.ndarray, width: int, similar: float) -> list[tuple[int, int]]:
+    """Links between left and right members that pass ``similar``, as a spanning forest: those inside a component found already are left out.
+
+    First some members lead: each is compared with all of the other side, so a group of near copies is
+    one component after a few passes. Then the rest: a member goes on only if enough of its shingles are
+    in members of other components, and meets those with which it shares one of its rarest shingles.
+    """
     raw = [shingles(t, width) for t in texts]
     labelled = [occurrences(x) for x in raw]
     size = np.array([len(x) for x in raw])
-    parent = list(range(len(nodes)))
+    parent = np.arange(len(texts))
+    links: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
-        return i
-
-    _, word = np.unique(np.concatenate([labelled[i] for i in right] + [labelled[i] for i in left]), return_inverse=True)
-    cuts = np.cumsum([0] + [size[i] for i in right] + [size[i] for i in left])
-    n_right = cuts[len(right)]
-    order = np.argsort(word[:n_right], kind="stable")
-    posting = np.repeat(right, size[right])[order]
-    begin = np.searchsorted(word[:n_right][order], np.arange(word.max() + 2))
-    links = []
-    for x, i in enumerate(left):
-        mine = word[cuts[len(right) + x] : cuts[len(right) + x + 1]]
+        return int(i)
+
+    def link(i: int, j: int) -> None:
+        if root(i) != root(j) and similarity(raw[i], raw[j], similar) >= similar:
+            parent[root(i)] = root(j)
+            links.append((i, j))
+
+    enough = lambda common, a, b: common * (1 + similar) >= similar * (a + b) - 1e-9
+    _, word = np.unique(np.concatenate(labelled), return_inverse=True)
+    cuts = np.r_[0, np.cumsum(size)]
+    owner = np.repeat(np.arange(len(texts)), size)
+    led = np.zeros(len(texts), bool)
+    on = {0: np.zeros(len(texts), bool), 1: np.zeros(len(texts), bool)}
+    on[0][left], on[1][right] = True, True
+    for turn in range(LEADERS):
+        mine, other = turn % 2, 1 - turn % 2
+        roots = np.array([root(i) for i in range(len(texts))])
+        free = np.flatnonzero(on[mine] & ~led)
+        if not len(free) or (roots == roots[0]).all():
+            break
+        leader = free[np.argmin(np.bincount(roots, minlength=len(texts))[roots[free]])] if turn else free[0]
+        led[leader] = True
+        has = np.zeros(word.max() + 1, bool)
+        has[word[cuts[leader] : cuts[leader + 1]]] = True
+        common = np.bincount(owner[has[word]], minlength=len(texts))
+        for j in np.flatnonzero(on[other] & enough(common, size[leader], size) & (roots != roots[leader])).tolist():
+            link(int(leader), j)
+    roots, has = np.array([root(i) for i in range(len(texts))]), np.zeros(word.max() + 1, bool)
+    low, high = np.full(word.max() + 1, len(texts)), np.full(word.max() + 1, -1)
+    np.minimum.at(low, word, roots[owner])
+    np.maximum.at(high, word, roots[owner])
+    shared = (low != high)[word]
+    going = np.bincount(owner[shared], minlength=len(texts)) >= similar * size - 1e-9
+    # Two near texts share one of the rarest shingles of either: all but as many as they must have in common, and one more.
+    rare = np.bincount(word)[word]
+    order = np.lexsort((word, rare, owner))
+    nth = np.empty(len(word), int)
+    nth[order] = np.arange(len(word)) - np.repeat(cuts[:-1], size)
+    prefix = shared & going[owner] & (nth <= (size - np.ceil(similar * size - 1e-9))[owner])
+    entry = np.flatnonzero(prefix & on[1][owner])
+    entry = entry[np.argsort(word[entry], kind="stable")]
+    posting, begin = owner[entry], np.searchsorted(word[entry], np.arange(word.max() + 2))
+    for i in np.flatnonzero(going & on[0]).tolist():
+        own = word[cuts[i] : cuts[i + 1]]
+        mine = own[prefix[cuts[i] : cuts[i + 1]]]
         first, many = begin[mine], begin[mine + 1] - begin[mine]
-        at = np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        common = np.bincount(posting[at], minlength=len(nodes))
-        for j in np.flatnonzero(common * (1 + similar) >= similar * (size + size[i]) - 1e-9).tolist():
-            if nodes[i] != nodes[j] and root(i) != root(j) and similarity(raw[i], raw[j], similar) >= similar:
-                parent[root(i)] = root(j)
-                links.append((nodes[i], nodes[j]))
+        met = np.unique(posting[np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]) if len(mine) else mine
+        if len(met) > 16:  # in one pass over the cell
+            has[own] = True
+            met = np.flatnonzero(on[1] & enough(np.bincount(owner[has[word]], minlength=len(texts)), size[i], size))
+            has[own] = False
+        for j in met[met != i].tolist():
+            if root(i) != root(j) and enough(np.isin(own, word[cuts[j] : cuts[j + 1]], assume_unique=True).sum(), size[i], size[j]):
+                link(i, j)
     return links
 
 
@@ -106,78 +150,118 @@ def normalised(text) -> F.Column:
 
 
 def text_node(text) -> F.Column:
-    """64 bits that stand for a normalised text: the node of all its copies."""
-    return F.xxhash64(F.md5(F.encode(text, "UTF-8")), F.length(text))
+    """128 bits that stand for a normalised text: the mark of all its copies."""
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
 def order_minhash(docs: DataFrame, width: int, functions: int, picked: int) -> DataFrame:
-    """(doc_id, node, n, keys): how many shingles each text has, and its Order MinHash buckets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, mark, n, keys): how many shingles each text has, and its Order MinHash buckets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, tuple[int, np.ndarray]] = {}
-            for node, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if node not in seen:
+            seen: dict[bytes, tuple[int, np.ndarray]] = {}
+            marks = batch.column(1).to_pylist()
+            for mark, text in zip(marks, batch.column(2), strict=True):
+                if mark not in seen:
                     items = shingles(text.as_py(), width)
-                    seen[node] = (len(items), sketch(items, functions, picked).view(np.int64) if len(items) else np.zeros(0, np.int64))
-            found = [seen[x] for x in batch.column(1).to_pylist()]
+                    seen[mark] = (len(items), sketch(items, functions, picked).view(np.int64) if len(items) else np.zeros(0, np.int64))
+            found = [seen[x] for x in marks]
             values = np.concatenate([k for _, k in found]) if found else np.zeros(0, np.int64)
             cuts = np.cumsum([0] + [len(k) for _, k in found])
             keys = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int32()), keys], schema=schema)
 
     text = normalised(F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(text).alias("node"), text.alias("text")).mapInArrow(sketches, "doc_id long, node long, n int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(text).alias("mark"), text.alias("text")).mapInArrow(sketches, "doc_id long, mark binary, n int, keys array<long>")
+
+
+def like_pivot(members: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """(pivot, node, linked): whether each member of the given groups is near the group's pivot, whose text goes along with it."""
+    pivots = members.select("pivot").distinct().join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("other")), "pivot")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            out = []
+            for pivot, text, other in zip(batch.column("pivot").to_pylist(), batch.column("text"), batch.column("other"), strict=True):
+                if pivot != last:
+                    last, held = pivot, shingles(other.as_py(), width)
+                own = shingles(text.as_py(), width)
+                both = len(np.intersect1d(occurrences(own), occurrences(held), assume_unique=True))
+                out.append(both * (1 + similar) >= similar * (len(own) + len(held)) - 1e-9 and similarity(own, held, similar) >= similar)
+            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node"), pa.array(out, pa.bool_())], names=["pivot", "node", "linked"])
+
+    met = members.select("pivot", "node").join(texts, "node").join(pivots, "pivot").select("pivot", "node", "text", "other")
+    return met.mapInArrow(judge, "pivot long, node long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, functions: int = FUNCTIONS, picked: int = PICKED) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its near-duplicate class), class_size and node.
+    """One row per document: doc_id, class_id (least doc_id of its near-duplicate class), class_size and mark.
 
     Classes are the connected components of verified links; exact copies (up to case and white
-    space) share a node and are never paired. Every pair of a bucket group is compared inside
-    tasks over inverted lists, large groups in blocks; only a spanning forest of links leaves a task.
+    space) share a mark and are never paired. Buckets meet under their least member, the pivot. Members of a
+    large group are first compared with the pivot alone; those unlike it are then compared with all
+    members, in blocks. So a large group of near copies costs as much as it has members, and no link between
+    different texts is lost. Inside tasks pairs are found over inverted lists; only a spanning forest leaves a task.
     Null and empty texts are copies of each other. Null ids are kept; a class of null ids only has a
     null class_id. Repeated rows are copies. Further columns are ignored.
     """
     rows = materialise(order_minhash(docs, width, functions, picked), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
-    nodes = materialise(nodes, "nodes")
+    nodes = rows.groupBy("mark").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("many")).where("many > 1")
     grouped = materialise(members.join(shared, "key").select("pivot", "node", "n").distinct(), "groups")
-    blocks = grouped.groupBy("pivot").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = grouped.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    cells = placed.select("pivot", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("pivot", "node", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    weight = F.sum(F.col("n") + TEXT)
+    blocks = grouped.groupBy("pivot").agg(F.ceil(weight / BLOCK).cast("int").alias("blocks"))
+    placed = grouped.join(blocks, "pivot")
 
-    wanted = grouped.select("node").distinct().join(nodes.select("node", F.col("least").alias("doc_id")), "node")
+    wanted = grouped.select("node").distinct().join(nodes.select("node", "mark", F.col("least").alias("doc_id")), "node")
     text = normalised(F.col("text"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(text).alias("node"), text.alias("text"))
-    texts = whole.join(wanted, (whole.node == wanted.node) & whole.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("node", "text")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(text).alias("mark"), text.alias("text")).alias("w")
+    texts = whole.join(wanted.alias("n"), (F.col("w.mark") == F.col("n.mark")) & F.col("w.doc_id").eqNullSafe(F.col("n.doc_id"))).select("n.node", "w.text")
+
+    large = placed.where("blocks > 1")
+    led = None
+    if not large.isEmpty():
+        led = materialise(like_pivot(large, texts, width, similar), "led")
+        unlike = led.where("not linked").join(nodes.select("node", "n"), "node").groupBy("pivot").agg(F.ceil(weight / BLOCK).cast("int").alias("asking"))
+        flags = led.select("pivot", "node", "linked").distinct()
+        large = large.join(unlike, "pivot").join(flags, ["pivot", "node"])
+        placed = placed.where("blocks = 1").select("*", F.lit(1).alias("asking"), F.lit(False).alias("linked")).unionByName(large)
+    else:
+        placed = placed.select("*", F.lit(1).alias("asking"), F.lit(False).alias("linked"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    answers = placed.select("pivot", "node", F.lit(False).alias("asks"), every("asking").alias("low"), slot("blocks").alias("high"))
+    asks = placed.where("not linked").select("pivot", "node", F.lit(True).alias("asks"), slot("asking").alias("low"), every("blocks").alias("high"))
+    cells = answers.unionByName(asks).groupBy("pivot", "low", "high", "node").agg(F.bool_or("asks").alias("asks"), F.bool_or(~F.col("asks")).alias("answers"))
 
     def verify(group: pa.Table) -> pa.Table:
-        seen: dict[int, tuple[int, str]] = {}
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        for node, own, text in zip(*(group.column(c).to_pylist() for c in ("node", "own", "text")), strict=True):
-            seen.setdefault(node, (own, text))
-        own = np.array([o for o, _ in seen.values()])
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        links = _forest(list(seen), [t for _, t in seen.values()], left, right, width, similar) if len(left) and len(right) else []
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        seen: dict[int, list] = {}
+        for node, asking, answering, text in zip(*(group.column(c).to_pylist() for c in ("node", "asks", "answers", "text")), strict=True):
+            seen.setdefault(node, [asking, answering, text])
+        names, held = list(seen), list(seen.values())
+        left, right = np.flatnonzero([h[0] for h in held]), np.flatnonzero([h[1] for h in held])
+        links = _forest([h[2] for h in held], left, right, width, similar) if len(left) and len(right) and len(held) > 1 else []
+        return pa.table({"a": pa.array([names[a] for a, _ in links], pa.int64()), "b": pa.array([names[b] for _, b in links], pa.int64())})
 
     links = cells.join(texts, "node").groupBy("pivot", "low", "high").applyInArrow(verify, "a long, b long")
+    if led is not None:
+        links = links.unionByName(led.where("linked and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     linked = connected_components(links)
-    classes = nodes.select("node", "least", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = nodes.select("node", "mark", "least", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    return rows.select("doc_id", "node").join(classes.join(named, "root").select("node", "class_id", "class_size"), "node").select("doc_id", "class_id", "class_size", "node")
+    return rows.select("doc_id", "mark").join(classes.join(named, "root").select("mark", "class_id", "class_size"), "mark").select("doc_id", "class_id", "class_size", "mark")
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without all but the document of least doc_id of every near-duplicate class; a repeated row stays once.
 
-    Where all ids of a class are null, one of its rows stays.
+    Where all ids of a class are null, one of its rows stays. Further columns stay as they are.
     """
-    kept = near_duplicates(docs, **how).where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
-    keyed = docs.withColumn("kept_node_of", text_node(normalised(F.col("text"))))
-    found = keyed.join(kept, (F.col("kept_node_of") == F.col("kept_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return found.dropDuplicates(["kept_node_of", "doc_id"]).drop("kept_node_of")
+    kept = near_duplicates(docs, **how).where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct()
+    keyed = docs.withColumn("kept_mark_of", text_node(normalised(F.col("text"))))
+    found = keyed.join(kept, (F.col("kept_mark_of") == F.col("kept_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return found.dropDuplicates(["kept_mark_of", "doc_id"]).drop("kept_mark_of")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendloom.llm.common import fold, hash_share, materialise
-from mendloom.llm.words import ALNUM, runs
+from mendloom.llm.words import ALNUM, plain, runs
 
 #: Labelled rows that the classifier is fitted on, at most; lexicon entries of each kind; length of a word's beginning in bytes.
 FITTED, LEXICON, HEAD = 20_000, 2000, 5
@@ -52,7 +52,7 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros(FEATURES)
     if not text:
         return out
-    word, start, end, head = runs(text.lower().encode("utf-8", "surrogatepass"), ALNUM, HEAD)
+    word, start, end, head = runs(plain(text.lower()), ALNUM, HEAD)
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     n = max(1, len(word))
     by_word, by_head = _weights(word, lexicon.words, lexicon.word_weights), _weights(head, lexicon.heads, lexicon.head_weights)
@@ -109,7 +109,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> Lexicon:
         for batch in batches:
             found: dict[tuple[int, int], list[np.ndarray]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                word, _, _, head = runs(text.lower().encode("utf-8", "surrogatepass"), ALNUM, HEAD)
+                word, _, _, head = runs(plain(text.lower()), ALNUM, HEAD)
                 for kind, h in enumerate((word, head)):
                     found.setdefault((kind, toxic), []).append(np.unique(h))
             for (kind, toxic), parts in found.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import regex
 
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -60,12 +61,28 @@ def runs(data: bytes, of: np.ndarray, prefix: int = 0):
     return tuple(np.concatenate(x) if x[0] is not None else None for x in zip(*parts, strict=True))
 
 
+#: Characters beyond ASCII that part words, and those of scripts that write no spaces, each a word of its own.
+_MARK = regex.compile(r"[^\x00-\x7f\p{L}\p{N}\p{M}]")
+_SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*")
+
+
+def plain(text: str) -> bytes:
+    """UTF-8 of a text in which runs of ``ALNUM`` are its words: marks and spaces of any script are blanks."""
+    if not text.isascii():
+        if _MARK.search(text):
+            text = _MARK.sub(" ", text)
+        if _SPACELESS.search(text):
+            text = _SPACELESS.sub(r" \g<0> ", text)
+    return text.encode("utf-8", "surrogatepass")
+
+
 def shingles(text: str, width: int) -> np.ndarray:
     """Hashes of every ``width`` consecutive words; of all words together where there are fewer; none for no words.
 
-    Words are runs of letters and digits, so copies that differ in punctuation share their shingles.
+    Words are runs of letters and digits, so copies that differ in punctuation share their shingles;
+    in scripts without spaces every character is a word.
     """
-    words = runs(text.encode("utf-8", "surrogatepass"), ALNUM)[0]
+    words = runs(plain(text), ALNUM)[0]
     n = max(1, len(words) - width + 1) if len(words) else 0
     width = min(width, len(words))
     out = np.full(n, width, np.uint64)

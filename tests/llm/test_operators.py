@@ -190,10 +190,86 @@ def test_a_group_in_blocks_has_the_same_classes(spark, monkeypatch):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(0, 60, 6)]
     whole = classes(spark, " ".join(base), *texts)
+    monkeypatch.setattr(order_minhash, "TEXT", 0)
     monkeypatch.setattr(order_minhash, "BLOCK", 100)
     assert classes(spark, " ".join(base), *texts) == whole == dict.fromkeys(range(11), 0)
 
 
+def chained(n=14, words_=100):
+    """Texts each near the next alone, so no text is near all others."""
+    row = [f"w{i}" for i in range(words_)]
+    out = [" ".join(row)]
+    for i in range(n - 1):
+        row = [*row]
+        row[i * 7] = f"new{i}"
+        out.append(" ".join(row))
+    return out
+
+
+def test_links_of_texts_unlike_the_pivot_are_kept(spark, monkeypatch):
+    texts = [*chained(), "something else altogether", *(f"far {i} " * 20 for i in range(5))]
+    whole = classes(spark, *texts)
+    assert {whole[i] for i in range(14)} == {0} and whole[14] == 14
+    monkeypatch.setattr(order_minhash, "TEXT", 0)
+    monkeypatch.setattr(order_minhash, "BLOCK", 150)
+    assert classes(spark, *texts) == whole
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 30), st.booleans())
+def test_a_cell_finds_every_link_of_brute_force(seed, n, apart):
+    rng = np.random.default_rng(seed)
+    bases = [[f"b{k}w{i}" for i in range(40)] for k in range(3)]
+    texts = []
+    for _ in range(n):
+        row = list(bases[rng.integers(3)])
+        for _ in range(rng.integers(0, 4)):
+            row[rng.integers(len(row))] = f"x{rng.integers(6)}"
+        texts.append(" ".join(row))
+    texts = list(dict.fromkeys(texts))
+    n = len(texts)
+    left, right = (np.arange(n // 2), np.arange(n // 2, n)) if apart and n > 1 else (np.arange(n), np.arange(n))
+    raw = [order_minhash.shingles(t, 5) for t in texts]
+    near = [(i, j) for i in left for j in right if i != j and order_minhash.similarity(raw[i], raw[j]) >= 0.8]
+
+    def parts(links):
+        parent = list(range(n))
+
+        def root(k):
+            while parent[k] != k:
+                k = parent[k]
+            return k
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        return [root(k) == root(j) for k in range(n) for j in range(n)]
+
+    assert parts(order_minhash._forest(texts, left, right, 5, 0.8)) == parts(near)
+
+
+@pytest.mark.parametrize("where", ["edge", "anywhere"])
+def test_a_cell_of_thousands_of_copies_is_quick(where):
+    import time
+
+    base, texts = [f"w{i}" for i in range(30)], []
+    for i in range(8000):  # at the edge they are near each other, elsewhere they just aren't
+        at = 0 if where == "edge" else i % 30
+        texts.append(" ".join([*base[:at], f"n{i}", *base[at + 1 :]]))
+    began = time.process_time()
+    links = order_minhash._forest(texts, np.arange(8000), np.arange(8000), 5, 0.8)
+    assert time.process_time() - began < (3 if where == "edge" else 20)
+    assert len(links) == 7999 if where == "edge" else 0 < len(links) < 7999
+
+
+def test_scripts_without_spaces_and_typographic_marks(spark):
+    rng = np.random.default_rng(4)
+    han = "".join(chr(0x4E00 + i) for i in rng.integers(0, 3000, 240))
+    said = " ".join(f"word{i}" for i in range(60))
+    quoted = said.replace("word20", "“word20”").replace("word40 ", "word40\u00a0— ")
+    got = classes(spark, han, han[:100] + "新字" + han[102:], said, quoted, "e\u0301tude " * 3, "étude")
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
 def test_one_document_of_each_class_stays(spark):
     rows_ = docs(spark, "a b c d e f", "a b c d e f", "x", "x", ids=[3, 3, 7, 5])
     assert sorted(r.doc_id for r in order_minhash.drop_near_duplicates(rows_).collect()) == [3, 5]
