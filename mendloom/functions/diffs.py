@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mendloom.functions.text import col, lines, occurrences
+from mendloom.functions.text import col, lines, occurrences, once, strip
 from mendloom.schemas import BLOCKS
 
 BLOCK = r"(?msd)^<{3,}\s*SEARCH[^\n]*\n(.*?)^={5,}[^\n]*\n(.*?)^>{3,}\s*REPLACE"
@@ -23,32 +23,57 @@ def no_blocks() -> Column:
 def parse_blocks(x: Column | str, mode: str = "intended") -> Column:
     """All search/replace blocks of a text, one line end cut from each side; none for null.
 
-    ``compat`` reads texts by paragraphs instead: see ``paragraph_blocks``.
+    ``compat`` reads texts by paragraphs instead, and malformed markers by looser patterns: see ``paragraph_blocks``.
     """
     if mode == "compat":
         return paragraph_blocks(x)
-    x = F.coalesce(col(x), F.lit(""))
-    side = lambda i: F.transform(F.regexp_extract_all(x, F.lit(BLOCK), F.lit(i)), lambda s: F.regexp_replace(s, r"\n\z", ""))
-    return F.zip_with(side(1), side(2), lambda s, r: F.struct(s.alias("search"), r.alias("replace")))
+    side = lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(BLOCK), F.lit(i)), lambda s: F.regexp_replace(s, r"\n\z", ""))
+    return once(F.coalesce(col(x), F.lit("")), lambda x: F.zip_with(side(x, 1), side(x, 2), lambda s, r: F.struct(s.alias("search"), r.alias("replace"))))
+
+
+#: Patterns for paragraphs whose markers are malformed, from strict to loose. The first that fits gives the block.
+PRIMARY = r"(?s)<<<+\s*SEARCH\s*>*\n(.*?)\n=+\n(.*?)\n>>>+\s*REPLACE\s*<*"
+NO_SEARCH = r"(?s)<<<+\s*SEARCH\s*>*\n=+\n(.*?)\n>>>+\s*REPLACE\s*<*"
+BLANKS = r"(?s)<<<+\s*SEARCH\s+\n(.*?)\n=+\s+\n(.*?)\n>>>+\s*REPLACE\s+"
+TRAILING = r"(?s)<<<+\s*SEARCH\s*.*?\n(.*?)\n=+.*?\n(.*?)\n>>>+\s*REPLACE\s*.*?"
+NO_DIVIDER = r"(?s)<<+\s*SEARCH\s*>*\n(.*?)>>+\s*REPLACE\s*<*"
+WORDS_ONLY = r"(?s)(?:.*?SEARCH.*?[\r\n]+)(.*?)(?:.*?(?:=+|DIVIDER).*?[\r\n]+)(.*?)(?:.*?REPLACE)"
+
+
+def _loose(s: Column) -> Column:
+    """The block of one malformed paragraph, or null: without a divider its lines are parted in the middle."""
+    fits = lambda p: F.rlike(s, F.lit(p))
+    pair = lambda search, replace: F.struct(search.alias("search"), replace.alias("replace"))
+    groups = lambda p: pair(F.regexp_extract(s, p, 1), F.regexp_extract(s, p, 2))
+    inner = lines(F.regexp_extract(s, NO_DIVIDER, 1))
+    middle = F.floor(F.size(inner) / 2).cast("int")
+    halves = pair(F.array_join(F.slice(inner, F.lit(1), middle), "\n"), F.array_join(F.slice(inner, middle + 1, F.size(inner) - middle), "\n"))
+    words = F.contains(s, F.lit("=====")) | F.contains(s, F.lit("DIVIDER"))
+    out = F.when(fits(PRIMARY), groups(PRIMARY)).when(fits(NO_SEARCH), pair(F.lit(""), F.regexp_extract(s, NO_SEARCH, 1)))
+    out = out.when(fits(BLANKS), groups(BLANKS)).when(fits(TRAILING), groups(TRAILING)).when(fits(NO_DIVIDER), halves)
+    return out.when(words & fits(WORDS_ONLY), pair(strip(F.regexp_extract(s, WORDS_ONLY, 1)), strip(F.regexp_extract(s, WORDS_ONLY, 2))))
 
 
 def paragraph_blocks(x: Column | str) -> Column:
-    """Blocks as paragraphs: one a paragraph at most, both sides stripped.
+    """Blocks as paragraphs: one a paragraph at most, both sides stripped; malformed ones by ever looser patterns.
 
     A text in which a marker line lacks its partners, or a divider line stands before a search marker,
     has none; so has an ordinary text of several blocks, and code with blank lines is cut apart. Blocks
     glued together without a blank line are parted between REPLACE and SEARCH.
     """
-    x = F.coalesce(col(x), F.lit(""))
-    has = lambda p: F.rlike(x, F.lit(p))
-    orphan = (has("=======") & has("REPLACE") & ~has("SEARCH")) | (has("SEARCH") & ~has("=======") & ~has("REPLACE")) | has(r"(?s)=+\n.*?\n<<<+\s*SEARCH")
-    parted = F.split(x, "\n\n", -1)
-    glued = F.split(x, r"(?<=REPLACE)\s*(?=<+\s*SEARCH)", -1)
-    pieces = F.when((F.size(parted) == 1) & (occurrences(x, "SEARCH") > 1), glued).otherwise(parted)
-    piece = r"(?s)SEARCH[^\n]*\n(.*?)=======[^\n]*\n(.*?)[^\n]*REPLACE"
-    side = lambda s, i: F.regexp_replace(F.regexp_extract(s, piece, i), r"^\s+|\s+\z", "")
-    found = F.transform(F.filter(pieces, lambda s: F.rlike(s, F.lit(piece))), lambda s: F.struct(side(s, 1).alias("search"), side(s, 2).alias("replace")))
-    return F.when(orphan, no_blocks()).otherwise(found)
+
+    def parsed(x: Column) -> Column:
+        has = lambda p: F.rlike(x, F.lit(p))
+        orphan = (has("=======") & has("REPLACE") & ~has("SEARCH")) | (has("SEARCH") & ~has("=======") & ~has("REPLACE")) | has(r"(?s)=+\n.*?\n<<<+\s*SEARCH")
+        parted = F.split(x, "\n\n", -1)
+        glued = F.split(x, r"(?<=REPLACE)\s*(?=<+\s*SEARCH)", -1)
+        pieces = F.when((F.size(parted) == 1) & (occurrences(x, "SEARCH") > 1), glued).otherwise(parted)
+        piece = r"(?s)SEARCH[^\n]*\n(.*?)=======[^\n]*\n(.*?)[^\n]*REPLACE"
+        side = lambda s, i: F.regexp_replace(F.regexp_extract(s, piece, i), r"^\s+|\s+\z", "")
+        found = F.transform(pieces, lambda s: F.when(F.rlike(s, F.lit(piece)), F.struct(side(s, 1).alias("search"), side(s, 2).alias("replace"))).otherwise(_loose(s)))
+        return F.when(orphan, no_blocks()).otherwise(F.filter(found, lambda b: b.isNotNull()))
+
+    return once(F.coalesce(col(x), F.lit("")), parsed)
 
 
 def apply_blocks(code: Column | str, blocks: Column | str) -> Column:
@@ -76,7 +101,10 @@ def hunk_blocks(x: Column | str) -> Column:
 
 def format_quality(x: Column | str, mode: str = "intended") -> Column:
     """How well a text keeps the block format, from 0 to 1; ``mode`` is that of ``parse_blocks``."""
-    x = col(x)
+    return once(F.coalesce(col(x), F.lit("")), lambda text: _quality(text, mode))
+
+
+def _quality(x: Column, mode: str) -> Column:
     has = lambda p: F.rlike(x, F.lit(p))
     n = {w: occurrences(x, w) for w in ("SEARCH", "REPLACE", "=======")}
     both = (n["SEARCH"] > 0) & (n["REPLACE"] > 0)
@@ -95,10 +123,10 @@ def format_quality(x: Column | str, mode: str = "intended") -> Column:
         + cost(0.05, has(r"=+\s+\n"))
         + cost(0.3, has(r"(?s)REPLACE.*?SEARCH") & ~has(r"(?s)SEARCH.*?REPLACE"))
         + cost(0.1, has(r"SEARCH[^\n]") | has(r"REPLACE[^\n]"))
-        + F.when(both, F.when(found == 0, 0.2).otherwise(cost(0.1, ~has(PERFECT)))).otherwise(0.0)
+        + F.when(both, F.when(found == 0, 0.2).otherwise(cost(0.1, ~has(PRIMARY)))).otherwise(0.0)
     )
     scored = F.when(base < 0.5, F.greatest(F.lit(0.0), base)).when(perfect, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - less)))
-    return F.when(F.coalesce(x, F.lit("")) == "", 0.0).otherwise(F.round(scored, 6))
+    return F.when(x == "", 0.0).otherwise(F.round(scored, 6))
 
 
 def diff_blocks(before: Column | str, after: Column | str, context: int = 2) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendloom.functions.chat import header_format
 from mendloom.functions.text import col, strip
 
 REPAIR_SYSTEM = "You repair source code. Reply with search/replace blocks inside <answer> tags."
@@ -43,9 +44,17 @@ def regex_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\w+|[^\w\s]")).cast("int")
 
 
-def by_length(df: DataFrame, system: str, most: int, user: str = "user_prompt", count: Callable[[Column], Column] = regex_tokens) -> DataFrame:
-    """Rows whose system and user text have ``most`` tokens at most, with tokenized_length."""
-    return df.withColumn("tokenized_length", count(F.concat(F.lit(system + "\n"), F.col(user)))).where(F.col("tokenized_length") <= most)
+def templated(messages: Column) -> Column:
+    """Messages in the header format, up to where the answer begins."""
+    return header_format(messages, "01 Jan 2025", bos="<|begin_of_text|>", prompt=True)
+
+
+def by_length(df: DataFrame, system: str, most: int, user: str = "user_prompt", count: Callable[[Column], Column] = regex_tokens, template: Callable[[Column], Column] = templated) -> DataFrame:
+    """Rows whose system and user message, as a chat template renders them, have ``most`` tokens at most, with tokenized_length.
+
+    ``count`` is the tokenizer's: see ``tokens.id_counter`` for one from a file.
+    """
+    return df.withColumn("tokenized_length", count(template(chat(system, user)))).where(F.col("tokenized_length") <= most)
 
 
 def vulnerability_description(cwe: Column | str, description: Column | str) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Patterns that decide which blocks, commands, paths and failures count.
 FENCE = r"(?s)```(?:.*?)\n(.*?)```"
 SEARCH_COMMAND = r"\b(rg|grep|find)\b"
 READ_COMMAND = r"\b(sed|head|tail)\b"
@@ -20,6 +23,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of an expression that is computed a single time, however often ``f`` uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(col(x), r"^\s+|\s+\z", "")
@@ -82,6 +90,10 @@ def strict_reasoning(x: Column | str) -> Column:
     return F.rlike(col(x), F.lit(r"^<think>\n([\s\S]+?)\n</think>\n<answer>\n([^\n]+)\n</answer>\s*\z")).cast("double")
 
 
+#: Columns that may hold a result's patch, the first that has one counts.
+PATCH_COLUMNS = ("generated_diff", "patch", "diff", "model_patch")
+
+
 def first_full(*options: Column | str) -> Column:
     """The first that is neither null nor empty, else ''."""
     return F.coalesce(*(F.nullif(col(o), F.lit("")) for o in options), F.lit(""))

@@ -3,67 +3,83 @@
 from __future__ import annotations
 
 import ast
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mendloom.functions.text import col
 from mendloom.schemas import TASK
 
+#: Words that mark SQL, boilerplate and sections.
 SQL_WORDS = ("SELECT", "FROM", "WHERE", "JOIN", "GROUP BY", "ORDER BY", "HAVING", "UNION", "INSERT", "UPDATE", "DELETE", "CREATE TABLE")
 BOILERPLATE = ("# noqa", ":rtype:", "Gets the", "Sets the")
 SECTIONS = "args:|arguments:|parameters:|params:|returns:|yields:|raises:|example"
 
 
-def _names(target: ast.expr) -> list[str]:
-    inner = target.elts if isinstance(target, ast.Tuple | ast.List) else [target]
-    return [x.id for x in inner if isinstance(x, ast.Name)]
+def _plain(target: ast.expr | None) -> list[str]:
+    return [target.id] if isinstance(target, ast.Name) else []
 
 
 def _variables(node: ast.AST) -> set[str]:
+    """Arguments and assigned names. Tuples and lists count in plain assignments alone."""
     found = {a.arg for a in node.args.args}
     for x in ast.walk(node):
         if isinstance(x, ast.Assign):
-            targets = x.targets
+            for t in x.targets:
+                found.update(n for e in (t.elts if isinstance(t, ast.Tuple | ast.List) else [t]) for n in _plain(e))
         elif isinstance(x, ast.AnnAssign | ast.For):
-            targets = [x.target]
+            found.update(_plain(x.target))
         elif isinstance(x, ast.With):
-            targets = [i.optional_vars for i in x.items if i.optional_vars is not None]
-        else:
-            continue
-        found.update(n for t in targets for n in _names(t))
+            found.update(n for i in x.items for n in _plain(i.optional_vars))
     return found
 
 
-@udtf(returnType=TASK)
-class MineFunctions:
-    """Rows for the documented functions of one Python file, outer before inner, with what the filters need."""
-
-    def eval(self, content: str):
-        try:
-            tree = ast.parse(content or "")
-            nodes = list(ast.walk(tree))
-        except (SyntaxError, ValueError, RecursionError):
-            return
-        rows = (content or "").split("\n")
-        for node in nodes:
-            if not isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                continue
-            docstring = ast.get_docstring(node)
-            if not docstring:
-                continue
-            start, end = min([node.lineno, *(d.lineno for d in node.decorator_list)]), node.end_lineno
-            masked = [*rows[: start - 1], f"# MASKED: {node.name} function (lines {start}-{end})", *rows[end:]]
-            literals = [x.value for x in ast.walk(node) if isinstance(x, ast.Constant) and isinstance(x.value, str)]
-            decorated = any(isinstance(d, ast.Name) and d.id == "property" for d in node.decorator_list)
-            control = any(isinstance(x, ast.If | ast.For | ast.While) for x in node.body)
-            yield node.name, docstring, start, end, "\n".join(rows[start - 1 : end]), "\n".join(masked).removesuffix("\n"), len(node.body), len(_variables(node)), control, decorated, isinstance(node, ast.AsyncFunctionDef), literals
+def documented(content: str) -> Iterator[tuple]:
+    """Rows for the documented functions of one Python file, outer before inner, with what the filters need.
+
+    Lines end as the parser ends them, so a file with carriage returns has the same spans.
+    """
+    try:
+        nodes = list(ast.walk(ast.parse(content)))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return
+    rows = re.split(r"\r\n|\r|\n", content)
+    for node in nodes:
+        if not isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            continue
+        docstring = ast.get_docstring(node)
+        if not docstring:
+            continue
+        start, end = min([node.lineno, *(d.lineno for d in node.decorator_list)]), node.end_lineno
+        masked = [*rows[: start - 1], f"# MASKED: {node.name} function (lines {start}-{end})", *rows[end:]]
+        literals = [x.value for x in ast.walk(node) if isinstance(x, ast.Constant) and isinstance(x.value, str)]
+        decorated = any(isinstance(d, ast.Name) and d.id == "property" for d in node.decorator_list)
+        control = any(isinstance(x, ast.If | ast.For | ast.While) for x in node.body)
+        yield node.name, docstring, start, end, "\n".join(rows[start - 1 : end]), "\n".join(masked).removesuffix("\n"), len(node.body), len(_variables(node)), control, decorated, isinstance(node, ast.AsyncFunctionDef), literals
 
 
 def mine(files: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:
-    """One row per documented function of each file."""
-    return files.select(key, content).lateralJoin(MineFunctions(F.col(content).outer())).drop(content)
+    """One row per documented function of each file; a null file has none."""
+    read = files.select(key, content)
+    schema = T.StructType([read.schema[key], *T._parse_datatype_string(TASK).fields])
+    shape = to_arrow_schema(schema)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, found = [], []
+            for i, text in enumerate(batch.column(1)):
+                own = list(documented(text.as_py() or ""))
+                found += own
+                place += [i] * len(own)
+            columns = list(zip(*found, strict=True)) or [()] * (len(shape) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), *(pa.array(c, f.type) for c, f in zip(columns, list(shape)[1:], strict=True))], names=shape.names)
+
+    return read.mapInArrow(emit, schema)
 
 
 def mask_span(content: Column | str, name: Column | str, start: Column | str, end: Column | str) -> Column:

@@ -53,10 +53,12 @@ def slice_bounds(spec: str) -> tuple[int, int | None]:
 
 
 def sliced(df: DataFrame, key: Sequence[str], spec: str) -> DataFrame:
-    """Rows of a half-open slice in the order of ``key``; the end is clamped."""
+    """Rows of a half-open slice in the order of ``key``; the end is clamped. No task holds more than a range of the rows."""
     start, end = slice_bounds(spec)
-    rows = df.orderBy(*key).offset(start)
-    return rows if end is None else df.orderBy(*key).limit(end).offset(start)
+    if not spec:
+        return df
+    inside = F.col("slice_no_") >= start
+    return numbered(df, key, "slice_no_").where(inside if end is None else inside & (F.col("slice_no_") < end)).drop("slice_no_")
 
 
 def task_slices(df: DataFrame, key: Sequence[str], size: int) -> DataFrame:
@@ -71,8 +73,10 @@ def shard_of(row_no: Column, rows: Column, shards: int) -> Column:
     return F.when(row_no < edge, F.floor(row_no / (small + 1))).otherwise(extra + F.floor((row_no - edge) / F.greatest(small, F.lit(1)))).cast("long")
 
 
-def sharded(df: DataFrame, key: Sequence[str], shards: int) -> DataFrame:
-    """Rows with their shard, in the order of ``key``."""
+def sharded(df: DataFrame, key: Sequence[str], shards: int, contiguous: bool = True) -> DataFrame:
+    """Rows with their shard, in the order of ``key``: a stretch of rows each, or every ``shards``-th row."""
+    if not contiguous:
+        return numbered(df, key).withColumn("shard", F.col("row_no") % shards)
     total = df.agg(F.count("*").alias("rows_"))
     return numbered(df, key).crossJoin(F.broadcast(total)).withColumn("shard", shard_of(F.col("row_no"), F.col("rows_"), shards)).drop("rows_")
 

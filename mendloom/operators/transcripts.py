@@ -92,12 +92,19 @@ def habits(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key).agg(F.round(score, 6).alias("habits"))
 
 
+def _chain(found: DataFrame, key: str) -> DataFrame:
+    """``found`` with ``takes_up``: whether a read takes up a path that the first successful search among ten calls named."""
+    whole = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    search = F.when(F.col("ok") & F.rlike("cmd", F.lit(SEARCH_COMMAND)) & (F.col("pos") <= 10), F.struct("pos", "response"))
+    led = found.withColumn("first_", F.first(search, ignorenulls=True).over(whole))
+    named = F.exists(path_tokens("first_.response"), lambda t: F.contains(F.col("cmd"), t))
+    reads = F.col("ok") & F.rlike("cmd", F.lit(READ_COMMAND)) & (F.col("pos") > F.col("first_.pos"))
+    return led.withColumn("takes_up", F.coalesce(reads & named, F.lit(False))).drop("first_")
+
+
 def chained(found: DataFrame, key: str) -> DataFrame:
     """Keys whose first successful search among ten calls names a path that a later read takes up."""
-    search = found.where(F.col("ok") & F.rlike("cmd", F.lit(SEARCH_COMMAND)) & (F.col("pos") <= 10))
-    first = search.groupBy(key).agg(F.min("pos").alias("from_"), F.min_by("response", "pos").alias("said")).withColumn("tokens", path_tokens("said")).where(F.size("tokens") > 0)
-    reads = found.where(F.col("ok") & F.rlike("cmd", F.lit(READ_COMMAND)))
-    return first.join(reads, key).where((F.col("pos") > F.col("from_")) & F.exists("tokens", lambda t: F.contains(F.col("cmd"), t))).select(key).distinct()
+    return _chain(found, key).where("takes_up").select(key).distinct()
 
 
 def depth(found: DataFrame, key: str) -> DataFrame:
@@ -107,23 +114,24 @@ def depth(found: DataFrame, key: str) -> DataFrame:
     repeated commands, repeated failures and truncated output cost up to 0.2.
     """
     order = Window.partitionBy(key).orderBy("pos")
-    marked = found.withColumns(
+    marked = _chain(found, key).withColumns(
         {
             "early": F.col("pos") <= 10,
-            "same": F.count("*").over(Window.partitionBy(key, "cmd", F.col("pos") <= 10)) > 1,
             "again": ~F.col("ok") & ~F.coalesce(F.lag("ok").over(order), F.lit(True)) & (F.col("cmd") == F.lag("cmd").over(order)),
         }
     )
     scoped = F.rlike("cmd", F.lit(SEARCH_SCOPE)) | F.contains("cmd", F.lit("/")) | F.rlike("response", F.lit(PATH_TOKEN))
-    summed = marked.join(chained(found, key).withColumn("chain", F.lit(True)), key, "left").groupBy(key).agg(
-        F.max(F.coalesce("chain", F.lit(False))).alias("chain"),
+    first = F.collect_list(F.when(F.col("early"), F.col("cmd")))
+    summed = marked.groupBy(key).agg(
+        F.max("takes_up").alias("chain"),
         F.when(F.count("*") >= 6, 0.2 * F.count_if((F.col("pos") <= 6) & F.col("ok")) / 6).otherwise(0.0).alias("success"),
         _any(F.col("ok") & F.rlike("cmd", F.lit(PRECISE_READ)), 0.2).alias("precise"),
         _any(F.col("early") & F.col("ok") & F.rlike("cmd", F.lit(SEARCH_COMMAND)) & scoped, 0.15).alias("scope"),
-        (_any(F.col("early") & F.col("same"), 0.07) + _any(F.col("early") & F.col("again"), 0.07)).alias("repeats"),
+        F.when(F.size(F.array_distinct(first)) < F.size(first), 0.07).otherwise(0.0).alias("same"),
+        _any(F.col("early") & F.col("again"), 0.07).alias("again"),
         F.bool_or(F.col("early") & F.contains(F.lower("response"), F.lit("truncated"))).alias("truncated"),
     )
     precise = F.when(F.col("chain"), 0.0).otherwise(F.col("precise"))
-    penalty = F.least(F.col("repeats") + F.when((precise == 0) & F.col("truncated"), 0.1).otherwise(0.0), F.lit(0.2))
+    penalty = F.least(F.col("same") + F.col("again") + F.when((precise == 0) & F.col("truncated"), 0.1).otherwise(0.0), F.lit(0.2))
     total = F.when(F.col("chain"), 0.25).otherwise(F.col("precise") + F.col("scope")) + F.col("success") - penalty
     return summed.select(key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6).alias("depth"))

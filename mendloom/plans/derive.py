@@ -43,7 +43,7 @@ def reasoned(docs: DataFrame) -> DataFrame:
 
 def fenced(docs: DataFrame) -> DataFrame:
     """(doc_id, completion): one, two or no fenced blocks."""
-    s = F.coalesce("source", F.lit("s"))
+    s = F.coalesce("text", F.lit("s"))
     return docs.select("doc_id", by_modulus(F.col("doc_id"), say("see ```py\n", s, "\n``` end"), say("```\n", s, "\n``` and ```js\nx\n```"), say("no ", s)).alias("completion"))
 
 
@@ -111,6 +111,14 @@ def source_files(part: DataFrame) -> DataFrame:
     return part.select(k.alias("file_id"), say("import os\n\n\n@staticmethod\ndef f", (k % 7).cast("string"), "(a, b):\n", doc, body, "\n\nz = 1\n").alias("content"))
 
 
+def odd_sources(part: DataFrame) -> DataFrame:
+    """(file_id, content): a file with targets of several kinds, every second one with carriage returns."""
+    k = F.col("p_partkey")
+    code = F.when(k % 2 == 0, "    for i, j in a:\n        x = i\n    with open(b) as (f, g):\n        y: int = 1\n    return x\n").otherwise("    for i in a:\n        x, z = i\n    with b as f:\n        f[0] = 1\n    return x\n")
+    whole = say("import os\n\ndef f(a):\n    'Part ", k.cast("string"), "'\n", code, "\nz = 1\n")
+    return part.select(k.alias("file_id"), F.when(k % 2 == 0, F.replace(whole, F.lit("\n"), F.lit("\r\n"))).otherwise(whole).alias("content"))
+
+
 def vulnerabilities(docs: DataFrame) -> DataFrame:
     """Pairs of functions by hash: even ids are vulnerable; one pair in five is of type Other."""
     k, pair = F.col("doc_id"), F.floor(F.col("doc_id") / 2)

@@ -90,7 +90,7 @@ def predictions(inputs: DataFrame, results: DataFrame, model: str, scaffold: str
     """A prediction for every input of the slice, empty where no result has a patch."""
     taken = selection.sliced(inputs.select("instance_id"), ["instance_id"], spec)
     joined = taken.join(results, "instance_id", "left")
-    patch = text.first_full("generated_diff", "patch") if "patch" in results.columns else text.first_full("generated_diff")
+    patch = text.first_full(*(c for c in text.PATCH_COLUMNS if c in results.columns))
     return joined.select("instance_id", F.lit(f"{scaffold}-{model}").alias("model_name_or_path"), patch.alias("model_patch"))
 
 

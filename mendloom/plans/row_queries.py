@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendloom.functions import chat, prompts, text
-from mendloom.operators import rewards, selection, transcripts
+from mendloom.operators import evaluation, rewards, selection, transcripts
 from mendloom.plans import derive
 from mendloom.plans.derive import by_modulus, say, table
 from mendloom.plans.registry import query
@@ -55,10 +55,18 @@ def _(spark, d):
     return io.scan_predictions(lines)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _logs(spark, d) -> str:
+    """A folder with a message log for every twelfth of the events, some lines of which are bad."""
+    at, k = scratch(spark, "logs"), F.col("event_id")
+    lines = table(spark, d, EVT).select((k % 12).alias("file"), k, F.when(k % 97 == 50, say("{bad ", k.cast("string"))).otherwise(F.to_json(F.struct(k.alias("id")))).alias("line"))
+    lines.repartition(12, "file").sortWithinPartitions("file", "event_id").select("file", "line").write.partitionBy("file").text(at)
+    return f"{at}/*/*"
+
+
 @query("s4_until_bad_line", "WITH b AS (SELECT event_id % 12 AS shard, min(event_id) FILTER (event_id % 97 = 50) AS bad FROM events GROUP BY 1) SELECT event_id % 12 AS file, event_id AS line_no FROM events JOIN b ON b.shard = event_id % 12 WHERE bad IS NULL OR event_id < bad")
 def _(spark, d):
-    lines = table(spark, d, EVT).select((F.col("event_id") % 12).alias("file"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 97 == 50, "{bad").otherwise('{"role":"user"}').alias("line"))
-    return io.until_bad(lines).select("file", "line_no")
+    lines = io.until_bad(io.numbered_lines(spark, _logs(spark, d)))
+    return lines.select(F.regexp_extract("file", r"file=(\d+)/", 1).cast("long").alias("file"), F.get_json_object("line", "$.id").cast("long").alias("line_no"))
 
 
 @query("s5_shard_discovery", "WITH p AS (SELECT DISTINCT event_id % 13 AS s FROM events), q AS (SELECT CASE WHEN s = 12 THEN 'r/shard_x/preds.jsonl' WHEN s = 11 THEN 'r/shard-11/preds.jsonl' ELSE concat('r/shard_', s, '/preds.jsonl') END AS path, CASE WHEN s = 12 THEN 1000000000 ELSE s END AS number FROM p) SELECT path, number, row_number() OVER (ORDER BY number, path) AS place FROM q")
@@ -78,7 +86,12 @@ def _history(spark, d) -> DataFrame:
 
 @query("s6_history_folders", "SELECT conv_id AS dir, max(role) FILTER (turn = 1) AS diff, max(role) FILTER (turn = 3) AS tools FROM conversations GROUP BY 1 HAVING count(DISTINCT turn) FILTER (turn < 4) = 4")
 def _(spark, d):
-    return io.complete_history(_history(spark, d)).select("dir", "diff", "tools")
+    at = scratch(spark, "history")
+    _history(spark, d).select("dir", "name", "value").repartition("dir").write.partitionBy("dir", "name").text(at)
+    # One writer a folder: its files lie under dir=<dir>/name=<file>.
+    read = spark.read.text(f"{at}/*/*", wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -3).alias("dir"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("name"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+    named = read.select(F.substring_index("dir", "=", -1).cast("long").alias("dir"), F.substring_index("name", "=", -1).alias("name"), "value")
+    return io.complete_history(named).select("dir", "diff", "tools")
 
 
 @query("s7_json_documents", "SELECT DISTINCT conv_id AS dir, concat('m', conv_id % 3) AS model FROM conversations WHERE turn = 0 AND conv_id % 9 <> 0")
@@ -89,14 +102,13 @@ def _(spark, d):
 
 @query("s8_declared_schema", "SELECT CAST(doc_id AS VARCHAR) AS instance_id, source AS repo, n_chars FROM documents")
 def _(spark, d):
-    return table(spark, d, DOC).select(F.col("doc_id").alias("instance_id"), F.col("source").alias("repo"), "n_chars").to(spark.createDataFrame([], "instance_id string, repo string, n_chars long").schema)
+    return table(spark, d, DOC).select(F.col("doc_id").alias("instance_id"), F.col("source").alias("repo"), "n_chars").transform(evaluation.declared, "instance_id string, repo string, n_chars long")
 
 
 @query("s9_result_tree", "SELECT DISTINCT concat(coalesce(source, 's'), '__run', doc_id % 3) AS run_id, coalesce(source, 's') AS model FROM documents")
 def _(spark, d):
     path = say("results/", F.coalesce("source", F.lit("s")), "__run", (F.col("doc_id") % 3).cast("string"), "/preds.jsonl")
-    folder = F.element_at(F.split(path, "/"), -2)
-    return table(spark, d, DOC).select(folder.alias("run_id"), F.split(folder, "__")[0].alias("model")).distinct()
+    return evaluation.result_tree(table(spark, d, DOC).select(path.alias("path")))
 
 
 @query("k1_table_write", "SELECT doc_id, source, n_chars FROM documents")
@@ -124,7 +136,7 @@ def _(spark, d):
 
 @query("p1_constant_prompt", "SELECT doc_id, 'Dummy' AS prompt FROM documents")
 def _(spark, d):
-    return table(spark, d, DOC).select("doc_id", F.lit("Dummy").alias("prompt"))
+    return evaluation.constant_prompt(table(spark, d, DOC).select("doc_id"))
 
 
 @query("p2_docstring_task", "SELECT p_partkey, p_name AS before_code, concat('Write the body of `f', p_size, '` (lines ', p_size, '-', p_size + 3, '):\n', p_brand) AS description FROM part")
@@ -202,9 +214,11 @@ def _(spark, d):
     return table(spark, d, DOC).select(F.col("doc_id").cast("string").alias("instance_id"), say("agent-", F.col("source")).alias("model_name_or_path"), F.col("lang").alias("model_patch"))
 
 
-@query("p14_eval_input", "SELECT doc_id AS instance_id, coalesce(lang, '') AS version FROM documents")
+@query("p14_eval_input", "SELECT doc_id AS instance_id, coalesce(source, '') AS repo, coalesce(lang, '') AS version FROM documents")
 def _(spark, d):
-    return table(spark, d, DOC).select(F.col("doc_id").alias("instance_id"), F.coalesce("lang", F.lit("")).alias("version"))
+    none = {c: F.lit("") for c in ("base_commit", "problem_statement", "patch", "test_patch")}
+    problems = table(spark, d, DOC).select(F.col("doc_id").alias("instance_id"), F.coalesce("source", F.lit("")).alias("repo"), F.col("lang").alias("version")).withColumns(none)
+    return evaluation.eval_inputs(problems).select("instance_id", "repo", "version")
 
 
 @query("p15_run_tag", "SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(replace(concat('/', p_name, '/', p_brand, ' '), '/', '__'), ' ', '_'), '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '_') AS tag FROM part")
@@ -212,16 +226,28 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", text.run_tag(say("/", F.col("p_name"), "/", F.col("p_brand"), " ")).alias("tag"))
 
 
+@query("p15_adapter_tag", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'org_base' ELSE concat('org_base__lora__', replace(coalesce(lang, 'l'), ' ', '_'), '_', doc_id) END AS tag FROM documents")
+def _(spark, d):
+    adapter = F.when(F.col("doc_id") % 2 == 1, say("runs/x/", F.coalesce("lang", F.lit("l")), " ", F.col("doc_id").cast("string"), "/"))
+    return table(spark, d, DOC).select("doc_id", evaluation.adapter_tag(F.lit("org/base"), adapter).alias("tag"))
+
+
+@query("p16_dataset_names", "SELECT doc_id, concat('me/SFT-', coalesce(source, 's'), '-', CASE WHEN doc_id % 2 = 0 THEN 'local' ELSE 'm1' END) AS name FROM documents")
+def _(spark, d):
+    model = F.when(F.col("doc_id") % 2 == 0, "").otherwise("org/m1")
+    return table(spark, d, DOC).select("doc_id", evaluation.dataset_name("me", say("org/", F.coalesce("source", F.lit("s"))), model).alias("name"))
+
+
 @query("p16_names", "SELECT doc_id, concat('https://github.com/', source, '/', lang, '.git') AS repo_url, lower(concat('eval.x86_64.', source, '_1776_', doc_id)) AS image, left(md5(CAST(doc_id AS VARCHAR)), 7) AS short_commit FROM documents")
 def _(spark, d):
     k = F.col("doc_id").cast("string")
-    return table(spark, d, DOC).select("doc_id", say("https://github.com/", F.col("source"), "/", F.col("lang"), ".git").alias("repo_url"), F.lower(F.replace(say("eval.x86_64.", F.col("source"), "__", k), F.lit("__"), F.lit("_1776_"))).alias("image"), F.left(F.md5(F.encode(k, "UTF-8")), F.lit(7)).alias("short_commit"))
+    return table(spark, d, DOC).select("doc_id", evaluation.repo_url("source", "lang").alias("repo_url"), evaluation.image_uri(say(F.col("source"), "__", k)).alias("image"), evaluation.short_commit(F.md5(F.encode(k, "UTF-8"))).alias("short_commit"))
 
 
 @query("p17_run_id", "SELECT doc_id, concat(coalesce(source, 's'), '__', coalesce(lang, 'l')) AS run_id FROM documents")
 def _(spark, d):
     path = say(F.coalesce("source", F.lit("s")), "__", F.coalesce("lang", F.lit("l")), "__", F.col("doc_id").cast("string"))
-    return table(spark, d, DOC).select("doc_id", F.concat_ws("__", F.split(path, "__")[0], F.split(path, "__")[1]).alias("run_id"))
+    return table(spark, d, DOC).select("doc_id", evaluation.run_id(path).alias("run_id"))
 
 
 # Filters
@@ -232,10 +258,14 @@ def _(spark, d):
     return table(spark, d, "labels").where(F.col("quality") > 0.2).select("doc_id", "quality")
 
 
-@query("f2_prompt_length", f"SELECT doc_id, len(regexp_extract_all(concat('{prompts.REPAIR_SYSTEM}', '\n', source, ' ', repeat('x ', doc_id % 50)), '\\w+|[^\\w\\s]')) AS tokenized_length FROM documents WHERE doc_id % 50 <= 40 - len(regexp_extract_all('{prompts.REPAIR_SYSTEM} a', '\\w+|[^\\w\\s]')) AND source IS NOT NULL")
+_HEAD = "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\nCutting Knowledge Date: December 2023\nToday Date: 01 Jan 2025\n\n" + prompts.REPAIR_SYSTEM + "<|eot_id|><|start_header_id|>user<|end_header_id|>\n\n"
+_TAIL = "<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n"
+
+
+@query("f2_prompt_length", rf"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(concat('{_HEAD}', source, ' ', repeat('x ', doc_id % 50), '{_TAIL}'), '\w+|[^\w\s]')) AS tokenized_length FROM documents WHERE source IS NOT NULL) WHERE tokenized_length <= 120")
 def _(spark, d):
     docs = table(spark, d, DOC).select("doc_id", say(F.col("source"), " ", F.expr("repeat('x ', cast(doc_id % 50 as int))")).alias("user_prompt"))
-    return prompts.by_length(docs, prompts.REPAIR_SYSTEM, 40).select("doc_id", F.col("tokenized_length").cast("long").alias("tokenized_length"))
+    return prompts.by_length(docs, prompts.REPAIR_SYSTEM, 120).select("doc_id", F.col("tokenized_length").cast("long").alias("tokenized_length"))
 
 
 _VUL_SQL = "SELECT concat('f', doc_id, '()') AS func FROM documents WHERE "
@@ -325,6 +355,11 @@ def _(spark, d):
     return selection.sharded(table(spark, d, DOC).select("doc_id"), ["doc_id"], 20).select("doc_id", "shard")
 
 
+@query("r5_strided_shards", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 20 AS shard FROM documents")
+def _(spark, d):
+    return selection.sharded(table(spark, d, DOC).select("doc_id"), ["doc_id"], 20, contiguous=False).select("doc_id", "shard")
+
+
 @query("r6_seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY md5(concat(doc_id, '#42')), doc_id) - 1 AS row_no FROM documents")
 def _(spark, d):
     keyed = table(spark, d, DOC).select("doc_id", selection.shuffle_key(F.col("doc_id"), 42).alias("at"))
@@ -384,12 +419,12 @@ _CHAIN = "SELECT s.session FROM (SELECT session, min(pos) AS p FROM c WHERE e =
 
 @query("j5_search_then_read", f"WITH c AS ({derive.CALLS_SQL}) SELECT DISTINCT session FROM ({_CHAIN})")
 def _(spark, d):
-    return transcripts.chained(transcripts.calls(derive.transcripts(table(spark, d, EVT)), "session"), "session")
+    return transcripts.chained(transcripts.calls_by_window(derive.transcripts(table(spark, d, EVT)), "session"), "session")
 
 
 @query("j6_completion_answer", "SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id)")
 def _(spark, d):
-    return table(spark, d, DOC).select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return evaluation.with_answers(table(spark, d, DOC).select("doc_id"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
 
 
 @query("j7_block_zip", "SELECT p_partkey, i AS block_no, CASE WHEN i < 1 + p_partkey % 2 THEN p_name ELSE '' END AS a_search, CASE WHEN i < 1 + p_partkey % 3 THEN p_brand ELSE '' END AS b_search FROM part, range(3) t(i) WHERE i < 1 + greatest(p_partkey % 2, p_partkey % 3)")
@@ -405,10 +440,10 @@ def _(spark, d):
     return io.complete_history(_history(spark, d)).select("dir")
 
 
-@query("j9_missing_shards", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("j9_missing_shards", "SELECT DISTINCT event_id // 5 AS shard FROM events WHERE event_id // 5 NOT IN (SELECT event_id // 5 FROM events WHERE event_type = 'purchase')")
 def _(spark, d):
-    e = table(spark, d, EVT)
-    return e.select("user_id").distinct().join(e.where("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
+    e = table(spark, d, EVT).select(F.floor(F.col("event_id") / 5).cast("long").alias("shard"), "event_type")
+    return evaluation.missing_shards(e, e.where("event_type = 'purchase'"), "shard")
 
 
 @query("j10_inputs_results", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -454,25 +489,23 @@ def _(spark, d):
 
 @query("a6_filter_counts", "SELECT count(*) AS before, count(*) FILTER (n_chars <= 1000) AS after FROM documents")
 def _(spark, d):
-    return table(spark, d, DOC).agg(F.count("*").alias("before"), F.count_if(F.col("n_chars") <= 1000).alias("after"))
+    return evaluation.filter_counts(table(spark, d, DOC), F.col("n_chars") <= 1000)
 
 
 @query("a10_recovery_summary", "SELECT count(*) AS recovered, round(avg(n), 6) AS mean_messages, round(avg(chars), 6) AS mean_diff FROM (SELECT conv_id, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY 1)")
 def _(spark, d):
-    made = chat.conversations(table(spark, d, "conversations")).select(F.size("messages").alias("n"), F.length(F.array_join(F.transform("messages", lambda m: m["content"]), "")).alias("chars"))
-    return made.agg(F.count("*").alias("recovered"), F.round(F.avg("n"), 6).alias("mean_messages"), F.round(F.avg("chars"), 6).alias("mean_diff"))
+    made = chat.conversations(table(spark, d, "conversations")).withColumn("generated_diff", F.array_join(F.transform("messages", lambda m: m["content"]), ""))
+    return evaluation.recovery_summary(made)
 
 
 @query("a11_patch_count", "SELECT count(*) FILTER (doc_id % 3 = 0) AS with_patch, count(*) AS total FROM documents")
 def _(spark, d):
-    patch = F.when(F.col("doc_id") % 3 == 0, "p").otherwise("")
-    return table(spark, d, DOC).agg(F.count_if(patch != "").alias("with_patch"), F.count("*").alias("total"))
+    return evaluation.patch_count(table(spark, d, DOC).select(F.when(F.col("doc_id") % 3 == 0, "p").otherwise("").alias("model_patch")))
 
 
 @query("a12_curation_summary", f"SELECT count(*) AS attempted, count(DISTINCT p) AS problems, count(*) FILTER (f) AS failed FROM (SELECT DISTINCT doc_id // 8 AS p, r, {_FAILED_SQL} AS f FROM documents, range(2) t(r))")
 def _(spark, d):
-    r = derive.rollouts(table(spark, d, DOC))
-    return r.agg(F.count("*").alias("attempted"), F.count_distinct("instance_id").alias("problems"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return evaluation.curation_summary(derive.rollouts(table(spark, d, DOC)))
 
 
 @query("a13_weighted_mix", "SELECT doc_id, round(0.1 * quality + 0.9 * (1 - toxic), 6) AS reward FROM labels")
@@ -492,9 +525,15 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("place"))
 
 
+@query("w1_frames", "WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) SELECT conv_id, coalesce(string_agg(role, ',' ORDER BY n) FILTER (n <= 2), '') AS head, coalesce(string_agg(role, ',' ORDER BY n) FILTER (n > 2), '') AS tail FROM c GROUP BY 1")
+def _(spark, d):
+    roles = lambda m: F.array_join(F.transform(m, lambda x: x["role"]), ",")
+    return chat.conversations(table(spark, d, "conversations")).select("conv_id", roles(evaluation.frames("messages", 0, 2)).alias("head"), roles(evaluation.frames("messages", 2, None)).alias("tail"))
+
+
 @query("w2_repeated_failure", f"WITH c AS ({derive.CALLS_SQL}), g AS (SELECT session, pos, e, lag(e) OVER (PARTITION BY session ORDER BY pos) AS b FROM c) SELECT session, pos FROM g WHERE e = 'error' AND b = 'error'")
 def _(spark, d):
-    found = transcripts.calls(derive.transcripts(table(spark, d, EVT)), "session")
+    found = transcripts.calls_by_window(derive.transcripts(table(spark, d, EVT)), "session")
     order = Window.partitionBy("session").orderBy("pos")
     marked = found.select("session", "pos", "ok", "cmd", F.lag("ok").over(order).alias("ok_before"), F.lag("cmd").over(order).alias("cmd_before"))
     return marked.where("not ok and not ok_before and cmd = cmd_before").select("session", F.col("pos").cast("long").alias("pos"))
@@ -502,7 +541,7 @@ def _(spark, d):
 
 @query("w3_duplicates", f"WITH c AS ({derive.CALLS_SQL}) SELECT session, e, count(*) AS n FROM c WHERE pos <= 10 GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, d):
-    found = transcripts.calls(derive.transcripts(table(spark, d, EVT)), "session").where("pos <= 10")
+    found = transcripts.calls_by_window(derive.transcripts(table(spark, d, EVT)), "session").where("pos <= 10")
     kind = F.create_map(*(F.lit(x) for k, (c, _) in derive.COMMANDS.items() for x in (c, k)))[F.col("cmd")]
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("session", "cmd")))
     return counted.where("n > 1").select("session", kind.alias("e"), "n").distinct()
@@ -510,9 +549,9 @@ def _(spark, d):
 
 @query("w4_first_bad", "SELECT event_id % 12 AS shard, min(event_id) AS first_bad FROM events WHERE event_id % 97 = 50 GROUP BY 1")
 def _(spark, d):
-    lines = table(spark, d, EVT).select((F.col("event_id") % 12).alias("shard"), "event_id", F.when(F.col("event_id") % 97 == 50, "{bad").otherwise("{}").alias("line"))
-    bad = F.min(F.when(F.try_parse_json("line").isNull(), F.col("event_id"))).over(Window.partitionBy("shard"))
-    return lines.withColumn("first_bad", bad).where("event_id = first_bad").select("shard", "first_bad")
+    bad = io.numbered_lines(spark, _logs(spark, d)).where(F.try_parse_json("line").isNull())
+    first = bad.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("line_no"))).where("nth = 1")
+    return first.select(F.regexp_extract("file", r"file=(\d+)/", 1).cast("long").alias("shard"), F.regexp_extract("line", r"(\d+)", 1).cast("long").alias("first_bad"))
 
 
 @query("u1_concatenate", "SELECT doc_id AS id, lang, NULL::INTEGER AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendloom.functions import chat, diffs, text
-from mendloom.operators import mining, rewards, transcripts
+from mendloom.operators import evaluation, mining, rewards, transcripts
 from mendloom.plans import derive
 from mendloom.plans.derive import by_modulus, say, table
 from mendloom.plans.registry import query
 
 DOC, EVT = "documents", "events"
-_S = "coalesce(source, 's')"
+_S = "coalesce(text, 's')"
 _ANSWER = "CASE doc_id % 5 WHEN 2 THEN 'N/A' WHEN 4 THEN 'xx' ELSE coalesce(lang, 'en') END"
 
 
@@ -71,7 +71,7 @@ def _(spark, d):
 @query("x7_tool_calls", f"WITH c AS ({derive.CALLS_SQL}) SELECT session, pos, e, e <> 'error' AS ok FROM c")
 def _(spark, d):
     kind = F.create_map(*(F.lit(x) for k, (c, _) in derive.COMMANDS.items() for x in (c, k)))[F.col("cmd")]
-    return transcripts.calls(derive.transcripts(table(spark, d, EVT)), "session").select("session", F.col("pos").cast("long").alias("pos"), kind.alias("e"), "ok")
+    return transcripts.calls_by_window(derive.transcripts(table(spark, d, EVT)), "session").select("session", F.col("pos").cast("long").alias("pos"), kind.alias("e"), "ok")
 
 
 @query("x8_command_classes", "SELECT event_id, event_type = 'view' AS lists, event_type IN ('click', 'error') AS searches, event_type = 'purchase' AS reads, event_type = 'purchase' AS reads_precisely, event_type IN ('click', 'error', 'purchase') AS scopes FROM events")
@@ -133,6 +133,20 @@ def _(spark, d):
     return shown.select("p_partkey", _flat(diffs.parse_blocks("shown")).alias("blocks"))
 
 
+@query("d1_parse_malformed", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat(p_brand, '=>size ', p_size) WHEN 3 THEN concat('=>', p_name) WHEN 4 THEN '' ELSE concat(p_brand, '=>', p_name) END AS blocks FROM part")
+def _(spark, d):
+    b, n = F.col("p_brand"), F.col("p_name")
+    shown = by_modulus(
+        F.col("p_partkey"),
+        say("<<<<<<< SEARCH\n", b, "\n=======\nsize ", F.col("p_size").cast("string"), "\n>>>>>>> REPLACE"),
+        say("<<<<<<< SEARCH\n", b, "\n", n, "\n>>>>>>> REPLACE\n"),
+        say("<<<<<< SEARCH\n", b, "\n======\n", n, "\n>>>>>> REPLACE"),
+        say("<<<< SEARCH\n===\n", n, "\n>>>> REPLACE"),
+        say("SEARCH without ", b),
+    )
+    return table(spark, d, "part").select("p_partkey", _flat(diffs.parse_blocks(shown, "compat")).alias("blocks"))
+
+
 @query("d2_generate_blocks", "SELECT p_partkey, concat('b ', p_brand, '=>b ', p_size) AS blocks FROM part")
 def _(spark, d):
     part = table(spark, d, "part")
@@ -151,13 +165,13 @@ def _(spark, d):
     return derive.coded(table(spark, d, "part")).select("p_partkey", diffs.render_blocks("blocks").alias("shown"))
 
 
-_QUALITY = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.45 ELSE 0.2 END::DOUBLE AS {0} FROM part"
+_QUALITY = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.45 WHEN 3 THEN 0.2 WHEN 4 THEN 0.65 ELSE 0.45 END::DOUBLE AS {0} FROM part"
 
 
 def _formats(spark, d) -> DataFrame:
     one = lambda s: say("<<<<<<< SEARCH\n", s, "\n=======\nnew\n>>>>>>> REPLACE")
     b = F.col("p_brand")
-    plain = by_modulus(F.col("p_partkey"), one(b), say(one(b), "\n\n", one(F.col("p_name"))), say("SEARCH only ======= ", b), say("nothing of ======= ", b))
+    plain = by_modulus(F.col("p_partkey"), one(b), say(one(b), "\n\n", one(F.col("p_name"))), say("SEARCH only ======= ", b), say("nothing of ======= ", b), say("<<<< SEARCH\n", b, "\n=======\nnew\n>>>> REPLACE"), say("<<<<<< SEARCH\n", b, "\n======\nnew\n>>>>>> REPLACE"))
     return table(spark, d, "part").select("p_partkey", plain.alias("shown"))
 
 
@@ -222,7 +236,7 @@ def _(spark, d):
 
 @query("q9_terminal_habits", f"WITH c AS ({derive.CALLS_SQL}) SELECT session, round(0.3 * max((e = 'view' AND pos <= 2)::INT) + 0.4 * max((e = 'click' AND pos <= 10)::INT) + 0.3 * max((e = 'purchase' AND pos > 2)::INT), 6) AS habits FROM c GROUP BY 1")
 def _(spark, d):
-    return transcripts.habits(transcripts.calls(derive.transcripts(table(spark, d, EVT)), "session"), "session")
+    return transcripts.habits(transcripts.calls_by_window(derive.transcripts(table(spark, d, EVT)), "session"), "session")
 
 
 _CHAIN = "SELECT DISTINCT s.session FROM (SELECT session, min(pos) AS p FROM c WHERE e = 'click' AND pos <= 10 GROUP BY 1) s JOIN c ON c.session = s.session AND c.e = 'purchase' AND c.pos > s.p"
@@ -240,7 +254,7 @@ _CHAIN = "SELECT DISTINCT s.session FROM (SELECT session, min(pos) AS p FROM c W
         - least(0.2, 0.07 * dup::INT + 0.07 * coalesce(again, false)::INT + CASE WHEN cut AND (chain OR NOT precise) THEN 0.1 ELSE 0 END))), 6)::DOUBLE AS depth FROM t""",
 )
 def _(spark, d):
-    return transcripts.depth(transcripts.calls(derive.transcripts(table(spark, d, EVT)), "session"), "session")
+    return transcripts.depth(transcripts.calls_by_window(derive.transcripts(table(spark, d, EVT)), "session"), "session")
 
 
 # Mining
@@ -258,6 +272,12 @@ def _(spark, d):
     return _mined(spark, d).select("file_id", "function_name", "start_line", "end_line", "n_body", "n_vars")
 
 
+@query("t1_mine_forms", "SELECT p_partkey AS file_id, CASE p_partkey % 2 WHEN 0 THEN 3 ELSE 5 END AS n_vars, 3 AS start_line, 9 AS end_line, false AS has_return FROM part")
+def _(spark, d):
+    one = derive.odd_sources(table(spark, d, "part"))
+    return mining.mine(one).select("file_id", "n_vars", "start_line", "end_line", F.contains("implementation", F.lit("\r")).alias("has_return"))
+
+
 @query("t2_mask_span", "SELECT p_partkey, concat('a\n# MASKED: f function (lines 2-3)\n', p_name) AS masked FROM part")
 def _(spark, d):
     part = table(spark, d, "part").withColumns({"content": say("a\n", F.col("p_brand"), "\nc\n", F.col("p_name"), "\n"), "start": F.lit(2), "end": F.lit(3)})
@@ -296,9 +316,5 @@ def _(spark, d):
 
 @query("v2_batch_function", "SELECT doc_id, doc_id * 2 AS doubled FROM documents WHERE doc_id % 2 = 0")
 def _(spark, d):
-    def double_even(batches):
-        for batch in batches:
-            even = batch[batch.doc_id % 2 == 0]
-            yield even.assign(doubled=even.doc_id * 2)
-
-    return table(spark, d, DOC).select("doc_id").mapInPandas(double_even, "doc_id long, doubled long")
+    even = evaluation.filter_batches(table(spark, d, DOC).select("doc_id"), lambda b: b.doc_id % 2 == 0)
+    return evaluation.map_batches(even, lambda b: b.assign(doubled=b.doc_id * 2), "doc_id long, doubled long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendloom.operators.selection import with_fallback
@@ -15,9 +15,16 @@ def scan_split(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """(file, line_no, line) of text files, lines numbered from 0.
+
+    A file is read in blocks, by several tasks if it is large: lines are numbered within blocks, and the
+    counts of earlier blocks are added.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("at_"), F.col("value").alias("line"))
+    local = read.withColumn("nth_", F.row_number().over(Window.partitionBy("file", "block_").orderBy("at_")) - 1)
+    sizes = read.groupBy("file", "block_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("file").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return local.join(sizes.select("file", "block_", before.alias("before_")), ["file", "block_"]).select("file", (F.col("nth_") + F.col("before_")).alias("line_no"), "line")
 
 
 def json_object(line: Column) -> Column:
@@ -56,12 +63,18 @@ def complete_history(files: DataFrame) -> DataFrame:
     return wide.where(" and ".join(f"{k} is not null" for k in names))
 
 
-def history(spark: SparkSession, root: str) -> DataFrame:
-    """The complete rollout folders under ``root``."""
-    files = spark.read.text(f"{root}/*/*", wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("dir"), F.col("_metadata.file_name").alias("name"), "value")
+def history(spark: SparkSession, root: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """The complete rollout folders under ``root``. A file is a value, so a folder with one over ``most_bytes`` is incomplete: see ``oversized``."""
+    files = spark.read.text(f"{root}/*/*", wholetext=True).where(F.col("_metadata.file_size") <= most_bytes).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("dir"), F.col("_metadata.file_name").alias("name"), "value")
     return complete_history(files)
 
 
+def oversized(spark: SparkSession, root: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """(file, bytes) of the history files that are too large to be a value."""
+    found = spark.read.format("binaryFile").load(f"{root}/*/*").where(F.col("length") > most_bytes)
+    return found.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """A dataset as Parquet, replacing what was there."""
     df.write.mode("overwrite").parquet(path)

@@ -90,3 +90,34 @@ def test_patch_rewards(spark, oracle, made, match, similar):
 
 def test_run_tag(spark):
     assert one(spark, text.run_tag("t"), t="Org/Model 8B!") == "Org_Model_8B"
+
+
+def quality(spark, text):
+    from mendloom.functions import diffs
+
+    return spark.createDataFrame([(text,)], "x string").select(diffs.format_quality("x").alias("q")).first().q
+
+
+def test_quality_of_malformed_markers(spark):
+    six = "<<<<<< SEARCH\ndef hello():\n    print('hello')\n======\ndef hello():\n    print('hello world')\n>>>>>> REPLACE"
+    assert quality(spark, six) == 0.45
+    assert quality(spark, "<<<< SEARCH\na\n=======\nb\n>>>> REPLACE") == 0.65
+    assert quality(spark, None) == quality(spark, "") == 0.0
+
+
+def test_malformed_blocks_by_paragraphs(spark):
+    from mendloom.functions import diffs
+
+    texts = [
+        "<<<<<<< SEARCH\ndef hello():\n    print('hello')\ndef hello():\n    print('hello world')\n>>>>>>> REPLACE\ndef hello():\n",
+        "<<<< SEARCH\n===\nnew\n>>>> REPLACE",
+        "<<<<<<< SEARCH \na\n=====  \nb\n>>>>>>> REPLACE \n",
+        "SEARCH\na\nDIVIDER\nb\nREPLACE",
+        "no block",
+        None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = [[(b.search, b.replace) for b in r.b] for r in frame.select("i", diffs.parse_blocks("x", "compat").alias("b")).orderBy("i").collect()]
+    assert got[0] == [("def hello():\n    print('hello')", "def hello():\n    print('hello world')")]
+    assert got[1:] == [[("", "new")], [("a", "b")], [("a", "b")], [], []]
+    assert all(not r.b for r in frame.where("i in (0, 4, 5)").select(diffs.parse_blocks("x").alias("b")).collect())

@@ -126,3 +126,55 @@ def test_stream_of_predictions(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.instance_id for r in spark.table("merged").collect()] == ["a"]
+
+
+def test_lines_are_numbered_over_blocks_of_a_file(spark, tmp_path):
+    from mendloom.sources import io
+
+    (tmp_path / "a.txt").write_text("\n".join(f"line {i}" for i in range(20_000)))
+    (tmp_path / "b.txt").write_text("x\n\ny\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = io.numbered_lines(spark, f"file://{tmp_path}")
+        assert got.where("line like 'line %' and line <> concat('line ', line_no)").isEmpty() and got.where("file like '%a.txt'").count() == 20_000
+        assert [(r.line_no, r.line) for r in got.where("file like '%b.txt'").orderBy("line_no").collect()] == [(0, "x"), (1, ""), (2, "y")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_history_files_over_the_bound_are_named(spark, tmp_path):
+    from mendloom.sources import io
+
+    for folder, size in (("d1", 10), ("d2", 5000)):
+        (tmp_path / folder).mkdir()
+        for name in ("metadata.json", "diff.txt", "messages.jsonl", "tools.json"):
+            (tmp_path / folder / name).write_text("x" * (size if name == "diff.txt" else 3))
+    root = f"file://{tmp_path}"
+    assert [r.dir for r in io.history(spark, root, 1000).collect()] == ["d1"]
+    assert [r.bytes for r in io.oversized(spark, root, 1000).collect()] == [5000]
+
+
+def test_slices_and_patch_columns(spark):
+    from mendloom.operators import selection
+    from mendloom.plans import pipelines
+
+    ids = spark.range(50).withColumnRenamed("id", "k")
+    for spec in ("10:", "5:20", ":7", "45:99", ""):
+        a, _, b = spec.partition(":")
+        want = list(range(50))[int(a or 0) : int(b) if b else None]
+        assert sorted(r.k for r in selection.sliced(ids, ["k"], spec).collect()) == want
+    results = spark.createDataFrame([("a", "", None, "d"), ("b", None, None, "")], "instance_id string, generated_diff string, diff string, model_patch string")
+    got = pipelines.predictions(results.select("instance_id"), results, "m").orderBy("instance_id").collect()
+    assert [r.model_patch for r in got] == ["d", ""]
+
+
+def test_tokens_of_a_file(spark):
+    import pytest
+
+    tokens = pytest.importorskip("public_tokenizers")
+    from mendloom.functions.tokens import id_counter
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([("hello world",), (None,)], "x string").select(id_counter(spark, tokens.path("byte_bpe_50k.json"))(F.col("x")).alias("n")).collect()
+    assert sorted(r.n for r in got) == [0, 2]
