@@ -13,19 +13,23 @@ from mendloom.llm.common import fold, hash_share
 
 #: N-grams in a profile; documents per language that profiles are learned from, at most (in expectation).
 PROFILE, LEARNED = 300, 4000
-_LETTER = np.array([chr(i).isalpha() for i in range(0xFFFF)] + [False])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
+_BITS = np.uint64(21)
 
 
 def grams(text: str) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams of letters of the whole text, words being padded by one blank on either side."""
+    """Codes of all 1-, 2- and 3-grams of letters of the whole text, words being padded by one blank on either side.
+
+    A code point takes 21 bits, so letters of every plane count.
+    """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTER[np.minimum(points, 0xFFFF)]
-    c = np.where(letter, points, 0).astype(np.uint64)
-    if len(c) == 0 or not letter.any():
+    letter = _LETTER[points]
+    if not letter.any():
         return np.zeros(0, np.uint64)
+    c = np.where(letter, points, 0).astype(np.uint64)
     c = np.concatenate([[np.uint64(0)], c[(c > 0) | np.r_[True, c[:-1] > 0]], [np.uint64(0)]])
-    two = c[:-1] << np.uint64(16) | c[1:]
-    three = (c[:-2] << np.uint64(32) | c[1:-1] << np.uint64(16) | c[2:])[c[1:-1] > 0]
+    two = c[:-1] << _BITS | c[1:]
+    three = (c[:-2] << np.uint64(42) | c[1:-1] << _BITS | c[2:])[c[1:-1] > 0]
     return np.concatenate([c[c > 0], two[two > 0], three])
 
 
