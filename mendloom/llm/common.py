@@ -46,6 +46,11 @@ def held() -> int:
     return len(_tables)
 
 
+def scratch_tables(since: int = 0) -> list[str]:
+    """Paths of the scratch tables made since a mark."""
+    return _tables[since:]
+
+
 def release(spark: SparkSession, since: int = 0, keep: Sequence[str] = ()) -> None:
     """Remove the scratch tables made since a mark, but those in ``keep``. What reads them must have been written or collected."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendloom.llm.common import materialise
 
-#: Hash slices of a leaf: only one of them is ever ordered row by row.
+#: Hash slices of a leaf, and of the slice in which its budget ends: only one of the 2^24 is ever ordered row by row.
 SLICE_BITS = 12
 
 
 def count_tokens(text: Column) -> Column:
-    """Words between white space; 0 for null."""
+    """Words between white space; 0 for null. For budgets in ids of a tokenizer see ``packing.id_counter``."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
@@ -68,16 +68,19 @@ def cuts(rows: DataFrame, budgets: DataFrame, levels: Sequence[str], seed: int,
     """Per leaf: whole epochs, and the last hash and id of the prefix of the next epoch.
 
     An epoch orders a leaf by a seeded hash of the id. Sums over hash slices find the slice in which
-    the budget ends; only that slice is ordered row by row.
+    the budget ends, and sums over that slice's own slices again; only the last is ordered row by row.
     """
     whole = F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-9), F.lit(epochs)).cast("int")
     leaves = budgets.where("tokens > 0").withColumn("whole", whole).withColumn("rest", F.when(F.col("whole") >= epochs, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("budget") - F.col("whole") * F.col("tokens")))).select(*levels, "budget", "whole", "rest")
     hashed = rows.join(leaves.where("rest >= 1"), list(levels)).withColumn("hash", _order(seed, F.col("whole"), F.col("doc_id")))
-    hashed = hashed.withColumn("slice", F.shiftright("hash", 64 - SLICE_BITS)).select(*levels, "doc_id", "n_tokens", "rest", "hash", "slice")
-    slices = hashed.groupBy(*levels, "slice", "rest").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*levels).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = slices.withColumn("before", before).where("before < rest and before + n >= rest").select(*levels, "slice", "before")
-    inside = hashed.join(last, [*levels, "slice"])
+    inside = hashed.withColumn("before", F.lit(0).cast("long")).select(*levels, "doc_id", "n_tokens", "rest", "hash", "before")
+    for level in (1, 2):
+        slices = inside.withColumn("slice", F.shiftright("hash", 64 - level * SLICE_BITS))
+        sums = slices.groupBy(*levels, "slice", "rest", "before").agg(F.sum("n_tokens").alias("n"))
+        earlier = Window.partitionBy(*levels).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        last = sums.where("before < rest and before + n >= rest").select(*levels, "slice", "before")
+        inside = slices.drop("before").join(last, [*levels, "slice"]).drop("slice")
     run = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*levels).orderBy("hash", "doc_id")) - F.col("n_tokens")
     point = inside.withColumn("run", run).where("run < rest").groupBy(*levels).agg(F.max(F.struct("hash", "doc_id")).alias("point"))
     return leaves.join(point, list(levels), "left").select(*levels, F.col("whole").alias("mix_whole_"), F.col("point.hash").alias("mix_hash_"), F.col("point.doc_id").alias("mix_id_"))
@@ -97,15 +100,15 @@ def with_levels(docs: DataFrame, levels: dict[str, Column]) -> DataFrame:
     return docs.withColumns({k: F.coalesce(c.cast("string"), F.lit("")) for k, c in levels.items()})
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: Sequence[Column], share: float, epochs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, levels: dict[str, Column], weights: Sequence[Column], share: float, epochs: int, seed: int, count: Callable[[Column], Column] = count_tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(level columns, doc_id and n_tokens of every row; budgets; cuts) for a total of ``share`` of all tokens.
 
-    The prefix ends with the document that reaches the budget, so a leaf exceeds it by less than one
+    ``count`` gives a text's tokens. The prefix ends with the document that reaches the budget, so a leaf exceeds it by less than one
     document. Null levels are the leaf ''. Null texts have no tokens; documents without an id or
     tokens are chosen in whole epochs and by their hash like others. Rows of equal id share their fate.
     """
     names = list(levels)
-    rows = materialise(with_levels(docs, levels).select(*names, F.col("doc_id").cast("long").alias("doc_id"), count_tokens(F.col("text")).alias("n_tokens")), "tokens")
+    rows = materialise(with_levels(docs, levels).select(*names, F.col("doc_id").cast("long").alias("doc_id"), count(F.col("text")).cast("long").alias("n_tokens")), "tokens")
     supply = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
     supply = materialise(supply, "supply")
     total = (supply.agg(F.sum("tokens")).first()[0] or 0) * share

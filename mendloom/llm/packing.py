@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendloom.llm.common import materialise
@@ -129,6 +129,18 @@ def tokenizer_file(path: str) -> bytes:
         return f.read()
 
 
+def id_counter(spark: SparkSession, tokenizer_path: str) -> Callable[[Column], Column]:
+    """Function from a text column to how many ids it has, the end id included; a null text has that alone."""
+    sent = spark.sparkContext.broadcast(tokenizer_file(tokenizer_path))
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        encode = encoder(sent.value)
+        return pa.array([len(encode(t.as_py() or "")) + 1 for t in texts], pa.int64())
+
+    return count
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """Every document's token ids and its end id, cut into full windows and a rest.
 

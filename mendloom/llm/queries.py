@@ -95,9 +95,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents chosen for a mixture of target weights, once for each epoch."""
+    """Documents chosen for a mixture of target weights in ids of the tokenizer, once for each epoch."""
     levels = mix_levels()
-    rows, _, cut = mixing.mix(table(spark, sf_dir, "documents"), levels, mix_weights(), MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    rows, _, cut = mixing.mix(table(spark, sf_dir, "documents"), levels, mix_weights(), MIX_SHARE, MIX_EPOCHS, MIX_SEED, packing.id_counter(spark, tokenizer_path()))
     return mixing.select(rows, cut, list(levels), MIX_SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
