@@ -566,6 +566,64 @@ def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     assert "1.1.1.1" not in {x for g in got for x in g}
 
 
+def replaced(spark, *texts, key="k"):
+    return [r.text for r in surrogates.replace_entities(docs(spark, *texts), key).orderBy("doc_id").collect()]
+
+
+def digits_of(text):
+    return "".join(c for c in text if c.isdigit())
+
+
+def test_spellings_of_one_entity_have_one_surrogate(spark):
+    a, b, c, d, e, f, g, h = replaced(spark, "+15551234567", "+1 555-123-4567", "(555) 123-4567", "030 1234567", "+49 30 1234567", "A.Bc@X.com", "a.bc@x.com", "4111 1111 1111 1111")
+    assert a.startswith("+1") and digits_of(a)[1:] == digits_of(b)[1:] == digits_of(c) != "5551234567"
+    assert digits_of(d)[1:] == digits_of(e)[2:] and e.startswith("+49 ") and d.startswith("0")
+    assert f.lower() == g and f != g and h.count(" ") == 3
+    assert digits_of(h) == replaced(spark, "4111111111111111")[0]
+
+
+def test_ibans_keep_country_and_check_digits(spark):
+    a, b = replaced(spark, "to DE89 3704 0044 0532 0130 00 now", "DE89370400440532013000")
+    assert a.startswith("to DE") and a.endswith(" now") and a[3:-4].replace(" ", "") == b != "DE89370400440532013000"
+    assert int("".join(str(int(x, 36)) for x in b[4:] + b[:4])) % 97 == 1
+
+
+def test_addresses_of_six(spark):
+    texts = ["at 2001:db8:85a3:0:0:8a2e:370:7334 ok", "at 2001:DB8::8a2e:370:7334, ok", "std::vector and a::b at 10:20:30"]
+    got = replaced(spark, *texts)
+    assert got[2] == texts[2] and all(x != y and len(x) == len(y) and "7334" not in x for x, y in zip(got[:2], texts[:2], strict=True))
+
+
+def test_names_by_context_and_their_parts(spark):
+    first, *rest = replaced(
+        spark,
+        "John Miller wrote. Later Mr Miller left; John agreed. Johnson stayed.",
+        "Dear Priya Sharma,\nthanks. Priya",
+        "my name is Ahmed Khan.",
+        "Best regards,\nOlivia Smith",
+        "Ahmed Khan wrote to us, Khan said",
+        "The Bank replied. When Banks agreed.",
+    )
+    assert not {"John", "Miller"} & set(first.replace(".", "").replace(";", "").split()) and "Johnson stayed." in first
+    words_ = first.replace(".", "").replace(";", "").split()
+    assert words_[0] == words_[7] and words_[1] == words_[5]
+    assert not any(x in t for t in rest[:4] for x in ("Priya", "Sharma", "Ahmed", "Khan", "Olivia", "Smith"))
+    assert rest[4] == "The Bank replied. When Banks agreed."
+    assert rest[0].split()[1] == rest[0].split()[-1]
+
+
+def test_surrogates_of_a_corpus_are_distinct_and_leak_nothing(spark):
+    """Against plain Python: the entities are known, and each has one surrogate, its own."""
+    entities_ = [f"user{i}@mail{i % 7}.org" for i in range(40)] + [f"10.{i}.2.{i + 3}" for i in range(40)] + [f"+1 555-{i:03d}-{i * 7 % 10000:04d}" for i in range(100, 140)]
+    texts = [f"see {x} now" for x in entities_ for _ in range(2)]
+    got = [t[4:-4] for t in replaced(spark, *texts)]
+    assert got[::2] == got[1::2] and len(set(got)) == len(entities_) and not set(got) & set(entities_)
+    assert replaced(spark, *texts[:4], key="other") != replaced(spark, *texts[:4])
+    clashing = docs(spark, "a@b.org").withColumns({"hash_": F.lit(1), "tries_": F.lit(2)})
+    assert surrogates.replace_entities(clashing, "k").first().tries_ == 2
+    assert surrogates.replace_entities(docs(spark, "a@b.org").limit(0), "k").count() == 0
+
+
 # 8
 
 
@@ -583,6 +641,45 @@ def test_out_of_place_distance(spark):
     assert language.predict(docs(spark, "a"), {}).first().lang_pred == "und"
 
 
+def test_letters_beyond_the_basic_plane_and_empty_tables(spark):
+    adlam = "\U0001E900\U0001E901\U0001E902 \U0001E903\U0001E904"
+    learned = {"ff": language.profile(language.grams(adlam)), "aa": language.profile(language.grams("aaa aab"))}
+    got = language.predict(docs(spark, adlam, "123 !", None), learned).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["ff", "und", "und"] and got[0].score == 1.0
+    nothing = docs(spark, "a").limit(0)
+    assert language.learn_profiles(nothing) == {} and language.predict(nothing, learned).count() == 0
+
+
+def plain_profile(text, size=300):
+    """Ranked n-grams of a text by the definition, with strings and a Counter."""
+    words_ = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    found = Counter()
+    for i, w in enumerate(words_):
+        padded = f" {w} "
+        found.update(w)
+        found.update(a + b for a, b in zip(padded, padded[1:], strict=False))
+        found.update(a + b + c for a, b, c in zip(padded, padded[1:], padded[2:], strict=False))
+    code = lambda g: sum(ord(c) % 32 ** 9 * (1 << 21) ** i if c != " " else 0 for i, c in enumerate(reversed(g)))
+    merged = Counter()
+    for g, n in found.items():
+        merged[code(g)] += n
+    return sorted(merged, key=lambda c: (-merged[c], c))[:size]
+
+
+def test_languages_are_those_of_plain_python(spark):
+    texts = {"en": "the cat and the dog sat on the mat with the hat", "de": "der hund und die katze sitzen auf der matte", "fr": "le chat et le chien sont sur le tapis"}
+    learned = {k: language.profile(language.grams(t)) for k, t in texts.items()}
+    asked = [*texts.values(), "the dog", "die matte", "le chien, le chat!", "ünï the", "xyz"]
+    got = language.predict(docs(spark, *asked), learned).orderBy("doc_id").collect()
+    for text, r in zip(asked, got, strict=True):
+        own, far = plain_profile(text), {}
+        for k, t in texts.items():
+            ranks = {c: i for i, c in enumerate(plain_profile(t))}
+            far[k] = sum(min(abs(ranks[c] - i), 300) if c in ranks else 300 for i, c in enumerate(own))
+        best = min(sorted(far), key=far.get)
+        assert (r.lang_pred, round(r.score, 9)) == (best, round(1 - far[best] / (300 * len(own)), 9))
+
+
 # 9
 
 
