@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mendloom.llm import mixing, order_minhash, packing, surrogates, toxicity
-from mendloom.llm.common import materialise, table
+from mendloom.llm.common import held, materialise, release, scratch_tables, table
 from mendloom.llm.queries import SURROGATE_KEY, mix_levels, mix_weights, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,7 +34,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen for the target weights of domains, languages and sources."""
     levels = mix_levels()
-    _, _, cut = mixing.mix(docs, levels, mix_weights(), SHARE, EPOCHS, SEED)
+    _, _, cut = mixing.mix(docs, levels, mix_weights(), SHARE, EPOCHS, SEED, packing.id_counter(spark, tokenizer_path()))
     keyed = docs.withColumnsRenamed({"lang": "lang_", "source": "source_"}).selectExpr("*", "lang_ AS lang", "source_ AS source")
     return mixing.select(mixing.with_levels(keyed, levels), cut, list(levels), SEED).selectExpr("doc_id", "text", "lang_ AS lang", "source_ AS source", "n_chars")
 
@@ -51,13 +51,15 @@ STAGES = [
     ("mixture", mixture),
     ("packing", packed),
 ]
-#: Trees, sketches and tokens have no SQL; tests hold each stage against a brute-force version.
+#: Trees, sketches and tokens have no SQL: tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. Columns other than those of documents are left out from the first stage on."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = held()
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, mark, keep=[p for p in scratch_tables(mark) if f"/stage-{name}-" in p])
     return STAGES[-1][1](spark, docs, sf_dir)
