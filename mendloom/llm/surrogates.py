@@ -29,15 +29,12 @@ TITLES = "Mr|Mrs|Ms|Miss|Mx|Sir|Dr|Dra|Doctor|Doktor|Docteur|Prof|Professor|Herr
 _LATIN, _CYRILLIC = "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va", "ба бе бо ва ве го да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ви"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _MORE = rf"(?: (?:(?:von|van|zu|de|da|do|di|du|del|der|den|la|le) ){{0,2}}{_NAME})"
-#: Words that don't begin a name in front of a verb.
-_NOT = "The|This|That|These|Those|Our|My|Your|His|Her|Their|In|On|At|And|But|When|After|Before|Since|As|If|We|They|He|She|It|You|Who"
-#: Names by what stands around them: salutations, introductions, ends of letters, verbs of persons.
-_NAMED = (
-    rf"(?<=\b(?:Dear|Hello|Liebe|Lieber|Cher|Chère|Estimado|Estimada|Querido|Querida) )(?!(?:{TITLES})\b){_NAME}{_MORE}{{0,2}}(?=[,:!\n])",
-    rf"(?<=\b(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m['’]appelle|[Mm]e llamo|[Мм]еня зовут) ){_NAME}{_MORE}{{0,2}}",
-    rf"(?<=(?:[Rr]egards|[Ss]incerely|[Yy]ours|[Gg]rüßen|[Cc]ordialement|[Ss]aludos),?\s{{1,3}}){_NAME}{_MORE}{{1,2}}",
-    rf"(?=\p{{Lu}})(?<![\p{{L}}] )(?<!\p{{L}})(?!(?:{_NOT}) ){_NAME} {_NAME}(?= (?:wrote|replied|emailed|phoned|agreed|signed)\b)",
-)
+#: Names by what stands before them: salutations, introductions, ends of letters. The words stay, as titles do.
+_SALUTES = "Dear|Liebe|Lieber|Cher|Chère|Estimado|Estimada|Querido|Querida"
+_NOBODY = "Customer|Sir|Madam|All|Friend|Friends|Team|Colleague|Colleagues|Reader|Readers|Editor|Members?|Parents?|Students?"
+_CUES = r"(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m['’]appelle|[Mm]e llamo|[Мм]еня зовут) |(?:[Rr]egards|[Ss]incerely|[Yy]ours|[Gg]rüßen|[Cc]ordialement|[Ss]aludos),\s{1,3}"
+_SALUTED = rf"(?=[DLCEQ])\b(?:{_SALUTES}) (?!(?:{TITLES}|{_NOBODY})\b){_NAME}{_MORE}{{0,2}}(?=[,:!\n])"
+_CUED = rf"(?=[MmIiJjRrSsYyGgCcМм])\b(?:{_CUES}){_NAME}{_MORE}{{0,2}}"
 _SECRET = r"(?i:(?:pass(?:word|wd)|token|secret|a(?:pi|ccess)[_-]?key)[A-Za-z0-9_-]{0,64}+)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: A secret follows an equals sign, or the colon of a quoted key and a quoted value, or has a digit; it ends at its closing quote or at white space.
 _PLAIN = r"(?<==\s{0,3}[\"']?)|(?<=[\"']\s{0,3}:\s{0,3}[\"'])"
@@ -60,20 +57,20 @@ PATTERNS = {
     "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
     "secret": rf"(?=[PpTtSsAa]){_SECRET}{_VALUE}|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,}}+",
     "ip": r"(?=[0-9])(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "ipv6": r"(?=[0-9A-Fa-f])(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])",
+    "ipv6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])",
     "iban": r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?=[0-9])(?<![\w.-])(?:\d{13,19}|[3-6]\d{3}(?:[ -]\d{4}){2}[ -]\d{1,4}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "ssn": r"(?=[0-9])(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": rf"(?=[+(0-9])(?<![\w.])(?:{'|'.join(_PHONES)})",
-    "name": "|".join((_TITLED, _LISTED, *_NAMED)),
+    "name": f"{_TITLED}|{_LISTED}|{_SALUTED}|{_CUED}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_HEADS = {"secret": f"^{_SECRET}", "phone": rf"^(?:\+(?:{COUNTRIES})[ .-]?|\(?0)", "name": rf"^(?:(?:{TITLES})\.? ){{1,3}}"}
+_HEADS = {"secret": f"^{_SECRET}", "phone": rf"^(?:\+(?:{COUNTRIES})[ .-]?|\(?0)", "name": rf"^(?:(?:(?:{TITLES})\.? ){{1,3}}|(?:{_SALUTES}) |{_CUES})"}
 
 
 def has_entity(text: Column) -> Column:
     """Whether any pattern matches; texts without a sign, a number or a name that all patterns need are settled cheaply."""
-    sign = F.contains(text, F.lit("@")) | F.rlike(text, F.lit(r"[0-9]\.?[0-9]|AKIA|gh[pousr]_")) | F.rlike(text, F.lit(_TITLED)) | F.rlike(text, F.lit(_LISTED)) | F.rlike(text, F.lit("::|" + "|".join(_NAMED)))
+    sign = F.contains(text, F.lit("@")) | F.rlike(text, F.lit(r"[0-9]\.?[0-9]|AKIA|gh[pousr]_")) | F.rlike(text, F.lit(_TITLED)) | F.rlike(text, F.lit(_LISTED)) | F.contains(text, F.lit("::")) | F.rlike(text, F.lit(rf"\b(?:{_SALUTES}) |{_CUES}"))
     word = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & F.rlike(text, F.lit(f"(?=[PpTtSsAa]){_SECRET}"))
     return F.coalesce((sign | word) & F.rlike(text, F.lit(ANY)), F.lit(False))
 
@@ -261,15 +258,16 @@ def replace_entities(docs: DataFrame, key: str, column: str = "text") -> DataFra
         docs = docs.join(of_text, F.sha2(text, 256) == F.col("surrogate_hash_"), "left").drop("surrogate_hash_")
         tries = F.col("surrogate_tries_")
 
-    hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    gaps = F.split(text, ANY, -1)
     attempt = lambda e: F.coalesce(F.element_at(tries, F.concat_ws("\x1f", e["kind"], canonical(e["kind"], e["core"]))), F.lit(0))
-    tried = F.transform(parts(hits), lambda e: F.struct(e["head"].alias("head"), e["kind"].alias("kind"), e["core"].alias("core"), attempt(e).alias("attempt")))
 
     def rebuilt(e: Column) -> Column:
         known = F.transform(F.array(_parts_of_names(e["tried"], key)), lambda known: F.transform(e["gaps"], lambda g: _mentions(g, known)))[0]
-        return F.array_join(F.zip_with(known, surrogates(e["tried"], key), lambda g, new: F.concat(g, F.coalesce(new, F.lit("")))), "")
-
-    joined = F.transform(F.array(F.struct(tried.alias("tried"), gaps.alias("gaps"))), rebuilt)[0]
-    out = docs.withColumn("entities", F.when(has_entity(text), F.size(hits)).otherwise(0).cast("long")).withColumn(column, F.when(F.col("entities") > 0, joined).otherwise(text))
-    return out.drop("surrogate_tries_")
+        joined = F.array_join(F.zip_with(known, surrogates(e["tried"], key), lambda g, new: F.concat(g, F.coalesce(new, F.lit("")))), "")
+        return F.struct(joined.alias("text"), F.size(e["tried"]).cast("long").alias("entities"))
+
+    # One step after the other, so that the patterns run over a text once for its entities and once for what is between.
+    tried = F.transform(parts(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), lambda e: F.struct(e["head"].alias("head"), e["kind"].alias("kind"), e["core"].alias("core"), attempt(e).alias("attempt")))
+    whole = F.transform(F.array(F.struct(tried.alias("tried"), F.split(text, ANY, -1).alias("gaps"))), rebuilt)[0]
+    out = docs.withColumn("surrogate_new_", F.when(has_entity(text), whole))
+    out = out.withColumns({"entities": F.coalesce("surrogate_new_.entities", F.lit(0)).cast("long"), column: F.coalesce("surrogate_new_.text", text)})
+    return out.drop("surrogate_tries_", "surrogate_new_")
