@@ -51,7 +51,7 @@ STAGES = [
     ("mixture", mixture),
     ("packing", packed),
 ]
-#: Trees, sketches and tokens have no SQL: tests/llm/test_pipeline.py holds the stages against plain Python.
+#: Trees, sketches and tokens have no SQL. Tests hold the operators against plain Python, and check what the stages keep.
 ORACLE_SQL = None
 
 
