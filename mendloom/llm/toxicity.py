@@ -6,7 +6,7 @@ pronouns near lexicon words, capitals, punctuation and obfuscation rates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,8 @@ FITTED, LEXICON, HEAD = 20_000, 2000, 5
 SECOND_PERSON = "you your yours u ur du dich dir dein deine sie ihr euch tu te toi ton vous votre vos tú ti usted ustedes vosotros ты тебя вы вас"
 NEAR = 8
 FEATURES = 18
+#: The kind under which rows themselves are counted, next to words (0) and beginnings (1).
+ROWS = 2
 _YOU = np.sort(runs(SECOND_PERSON.encode(), ALNUM)[0])
 _MARKS = {name: np.isin(np.arange(256), [ord(c) for c in chars]) for name, chars in (("punctuation", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"), ("!", "!"), ("?", "?"), ("masks", "*@$#%"), ("digits", "0123456789"), ("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("small", "abcdefghijklmnopqrstuvwxyz"))}
 
@@ -91,35 +93,43 @@ def feature_column(lexicon: Lexicon):
     return dense
 
 
-def labelled(docs: DataFrame, labels: DataFrame, bound: int = FITTED) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents that may be learned from, ``bound`` rows at most in expectation.
+def labelled(docs: DataFrame, labels: DataFrame, bound: int | None = FITTED, parts: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
+    """(doc_id, text, toxic) of labelled documents in the given folds: ``bound`` rows at most in expectation, all for None.
 
-    Rows whose fold is 0 are left out, contradicting labels count as toxic, null labels and texts are dropped.
+    Contradicting labels count as toxic, null labels and texts are dropped. Only a bounded table of labels is broadcast.
     """
-    known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    many = known.count()
-    known = known.where(hash_share(F.col("doc_id"), min(1.0, bound / max(1, many)), 6))
-    return docs.where("text is not null").select(F.col("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")).isin(*parts)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = docs.where("text is not null").where(fold(F.col("doc_id")).isin(*parts)).select("doc_id", "text")
+    if bound is None:
+        return rows.join(known, "doc_id")
+    known = known.where(hash_share(F.col("doc_id"), min(1.0, bound / max(1, known.count())), 6))
+    return rows.join(F.broadcast(known), "doc_id")
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> Lexicon:
-    """Words and beginnings that are in at least six toxic rows and far more often than in others; weight is the log odds ratio."""
+    """Words and beginnings that are in at least six toxic rows and far more often than in others; weight is the log odds ratio.
+
+    ``rows`` are read once, however many: tasks count the texts with an item batch by batch, Spark adds the counts.
+    The ``size`` items of each kind that tell most make up the lexicon.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[int, int], list[np.ndarray]] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                word, _, _, head = runs(plain(text.lower()), ALNUM, HEAD)
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                word, _, _, head = runs(plain(text.as_py().lower()), ALNUM, HEAD)
                 for kind, h in enumerate((word, head)):
                     found.setdefault((kind, toxic), []).append(np.unique(h))
+                found.setdefault((ROWS, toxic), []).append(np.zeros(1, np.uint64))
             for (kind, toxic), parts in found.items():
                 h, many = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind), pa.int32()), pa.array(h.view(np.int64)), pa.array(many * toxic, pa.int64()), pa.array(many * (1 - toxic), pa.int64())], names=["kind", "item", "toxic", "other"])
 
-    totals = rows.agg(F.sum("toxic"), F.count("*")).first()
-    bad, good = float(totals[0] or 0), float((totals[1] or 0) - (totals[0] or 0))
-    share = bad / max(1.0, bad + good)
     items = rows.select("text", "toxic").mapInArrow(count, "kind int, item long, toxic long, other long").groupBy("kind", "item").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
+    items = materialise(items, "items")
+    totals = items.where(F.col("kind") == ROWS).first()
+    bad, good = (float(totals.t), float(totals.o)) if totals else (0.0, 0.0)
+    share = bad / max(1.0, bad + good)
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("o") + 0.5) / (good + 1))
     over = F.col("t") - (F.col("t") + F.col("o")) * share
     strong = items.where((F.col("t") >= 6) & (over >= 5 * F.sqrt((F.col("t") + F.col("o")) * share * (1 - share)))).withColumn("weight", odds).where("weight > 1.5")
@@ -156,16 +166,17 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FITTED, rounds: int = 12, depth: int = 3) -> ToxicityModel:
-    """Learn from the labelled rows outside fold 0: trees from folds 1 to 3, calibration from fold 4.
+    """Learn from the labelled rows outside fold 0: lexicon and trees from folds 1 to 3, calibration from fold 4.
 
-    The fit is on a hash sample of ``bound`` labelled rows at most; scoring covers every row.
+    Words are counted over all labelled rows; trees and calibration are fitted on a hash sample of
+    ``bound`` labelled rows at most. Scoring covers every row.
     """
     rows = materialise(labelled(docs, labels, bound).repartition(8), "labelled")
     counts = rows.groupBy(fold(F.col("doc_id")) == 4).agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"), F.avg("toxic").alias("mean")).collect()
     if len(counts) < 2 or any(r.low == r.high for r in counts):
         mean = rows.agg(F.avg("toxic")).first()[0]
         return ToxicityModel(Lexicon(*(np.zeros(0, t) for t in ("uint64", float, "uint64", float))), None, None, float(mean or 0.0))
-    lexicon = learn_lexicon(rows.where(fold(F.col("doc_id")) != 4))
+    lexicon = learn_lexicon(labelled(docs, labels, None, (1, 2, 3)))
     dense = rows.select("toxic", fold(F.col("doc_id")).alias("part"), array_to_vector(feature_column(lexicon)(F.col("text"))).alias("score_features"))
     dense = materialise(dense, "features")
     learner = GBTClassifier(labelCol="toxic", featuresCol="score_features", predictionCol="score_class", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=6, checkpointInterval=-1)

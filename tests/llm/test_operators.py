@@ -497,6 +497,27 @@ def test_toxicity_scores_are_whole_and_clash_with_no_column(spark):
     assert len(got) == len(ODD) + 1 and all(0 <= s <= 1 for s in got.values()) and got[len(ODD)] > 0.5 > got[0] == got[1]
 
 
+def test_lexicon_counts_every_labelled_row(spark, monkeypatch):
+    texts = ["you vile thing" if i % 4 == 0 else "a kind thing" for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    seen, learn = [], toxicity.learn_lexicon
+
+    def learned(rows_, *how):
+        seen.extend(rows_.select("doc_id", "text", "toxic").collect())
+        return learn(rows_, *how)
+
+    monkeypatch.setattr(toxicity, "learn_lexicon", learned)
+    model = toxicity.fit(docs(spark, *texts), labels, bound=200)
+    want = {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)}
+    assert {r.doc_id for r in seen} == want and len(seen) == len(want)
+    plainly = Counter((w, r.toxic) for r in seen for w in set(r.text.split()))
+    bad, good = sum(r.toxic for r in seen), sum(1 - r.toxic for r in seen)
+    weigh = lambda w: np.log((plainly[w, 1] + 0.5) / (bad + 1)) - np.log((plainly[w, 0] + 0.5) / (good + 1))
+    word = {w: words.runs(w.encode(), words.ALNUM)[0][0] for w in ("you", "vile", "thing", "kind", "a")}
+    held = dict(zip(model.lexicon.words.tolist(), model.lexicon.word_weights.tolist(), strict=True))
+    assert set(held) == {int(word["you"]), int(word["vile"])} and held[int(word["vile"])] == pytest.approx(weigh("vile"))
+
+
 def test_toxicity_on_odd_tables(spark):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark, *ODD), labels)
