@@ -81,15 +81,17 @@ def cuts(rows: DataFrame, budgets: DataFrame, levels: Sequence[str], seed: int,
         sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         last = sums.where("before < rest and before + n >= rest").select(*levels, "slice", "before")
         inside = slices.drop("before").join(last, [*levels, "slice"]).drop("slice")
+    ids = inside.groupBy(*levels, "rest", "before", "hash", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"))
     run = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*levels).orderBy("hash", "doc_id")) - F.col("n_tokens")
-    point = inside.withColumn("run", run).where("run < rest").groupBy(*levels).agg(F.max(F.struct("hash", "doc_id")).alias("point"))
+    point = ids.withColumn("run", run).where("run < rest").groupBy(*levels).agg(F.max(F.struct("hash", "doc_id")).alias("point"))
     return leaves.join(point, list(levels), "left").select(*levels, F.col("whole").alias("mix_whole_"), F.col("point.hash").alias("mix_hash_"), F.col("point.doc_id").alias("mix_id_"))
 
 
 def select(docs: DataFrame, cut: DataFrame, levels: Sequence[str], seed: int) -> DataFrame:
     """``docs`` once for every epoch in which they are chosen, with ``epoch``. The leaf table is joined; no text is ordered."""
     own = _order(seed, F.col("mix_whole_"), F.col("doc_id"))
-    inside = (own < F.col("mix_hash_")) | ((own == F.col("mix_hash_")) & (F.col("doc_id") <= F.col("mix_id_")))
+    upto = F.coalesce(F.col("doc_id") <= F.col("mix_id_"), F.col("doc_id").isNull())  # null ids come first
+    inside = (own < F.col("mix_hash_")) | ((own == F.col("mix_hash_")) & upto)
     many = F.col("mix_whole_") + F.coalesce(inside, F.lit(False)).cast("int")
     met = docs.join(cut, list(levels)).withColumn("mix_many_", many).where("mix_many_ > 0")
     return met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("mix_many_") - 1))).drop("mix_many_", "mix_whole_", "mix_hash_", "mix_id_")
@@ -103,8 +105,8 @@ def with_levels(docs: DataFrame, levels: dict[str, Column]) -> DataFrame:
 def mix(docs: DataFrame, levels: dict[str, Column], weights: Sequence[Column], share: float, epochs: int, seed: int, count: Callable[[Column], Column] = count_tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(level columns, doc_id and n_tokens of every row; budgets; cuts) for a total of ``share`` of all tokens.
 
-    ``count`` gives a text's tokens. The prefix ends with the document that reaches the budget, so a leaf exceeds it by less than one
-    document. Null levels are the leaf ''. Null texts have no tokens; documents without an id or
+    ``count`` gives a text's tokens. The prefix ends with the document that reaches the budget, so a leaf exceeds it by less than the
+    rows of one id. Null levels are the leaf ''. Null texts have no tokens; documents without an id or
     tokens are chosen in whole epochs and by their hash like others. Rows of equal id share their fate.
     """
     names = list(levels)

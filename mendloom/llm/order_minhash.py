@@ -262,6 +262,6 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     Where all ids of a class are null, one of its rows stays. Further columns stay as they are.
     """
     kept = near_duplicates(docs, **how).where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct()
-    keyed = docs.withColumn("kept_mark_of", text_node(normalised(F.col("text"))))
-    found = keyed.join(kept, (F.col("kept_mark_of") == F.col("kept_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return found.dropDuplicates(["kept_mark_of", "doc_id"]).drop("kept_mark_of")
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), text_node(normalised(F.col("text"))).alias("own_mark"))
+    found = keyed.join(kept, (F.col("own_mark") == F.col("kept_mark")) & F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return found.dropDuplicates(["own_mark", "own_id"]).select("doc.*")

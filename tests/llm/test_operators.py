@@ -791,6 +791,13 @@ def test_prefixes_of_seeded_epochs_are_those_of_brute_force(spark):
     assert all(next(r.n_tokens for r in hashed if r.doc_id == k[0]) == 0 for k in over)
 
 
+def test_rows_without_an_id_share_their_fate(spark):
+    frame = docs(spark, *("one two three" for _ in range(20)), ids=[None] * 20)
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    rows_, _, cut = mixing.mix(frame, levels, [F.lit(1.0)] * 2, 0.5, 1, 7)
+    assert mixing.select(rows_, cut, list(levels), 7).count() == 20
+
+
 def test_mixture_of_nothing_and_of_null_leaves(spark):
     frame = docs(spark, *ODD).withColumns({"whole": F.lit("w"), "budget": F.lit("b"), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     levels = queries.mix_levels()
