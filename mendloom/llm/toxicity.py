@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendloom.llm.common import fold, hash_share, materialise
+from mendloom.llm.url_filter import bloom_filter, possible_hits
 from mendloom.llm.words import ALNUM, plain, runs
 
 #: Labelled rows that the classifier is fitted on, at most; lexicon entries of each kind; length of a word's beginning in bytes.
@@ -96,12 +97,20 @@ def feature_column(lexicon: Lexicon):
 def labelled(docs: DataFrame, labels: DataFrame, bound: int | None = FITTED, parts: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
     """(doc_id, text, toxic) of labelled documents in the given folds: ``bound`` rows at most in expectation, all for None.
 
-    Contradicting labels count as toxic, null labels and texts are dropped. Only a bounded table of labels is broadcast.
+    Contradicting labels count as toxic, null labels and texts are dropped. Only a bounded table of labels is broadcast;
+    for all of them a Bloom filter of the labelled ids (32 MB at most) keeps unlabelled texts out of the shuffle.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")).isin(*parts)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.where("text is not null").where(fold(F.col("doc_id")).isin(*parts)).select("doc_id", "text")
     if bound is None:
-        return rows.join(known, "doc_id")
+        key = F.xxhash64(F.col("doc_id").cast("string"))
+        sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(known.select(key.alias("key")), "key"))
+
+        @F.arrow_udf("boolean")
+        def possible(keys: pa.Array) -> pa.Array:
+            return pa.array(possible_hits(sent.value, keys.to_numpy(zero_copy_only=False).astype(np.int64)))
+
+        return rows.where(possible(key)).join(known, "doc_id")
     known = known.where(hash_share(F.col("doc_id"), min(1.0, bound / max(1, known.count())), 6))
     return rows.join(F.broadcast(known), "doc_id")
 

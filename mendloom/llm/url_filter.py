@@ -61,6 +61,15 @@ def bloom_filter(keys: DataFrame, column: str, most_bytes: int = MOST_BYTES) ->
     return out
 
 
+def possible_hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit hash may be in the filter: false is certain."""
+    block, bit = _bits(keys, len(bits))
+    hit = np.ones(len(keys), bool)
+    for i in range(PROBES):
+        hit &= (bits[block, (bit[:, i] >> np.uint64(6)).astype(int)] >> (bit[:, i] & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", url: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
     """``pages`` with host, path, rule and verdict of every row; a url that no rule fits gets ``otherwise``.
 
@@ -83,10 +92,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", url
             keys = batch.column("asked")
             flat = keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(batch.num_rows), keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            block, bit = _bits(flat, len(bits))
-            hit = np.ones(len(flat), bool)
-            for i in range(PROBES):
-                hit &= (bits[block, (bit[:, i] >> np.uint64(6)).astype(int)] >> (bit[:, i] & np.uint64(63)) & np.uint64(1)).astype(bool)
+            hit = possible_hits(bits, flat)
             rows = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays([batch.column("host").take(rows), batch.column("path").take(rows), pa.array(flat[hit])], names=["host", "path", "listed"])
 
