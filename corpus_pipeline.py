@@ -51,7 +51,7 @@ STAGES = [
     ("mixture", mixture),
     ("packing", packed),
 ]
-#: Trees, sketches and tokens have no SQL. Tests hold the operators against plain Python, and check what the stages keep.
+#: Trees, sketches and tokens have no SQL. Tests hold each stage against plain Python on a fixture of odd, repeated and clashing rows.
 ORACLE_SQL = None
 
 
