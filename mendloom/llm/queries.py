@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendloom.llm import cross_polytope, language, mixing, order_minhash, packing, surrogates, syncmers, toxicity, url_filter, warc
+from mendloom.llm import byte_bpe, cross_polytope, language, mixing, order_minhash, packing, surrogates, syncmers, toxicity, url_filter, warc
 from mendloom.llm.common import fold, scratch_path, table
 
 #: (host, path, verdict) of the url rules.
@@ -101,9 +101,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(rows, cut, list(levels), MIX_SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by a byte-level vocabulary and decoded again."""
+    import public_tokenizers
+
+    bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.ids(F.col("text")).alias("ids"))
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    named = (op1_syncmer_fingerprints, op2_order_minhash, op3_url_filter, op4_cross_polytope, op5_warc_archive, op6_toxicity, op7_surrogates, op8_language, op9_packing, op10_mixing)
+    named = (op1_syncmer_fingerprints, op2_order_minhash, op3_url_filter, op4_cross_polytope, op5_warc_archive, op6_toxicity, op7_surrogates, op8_language, op9_packing, op10_mixing, op13_byte_bpe)
     return {f.__name__: f for f in named}
 
 
