@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendloom.llm import byte_bpe, cross_polytope, language, mixing, order_minhash, packing, surrogates, syncmers, toxicity, url_filter, warc
+from mendloom.llm import byte_bpe, cross_polytope, filter_audit, language, mixing, order_minhash, packing, surrogates, syncmers, toxicity, url_filter, warc
 from mendloom.llm.common import fold, scratch_path, table
 
 #: (host, path, verdict) of the url rules.
@@ -101,6 +101,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(rows, cut, list(levels), MIX_SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of five filters over all documents in every order, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by a byte-level vocabulary and decoded again."""
     import public_tokenizers
@@ -113,7 +118,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    named = (op1_syncmer_fingerprints, op2_order_minhash, op3_url_filter, op4_cross_polytope, op5_warc_archive, op6_toxicity, op7_surrogates, op8_language, op9_packing, op10_mixing, op13_byte_bpe)
+    named = (op1_syncmer_fingerprints, op2_order_minhash, op3_url_filter, op4_cross_polytope, op5_warc_archive, op6_toxicity, op7_surrogates, op8_language, op9_packing, op10_mixing, op12_filter_audit, op13_byte_bpe)
     return {f.__name__: f for f in named}
 
 
@@ -138,4 +143,23 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM d)
             SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN first <> page_id THEN first END AS refers_to FROM m""",
+        "op12_filter_audit": r"""
+            WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+            w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+            m AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+                    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > least)::INT AS mask FROM w),
+            c AS (SELECT part, mask, count(*) AS n, count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic
+                  FROM m LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+            f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+            p AS (SELECT '' AS prefix, 0 AS before, 0 AS bit, '' AS letter
+                  UNION ALL SELECT prefix || f.letter, before | p.bit, f.bit, f.letter FROM p, f WHERE (before | p.bit) & f.bit = 0),
+            s AS (SELECT part, prefix, letter, sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed,
+                    sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+                    sum(good) FILTER (mask & bit <> 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0) AS toxic_lost
+                  FROM p, c WHERE prefix <> '' GROUP BY ALL),
+            o AS (SELECT s.*, q.prefix AS filter_order FROM p q JOIN s ON length(q.prefix) = 5 AND starts_with(q.prefix, s.prefix))
+            SELECT part, filter_order, length(prefix)::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+                coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+                coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley FROM o""",
     }
