@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendloom.llm import byte_bpe, cross_polytope, filter_audit, language, mixing, order_minhash, packing, surrogates, syncmers, toxicity, url_filter, warc
+from mendloom.llm import byte_bpe, cross_polytope, filter_audit, hard_negatives, language, mixing, order_minhash, packing, surrogates, syncmers, toxicity, url_filter, warc
 from mendloom.llm.common import fold, scratch_path, table
 
 #: (host, path, verdict) of the url rules.
@@ -101,6 +101,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(rows, cut, list(levels), MIX_SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its five positives."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    noisy = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id, noisy, F.col("embedding"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of five filters over all documents in every order, by language."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -118,7 +125,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    named = (op1_syncmer_fingerprints, op2_order_minhash, op3_url_filter, op4_cross_polytope, op5_warc_archive, op6_toxicity, op7_surrogates, op8_language, op9_packing, op10_mixing, op12_filter_audit, op13_byte_bpe)
+    named = (op1_syncmer_fingerprints, op2_order_minhash, op3_url_filter, op4_cross_polytope, op5_warc_archive, op6_toxicity, op7_surrogates, op8_language, op9_packing, op10_mixing, op11_hard_negatives, op12_filter_audit, op13_byte_bpe)
     return {f.__name__: f for f in named}
 
 
@@ -143,6 +150,15 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM d)
             SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN first <> page_id THEN first END AS refers_to FROM m""",
+        "op11_hard_negatives": """
+            WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                       FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+            s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+                  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+            p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+            SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+            QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 10""",
         "op12_filter_audit": r"""
             WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
             w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
