@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import codecs
+import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,8 +29,6 @@ _CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 #: Characters worked on at a time; units kept, and their greatest length.
 SLICE, KEPT, SHORT = 1 << 20, 400_000, 40
 
-Tokens = tuple[list[int], list[tuple[int, int]]]
-
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself if it is one, else the next from 256 on."""
@@ -62,36 +62,33 @@ class Codec:
         self.library = Tokenizer(models.BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         split = pre_tokenizers.Split(Regex(pattern), "isolated")
         self.library.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.seen: dict[str, Tokens] = {}
-
-    def units(self, text: str) -> tuple[list[str], dict[str, Tokens]]:
-        """The units of a text, and the tokens of each."""
-        units = _UNIT.findall(text)
-        found = {u: self.seen.get(u) for u in dict.fromkeys(units)}
-        new = [u for u, tokens in found.items() if tokens is None]
-        for u, e in zip(new, self.library.encode_batch(new, add_special_tokens=False) if new else [], strict=True):
-            found[u] = (e.ids, e.offsets)
-        if len(self.seen) > KEPT:
-            self.seen.clear()
-        self.seen.update((u, found[u]) for u in new if len(u) <= SHORT)
-        return units, found
+        self.seen: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text."""
-        out = [np.zeros(0, np.int32)]
-        for part in slices(text):
-            units, found = self.units(part)
-            out.append(np.fromiter(chain.from_iterable(found[u][0] for u in units), np.int32))
-        return np.concatenate(out)
+        return np.frombuffer(b"".join([self._packed(_UNIT.findall(part)) for part in slices(text)]), np.int32)
+
+    def _packed(self, units: list[str]) -> bytes:
+        each = list(map(self.seen.get, units))
+        if None in each:
+            new = list(dict.fromkeys(u for u, ids in zip(units, each, strict=True) if ids is None))
+            found = {u: array("i", e.ids).tobytes() for u, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
+            each = [found[u] if ids is None else ids for u, ids in zip(units, each, strict=True)]
+            if len(self.seen) > KEPT:
+                self.seen.clear()
+            self.seen.update((u, ids) for u, ids in found.items() if len(u) <= SHORT)
+        return b"".join(each)
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text, and where each token's characters begin and end; a part of a character has that character's place."""
         ids, starts, ends, at = [], [], [], 0
         for part in slices(text):
-            units, found = self.units(part)
+            units = _UNIT.findall(part)
+            found = dict.fromkeys(units)
+            found = dict(zip(found, self.library.encode_batch(list(found), add_special_tokens=False), strict=True))
             for u in units:
-                own, places = found[u]
-                ids.append(own)
+                places = found[u].offsets
+                ids.append(found[u].ids)
                 starts.append([at + a for a, _ in places])
                 ends.append([at + b for _, b in places])
                 at += len(u)
@@ -114,7 +111,8 @@ class Codec:
 
 @lru_cache(2)
 def codec(file: bytes, pattern: str) -> Codec:
-    """The vocabulary, built once in a Python worker."""
+    """The vocabulary, built once in a Python worker, whose one core the library must not spread over threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Codec(file, pattern)
 
 
