@@ -7,6 +7,7 @@ so far as bits: each level of the recursion gives the figures of that step. Text
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,7 +88,7 @@ _LEVELS = f"""
             aggregate(p.cells, 0L, (s, c) -> s + if(c.mask = f.bit, c.n, 0L)),
             aggregate(p.cells, 0L, (s, c) -> s + if({_FAILS} AND {_LEFT}, c.good, 0L)),
             aggregate(p.cells, 0L, (s, c) -> s + if({_FAILS} AND {_LEFT}, c.toxic, 0L))
-        FROM prefixes r JOIN {{cells}} p ON p.part = r.part JOIN {{filters}} f ON (r.applied & f.bit) = 0)
+        FROM prefixes r JOIN {{cells}} p ON p.part = r.part LATERAL VIEW explode(filter(%filters%, x -> (r.applied & x.bit) = 0)) AS f)
     SELECT part, prefix, length(prefix) AS step, filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost FROM prefixes WHERE prefix <> ''"""
 
 
@@ -98,10 +99,10 @@ def prefix_steps(cells: DataFrame, letters: str) -> DataFrame:
     number of rows set for the session; for the one write of this table it is set to what the parts need.
     """
     spark = cells.sparkSession
-    if not 1 <= len(letters) <= MOST_FILTERS or len(set(letters)) != len(letters):
+    if not re.fullmatch(f"[A-Za-z]{{1,{MOST_FILTERS}}}", letters) or len(set(letters)) != len(letters):
         raise ValueError(f"1 to {MOST_FILTERS} filters with letters of their own")
     by_part = materialise(cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells")), "cells")
-    filters = spark.createDataFrame([(c, 1 << i) for i, c in enumerate(letters)], "letter string, bit int")
+    filters = ", ".join(f"named_struct('letter', '{c}', 'bit', {1 << i})" for i, c in enumerate(letters))
     prefixes, n = 1, 1
     for left in range(len(letters), 0, -1):
         n *= left
@@ -109,7 +110,7 @@ def prefix_steps(cells: DataFrame, letters: str) -> DataFrame:
     limit, before = "spark.sql.cteRecursionRowLimit", spark.conf.get("spark.sql.cteRecursionRowLimit")
     spark.conf.set(limit, str(max(int(before), prefixes * max(by_part.count(), 1) + 1)) if int(before) >= 0 else before)
     try:
-        return materialise(spark.sql(_LEVELS, cells=by_part, filters=filters), "prefixes")
+        return materialise(spark.sql(_LEVELS.replace("%filters%", f"array({filters})"), cells=by_part), "prefixes")
     finally:
         spark.conf.set(limit, before)
 
