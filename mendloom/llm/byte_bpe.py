@@ -27,7 +27,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 #: Characters worked on at a time; units kept, and their greatest length.
-SLICE, KEPT, SHORT = 1 << 20, 400_000, 40
+SLICE, KEPT, SHORT = 1 << 20, 1_000_000, 40
 
 
 def byte_characters() -> list[str]:
@@ -69,15 +69,16 @@ class Codec:
         return np.frombuffer(b"".join([self._packed(_UNIT.findall(part)) for part in slices(text)]), np.int32)
 
     def _packed(self, units: list[str]) -> bytes:
-        each = list(map(self.seen.get, units))
-        if None in each:
-            new = list(dict.fromkeys(u for u, ids in zip(units, each, strict=True) if ids is None))
-            found = {u: array("i", e.ids).tobytes() for u, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
-            each = [found[u] if ids is None else ids for u, ids in zip(units, each, strict=True)]
-            if len(self.seen) > KEPT:
-                self.seen.clear()
-            self.seen.update((u, ids) for u, ids in found.items() if len(u) <= SHORT)
-        return b"".join(each)
+        if len(self.seen) > KEPT:
+            self.seen.clear()
+        new = list(set(units).difference(self.seen))
+        if new:
+            self.seen.update(zip(new, (array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        packed = b"".join(map(self.seen.__getitem__, units))
+        for u in new:
+            if len(u) > SHORT:
+                del self.seen[u]
+        return packed
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text, and where each token's characters begin and end; a part of a character has that character's place."""
