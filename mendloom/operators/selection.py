@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from mendloom.sources.scratch import written
 
@@ -23,14 +24,23 @@ def hash_split(df: DataFrame, key: str, ratio: float, holdout: bool) -> DataFram
     return df.where(inside if holdout else ~inside)
 
 
+def has_map(kind: DataType) -> bool:
+    """Whether values of a type hold maps, which have no digest, or variants."""
+    return any(t in kind.simpleString() for t in ("map<", "variant"))
+
+
 def numbered(df: DataFrame, key: Sequence[str], name: str = "row_no") -> DataFrame:
     """Rows numbered from 0 in the order of ``key``, without one task for all of them.
 
-    Sorted ranges are numbered within, and the counts of earlier ranges added. The ranges are drawn
-    from a sample that no second run repeats, so they are written before they are counted.
+    Rows are dealt into sorted ranges by one shuffle and numbered by their place there; the counts of
+    earlier ranges are added. Rows of equal key are ordered, and cut into ranges, by a digest of all
+    columns but maps. The ranges are drawn from a sample that no second run repeats, so they are
+    written before they are counted.
     """
-    ranged = df.repartitionByRange(*key).withColumn("range_", F.spark_partition_id())
-    local = written(ranged.withColumn("nth_", F.row_number().over(Window.partitionBy("range_").orderBy(*key)) - 1), "ranges")
+    apart = F.xxhash64(*(f.name for f in df.schema if not has_map(f.dataType)))
+    order = [*key, "tie_"]
+    ranged = df.withColumn("tie_", apart).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie_").withColumn("at_", F.monotonically_increasing_id())
+    local = written(ranged.select(*df.columns, F.shiftright("at_", 33).alias("range_"), F.col("at_").bitwiseAND((1 << 33) - 1).alias("nth_")), "ranges")
     sizes = local.groupBy("range_").agg(F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return local.join(F.broadcast(sizes.select("range_", before.alias("before_"))), "range_").withColumn(name, (F.col("nth_") + F.col("before_")).cast("long")).drop("range_", "nth_", "before_")
@@ -124,6 +134,25 @@ def pairs_by_hash(df: DataFrame, key: str, flag: str) -> DataFrame:
     return side(True, "vulnerable").join(side(False, "fixed"), key)
 
 
+def rank_pairs(df: DataFrame, key: str, flag: str, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The n-th flagged row of a key with its n-th unflagged row, and the rows left over.
+
+    Rows of a key are counted in the order given, then by a digest of all columns: m and n rows make
+    the smaller number of pairs, not m times n. Numbers come from one order of the whole table, so no
+    task holds a key. Rows without a key or flag are left over.
+    """
+    row = F.struct(*df.columns)
+    placed = numbered(df.select(F.col(key).alias("key_"), F.col(flag).alias("flag_"), *(F.col(c).alias(f"by_{i}_") for i, c in enumerate(order)), row.alias("row_")), ["key_", "flag_", *(f"by_{i}_" for i in range(len(order)))], "no_")
+    start = placed.groupBy(F.col("key_").alias("k_"), F.col("flag_").alias("f_")).agg(F.min("no_").alias("start_"))
+    ranked = placed.join(start, F.col("key_").eqNullSafe(F.col("k_")) & F.col("flag_").eqNullSafe(F.col("f_"))).select("key_", "flag_", (F.col("no_") - F.col("start_")).alias("rank_"), "row_")
+    side = lambda want, name: ranked.where(F.col("flag_") if want else ~F.col("flag_")).select("key_", "rank_", F.col("row_").alias(name))
+    whole = side(True, "vulnerable").join(side(False, "fixed"), ["key_", "rank_"], "full_outer")
+    odd = ranked.where("key_ IS NULL OR flag_ IS NULL").select("row_.*")
+    met = whole.where("key_ IS NOT NULL AND vulnerable IS NOT NULL AND fixed IS NOT NULL").select(F.col("key_").alias(key), "vulnerable", "fixed")
+    left = whole.where("key_ IS NOT NULL AND (vulnerable IS NULL OR fixed IS NULL)").select(F.coalesce("vulnerable", "fixed").alias("row_")).select("row_.*")
+    return met, left.unionByName(odd)
+
+
 def unpaired(df: DataFrame, key: str, flag: str) -> DataFrame:
     """Keys that lack a flagged or an unflagged row."""
     return df.groupBy(key).agg(F.bool_or(flag).alias("any_"), F.bool_and(flag).alias("all_")).where("not any_ or all_").select(key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mendloom.functions.text import FAILED, LIST_COMMAND, PATH_TOKEN, PRECISE_READ, READ_COMMAND, SEARCH_COMMAND, SEARCH_SCOPE, col, path_tokens, strip
 
+#: The two tags of tool calls and their responses.
 CALL = r"<tool_call>\s*(\{[\s\S]*?\})\s*</tool_call>"
 RESPONSE = r"<tool_response>\s*([\s\S]*?)\s*</tool_response>"
 
@@ -59,6 +60,15 @@ def matches(df: DataFrame, key: str, completion: str, pattern: str, kind: str) -
     return found.where("size is not null").select(key, F.lit(kind).alias("kind"), (end - F.col("size")).alias("start"), end.alias("end"), "body")
 
 
+def next_value(value: Column, key: str, *order: Column) -> Column:
+    """The next value that isn't null, in the order of rows of ``key``, after the row itself.
+
+    ``order`` is the reverse order. Read backwards, the frame only grows, so a key costs time in
+    proportion to its rows; the forward form, a frame that shrinks, is worked out anew for every row.
+    """
+    return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+
+
 def calls_by_window(df: DataFrame, key: str, completion: str = "completion") -> DataFrame:
     """The rows of ``calls`` for transcripts of any length: matches become rows, and windows pair them.
 
@@ -66,9 +76,8 @@ def calls_by_window(df: DataFrame, key: str, completion: str = "completion") ->
     """
     asked = matches(df, key, completion, CALL, "call").withColumn("at", F.col("end"))
     said = matches(df, key, completion, RESPONSE, "response").withColumn("at", F.col("start"))
-    order = Window.partitionBy(key).orderBy("at", F.desc("kind"))
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    both = asked.unionByName(said).withColumn("found", F.first(F.when(F.col("kind") == "response", F.col("body")), ignorenulls=True).over(after))
+    # of a response that begins where a call ends and that call, the response comes first: it isn't the call's
+    both = asked.unionByName(said).withColumn("found", next_value(F.when(F.col("kind") == "response", F.col("body")), key, F.desc("at"), F.asc("kind")))
     valid = both.where("kind = 'call'").withColumn("cmd", command(F.col("body"))).where("cmd is not null")
     ok = F.coalesce(~F.rlike(F.lower(strip("found")), F.lit(FAILED)), F.lit(False))
     return valid.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("pos"), "cmd", ok.alias("ok"), F.coalesce("found", F.lit("")).alias("response"))
@@ -76,8 +85,7 @@ def calls_by_window(df: DataFrame, key: str, completion: str = "completion") ->
 
 def first_response(events: DataFrame, key: str) -> DataFrame:
     """Forward as-of join over (key, pos, kind, value): each call with the first response after it."""
-    after = Window.partitionBy(key).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    met = events.withColumn("response", F.first(F.when(F.col("kind") == "response", F.col("value")), ignorenulls=True).over(after))
+    met = events.withColumn("response", next_value(F.when(F.col("kind") == "response", F.col("value")), key, F.desc("pos")))
     return met.where("kind = 'call'").select(key, "pos", F.col("value").alias("cmd"), "response")
 
 

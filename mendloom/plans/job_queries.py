@@ -66,8 +66,12 @@ _CURATED = """WITH n AS (SELECT doc_id // 8 AS p, count(*) FILTER (doc_id % 4 <>
     SELECT instance_id, rollout_no, round(0.2 * f + 0.4 * s + 0.4 * ts, 6) AS reward FROM s"""
 
 
+def _scored(rows: DataFrame) -> DataFrame:
+    return rows.select("instance_id", F.col("rollout_no").cast("long").alias("rollout_no"), "reward")
+
+
 def _curated(spark, d) -> DataFrame:
-    return pipelines.curate(derive.rollouts(table(spark, d, DOC))).select("instance_id", F.col("rollout_no").cast("long").alias("rollout_no"), "reward")
+    return _scored(pipelines.curate(derive.rollouts(table(spark, d, DOC))))
 
 
 @query("g9_curation", _CURATED)
@@ -75,6 +79,12 @@ def _(spark, d):
     return _curated(spark, d)
 
 
+@query("g9_repeated_rollouts", f"WITH c AS ({_CURATED}) SELECT c.* FROM c CROSS JOIN range(3)")
+def _(spark, d):
+    rows = derive.rollouts(table(spark, d, DOC))
+    return _scored(pipelines.curate(rows.unionAll(rows).unionAll(rows)))
+
+
 @query("g10_recovery", "SELECT event_id, 2 AS messages, CAST(-1.0 AS DOUBLE) AS reward, concat('fix ', user_id) AS problem_statement FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 AND date_trunc('second', ts) > (SELECT max(ts) FROM events) - INTERVAL 240 HOUR")
 def _(spark, d):
     events = table(spark, d, EVT)
@@ -136,6 +146,12 @@ def _(spark, d):
     return metrics.command_shares(table(spark, d, EVT), "user_id", "event_type")
 
 
+@query("m5_shares_over_time", "WITH c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM c), g AS (SELECT s.bucket, e.event_type, coalesce(c.n, 0) AS n FROM s CROSS JOIN (SELECT DISTINCT event_type FROM c) e LEFT JOIN c ON c.bucket = s.bucket AND c.event_type = e.event_type) SELECT epoch(bucket)::BIGINT AS bucket, event_type, n, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY bucket), 0), 0), 6) AS share FROM g")
+def _(spark, d):
+    shares = metrics.shares_over_time(table(spark, d, EVT), "ts", "event_type")
+    return shares.withColumn("bucket", F.unix_timestamp("bucket"))
+
+
 @query("m6_advantages", "SELECT event_id, round((e.v - avg(e.v) OVER w) / (coalesce(stddev_samp(e.v) OVER w, 0) + 0.0001), 6) AS advantage FROM (SELECT event_id, user_id, event_id % 10 AS v FROM events) e WINDOW w AS (PARTITION BY user_id)")
 def _(spark, d):
     rows = table(spark, d, EVT).select("event_id", "user_id", (F.col("event_id") % 10).alias("v"))

@@ -38,8 +38,8 @@ def stack_dataset(tasks: DataFrame, key: str, **how) -> DataFrame:
 
 
 def vulnerability_repair(rows: DataFrame, **how) -> DataFrame:
-    """Vulnerable function to its fix, by hash; type Other is left out."""
-    met = selection.pairs_by_hash(rows.where(~F.array_contains("cwe", "Other")), "hash", "is_vulnerable")
+    """Vulnerable function to its fix, by hash and place within it; type Other is left out."""
+    met, _ = selection.rank_pairs(rows.where(~F.array_contains("cwe", "Other")), "hash", "is_vulnerable")
     described = prompts.vulnerability_description("vulnerable.cwe", "vulnerable.cwe_description")
     return repair_dataset(met.select("hash", F.col("vulnerable.func").alias("before_code"), F.col("fixed.func").alias("after_code"), described.alias("description")), "hash", **how)
 
@@ -56,12 +56,16 @@ def multilingual_mix(a: DataFrame, b: DataFrame, key: str, n_a: int, n_b: int, b
     return both.where(~F.col("repo").eqNullSafe(blocked)).withColumn("shuffled", selection.shuffle_key(F.col(key), seed))
 
 
-def curate(rollouts: DataFrame, key: tuple[str, str] = ("instance_id", "rollout_no")) -> DataFrame:
-    """Rollouts that didn't fail, with their rewards."""
-    ok = rollouts.where("status = 'ok'").withColumn("key_", F.concat_ws("#", *key))
-    same = rewards.patch_similarity(ok, "key_").withColumnRenamed("similarity", "similarity_reward")
-    tests = rewards.patch_similarity(ok, "key_", "test_patch").withColumnRenamed("similarity", "test_similarity_reward")
-    scored = ok.join(same, "key_").join(tests, "key_").withColumn("file_match_reward", rewards.file_match("patch", "generated_diff"))
+def curate(rollouts: DataFrame) -> DataFrame:
+    """Rollouts that didn't fail, with their rewards: a row for each, whatever its ids and however often it is repeated.
+
+    Rewards depend on the three patches alone, so each combination of patches is scored once and joined by its digest.
+    """
+    ok = rollouts.where("status = 'ok'").withColumn("key_", F.sha2(F.to_json(F.struct("patch", "test_patch", "generated_diff"), {"ignoreNullFields": "false"}), 256))
+    once = ok.select("key_", "patch", "test_patch", "generated_diff").dropDuplicates(["key_"])
+    same = rewards.patch_similarity(once, "key_").withColumnRenamed("similarity", "similarity_reward")
+    tests = rewards.patch_similarity(once, "key_", "test_patch").withColumnRenamed("similarity", "test_similarity_reward")
+    scored = ok.join(same.join(tests, "key_"), "key_").withColumn("file_match_reward", rewards.file_match("patch", "generated_diff"))
     return scored.withColumn("reward", rewards.curation_reward("file_match_reward", "similarity_reward", "test_similarity_reward")).drop("key_")
 
 

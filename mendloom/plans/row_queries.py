@@ -55,6 +55,18 @@ def _(spark, d):
     return io.scan_predictions(lines)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
+#: JSON values as ids of predictions, and whether Python takes each for true.
+_IDS = [('"0"', True), ('"false"', True), ('"null"', True), ("[]", False), ("0.0", False), ("0", False), ("{}", False), ("null", False), ("false", False), ("true", True), ("-1", True), ("[0]", True), ('{"a":0}', True), ('" "', True), ('""', False), ("1e-3", True)]
+
+
+@query("s3_typed_ids", "SELECT event_id, event_id % 16 IN (" + ", ".join(str(i) for i, (_, ok) in enumerate(_IDS) if ok) + ") AS taken FROM events")
+def _(spark, d):
+    k = F.col("event_id")
+    lines = table(spark, d, EVT).select(k, say('{"instance_id": ', by_modulus(k, *(F.lit(v) for v, _ in _IDS)), "}").alias("line"))
+    good, bad = io.scan_predictions(lines)
+    return good.select("event_id", F.lit(True).alias("taken")).unionAll(bad.select("event_id", F.lit(False)))
+
+
 def _logs(spark, d) -> str:
     """A folder with a message log for every twelfth of the events, some lines of which are bad."""
     at, k = scratch(spark, "logs"), F.col("event_id")
@@ -393,6 +405,12 @@ def _(spark, d):
     return met.select("hash", F.col("vulnerable.func").alias("before_code"), F.col("fixed.func").alias("after_code"))
 
 
+@query("j1_rank_pairs", "WITH p AS (SELECT lang AS hash, doc_id % 2 = 0 AS v, doc_id, row_number() OVER (PARTITION BY lang, doc_id % 2 ORDER BY doc_id) AS r FROM documents WHERE lang IS NOT NULL) SELECT a.hash, a.doc_id AS vulnerable, b.doc_id AS fixed FROM p a JOIN p b ON a.hash = b.hash AND a.r = b.r AND a.v AND NOT b.v")
+def _(spark, d):
+    met, _left = selection.rank_pairs(table(spark, d, DOC).select("lang", "doc_id", (F.col("doc_id") % 2 == 0).alias("v")), "lang", "v", ["doc_id"])
+    return met.select(F.col("lang").alias("hash"), F.col("vulnerable.doc_id").alias("vulnerable"), F.col("fixed.doc_id").alias("fixed"))
+
+
 @query("j2_file_join", "SELECT doc_id // 8 AS problem, concat('f', doc_id, '.py') AS filename, doc_id % 4 <> 3 AS in_oracle, doc_id % 4 <> 0 AS in_generated FROM documents")
 def _(spark, d):
     p = derive.patches(table(spark, d, DOC))

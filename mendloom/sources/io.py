@@ -33,11 +33,19 @@ def json_object(line: Column) -> Column:
     return F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
 
 
+def truthy(line: Column, path: str) -> Column:
+    """Whether a JSON value is there and neither null, false, zero, nor an empty string, list or object."""
+    value = F.try_variant_get(F.try_parse_json(line), path, "variant")
+    kind, shown = F.schema_of_variant(value), F.to_json(value)
+    number = F.rlike(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"))
+    return F.coalesce(F.when(number, F.try_variant_get(value, "$", "double") != 0).otherwise((kind != "VOID") & ~shown.isin('""', "false", "[]", "{}")), F.lit(False))
+
+
 def scan_predictions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good lines (with instance_id), and rejects with the reason; blank lines are neither."""
     full = lines.where(F.rlike("line", F.lit(r"\S")))
     marked = full.withColumn("instance_id", F.when(json_object(F.col("line")), F.get_json_object("line", "$.instance_id")))
-    reason = F.when(~json_object(F.col("line")), "not an object").when(F.coalesce("instance_id", F.lit("")).isin("", "null", "false", "0"), "no instance_id")
+    reason = F.when(~json_object(F.col("line")), "not an object").when(~truthy(F.col("line"), "$.instance_id"), "no instance_id")
     marked = marked.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null").drop("instance_id")
 
