@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from mendloom.llm.common import materialise
 
 TABLES = 2
-#: (polytopes of a cell, coordinates of each), and the rows from which on they are used: at least 32 a cell.
-SHAPES = [((2, 8), 0), ((2, 16), 32 << 10), ((2, 32), 32 << 12), ((2, 64), 32 << 14), ((4, 8), 32 << 16)]
+#: (polytopes of a cell, coordinates of each), and the rows from which on they are used: at least 32 a cell, but in the first.
+SHAPES = [((1, 8), 0), ((1, 32), 32 << 6), ((2, 8), 32 << 8), ((2, 16), 32 << 10), ((2, 32), 32 << 12), ((2, 64), 32 << 14), ((4, 8), 32 << 16)]
 #: Share of the true neighbours that the visited cells have to hold, and the queries that it is measured on.
 RECALL, MEASURED = 0.96, 128
-#: Bands of length to a factor of two, and all; rows of a band that are scored by every query.
-BAND, BANDS, SCANNED = 8, 64, 2048
+#: Bands of length to a factor of two, and all.
+BAND, BANDS = 8, 64
 #: Components of the vectors that a task holds of one block, and how many times more of queries.
 BLOCK, QUERIES = 1 << 20, 4
 
@@ -308,19 +308,19 @@ def compared(both: DataFrame, hashing: Hashing | None, cells: int, dimension: in
     return dealt.groupBy("t", "block", "part").applyInArrow(score, "asked binary, met binary, score double")
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", tables: int = TABLES, seed: int = 0, scanned: int = SCANNED) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", tables: int = TABLES, seed: int = 0, scanned: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products found for each id divisible by ``every``.
 
     Ties go to the smaller id. Of equal vectors each task sends one to its block, and their ids are put in at
     the end, the ``k + 1`` least of them, which is all that a result can hold. A cell of any size is scored in
-    blocks. Bands of ``scanned`` rows at most are scored by every query. Vectors of unequal dimension are
+    blocks. Bands of ``scanned`` rows at most (as a rule ``k``: no more than an answer holds) are scored by every query. Vectors of unequal dimension are
     compared as if the shorter ones went on with zeros. Repeated rows count once, an id with several vectors
     counts with each; further columns are ignored.
     """
     square = F.aggregate(F.col("vector"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     base = usable(vectors, key, column).withColumn("is_q", F.col("id") % every == 0)
     longest, dimension = base.agg(F.max(square), F.max(F.size("vector"))).first()
-    longest, dimension, kept = longest or 1.0, dimension or 1, k + 1
+    longest, dimension, kept, scanned = longest or 1.0, dimension or 1, k + 1, k if scanned is None else scanned
     band = F.least(F.floor(F.log2(F.lit(longest) / F.greatest(square, F.lit(1e-300))) * (BAND / 2)), F.lit(BANDS - 1)).cast("int")
     counts = {r.band: r.n for r in base.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
     dense = {b: n for b, n in counts.items() if n > scanned}

@@ -332,11 +332,21 @@ def test_recall_and_scores(spark, scale):
     assert sum(hit) / len(hit) / 20 >= 0.9
 
 
-def test_recall_on_the_given_vectors(spark):
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_recall_on_the_given_vectors(spark, monkeypatch, sf):
+    real, scans, hashed, folder = cross_polytope.compared, [], [], DATA.replace("0.001", sf)
+
+    def noted(both, hashing, cells, *rest):
+        (hashed if hashing else scans).append((cells, hashing and hashing.cells, both.where("is_v").count()))
+        return real(both, hashing, cells, *rest)
+
+    monkeypatch.setattr(cross_polytope, "compared", noted)
     got = defaultdict(set)
-    for r in queries.op4_cross_polytope(spark, DATA.replace("0.001", "0.01")).collect():
+    for r in queries.op4_cross_polytope(spark, folder).collect():
         got[r.query_id].add(r.vec_id)
-    e = np.array([r.embedding for r in table(spark, DATA.replace("0.001", "0.01"), "embeddings").orderBy("vec_id").collect()], float)
+    e = np.array([r.embedding for r in table(spark, folder, "embeddings").orderBy("vec_id").collect()], float)
+    assert len(hashed) == 1 and hashed[0][2] == len(e) and not scans  # all rows are found through cells
+    assert hashed[0][0] < hashed[0][1]  # of which a query visits a part
     hit = [len(set(np.argsort(-np.where(np.arange(len(e)) == q, -9, e @ e[q]))[:20]) & got[q]) / 20 for q in range(0, len(e), 20)]
     assert np.mean(hit) >= 0.9
 
