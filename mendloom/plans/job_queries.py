@@ -10,6 +10,7 @@ from mendloom.operators import metrics, rewards, selection
 from mendloom.plans import derive, pipelines
 from mendloom.plans.derive import say, table
 from mendloom.plans.registry import query
+from mendloom.sources.scratch import scratch
 
 DOC, EVT = "documents", "events"
 
@@ -85,18 +86,41 @@ def _(spark, d):
     return _scored(pipelines.curate(rows.unionAll(rows).unionAll(rows)))
 
 
-@query("g10_recovery", "SELECT event_id, 2 AS messages, CAST(-1.0 AS DOUBLE) AS reward, concat('fix ', user_id) AS problem_statement FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 AND date_trunc('second', ts) > (SELECT max(ts) FROM events) - INTERVAL 240 HOUR")
-def _(spark, d):
-    events = table(spark, d, EVT)
+_RECOVERED = "SELECT event_id, 2 AS messages, CAST(-1.0 AS DOUBLE) AS reward, concat('fix ', user_id) AS problem_statement FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 AND date_trunc('second', ts) > (SELECT max(ts) FROM events) - INTERVAL 240 HOUR"
+
+
+def _folders(events: DataFrame) -> DataFrame:
+    """A history folder for each event: (dir, metadata, diff, messages, tools)."""
     k = F.col("event_id")
     name = F.when(k % 7 == 0, "broken").otherwise(say(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "-", k.cast("string")))
     talk = say('{"role":"user","content":"fix ', F.col("user_id").cast("string"), '"}\n\n{"role":"assistant","content":"ok"}\n{bad\n{"role":"user","content":"late"}')
-    folders = events.select(name.alias("dir"), F.lit('{"model":"m1"}').alias("metadata"), F.when(k % 3 == 0, " ").otherwise("d").alias("diff"), talk.alias("messages"), F.lit("[]").alias("tools"))
-    latest = events.agg(F.max("ts").alias("as_of"))
+    return events.select(name.alias("dir"), F.lit('{"model":"m1"}').alias("metadata"), F.when(k % 3 == 0, " ").otherwise("d").alias("diff"), talk.alias("messages"), F.lit("[]").alias("tools"))
+
+
+@query("g10_recovery", _RECOVERED)
+def _(spark, d):
+    events = table(spark, d, EVT)
+    folders, latest = _folders(events), events.agg(F.max("ts").alias("as_of"))
     made = pipelines.recover(folders.crossJoin(F.broadcast(latest)), F.col("as_of"), 240, "m1")
     return made.select(F.substring_index("dir", "-", -1).cast("long").alias("event_id"), F.size("messages").alias("messages"), "reward", "problem_statement")
 
 
+@query("g10_recovery_from_disk", "SELECT conv_id, count(*) AS messages, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS problem_statement FROM conversations WHERE conv_id % 100 > 50 AND conv_id % 3 <> 0 AND conv_id % 2 = 1 AND (conv_id % 5 <> 0 OR turn < 2) GROUP BY 1")
+def _(spark, d):
+    # A folder for each conversation, named by an hour: the message log is its turns, with a bad line in every fifth one.
+    turns, at, k = table(spark, d, "conversations"), scratch(spark, "history"), F.col("conv_id")
+    hour = F.lit("2025-01-01 00:00:00").cast("timestamp") + F.make_interval(hours=(k % 100).cast("int"))
+    dir_ = say(F.date_format(hour, "yyyy-MM-dd'T'HH.mm.ss"), "-", k.cast("string")).alias("dir")
+    bad = (k % 5 == 0) & (F.col("turn") == 2)
+    log = turns.select(dir_, F.lit("messages.jsonl").alias("name"), "turn", F.when(bad, "{bad").otherwise(F.to_json(F.struct("role", F.col("text").alias("content")))).alias("value"))
+    rest = {"metadata.json": say('{"model":"m', (k % 2).cast("string"), '"}'), "diff.txt": F.when(k % 3 == 0, " ").otherwise("d"), "tools.json": F.lit("[]")}
+    small = turns.select("conv_id").distinct().select(dir_, F.explode(F.create_map(*(x for n, v in rest.items() for x in (F.lit(n), v)))).alias("name", "value"))
+    made = log.unionByName(small.withColumn("turn", F.lit(0).cast("long")))
+    made.repartition("dir").sortWithinPartitions("dir", "name", "turn").select("dir", "name", "value").write.partitionBy("dir", "name").text(at)
+    got = pipelines.recover_from(spark, at, F.lit("2025-01-05 04:00:00").cast("timestamp"), 50, "m1", parts=True)
+    return got.select(F.substring_index("dir", "-", -1).cast("long").alias("conv_id"), F.size("messages").cast("long").alias("messages"), "problem_statement")
+
+
 @query("g11_training_selection", f"WITH c AS ({_CURATED}) SELECT * FROM c WHERE reward > 0.5")
 def _(spark, d):
     return pipelines.select_for_training(_curated(spark, d), 0.5)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendloom.functions import chat, diffs, prompts, text
 from mendloom.operators import mining, rewards, selection
+from mendloom.sources import io
 
 
 def docstring_tasks(files: DataFrame, least: int = 50, most_vars: int = 15) -> DataFrame:
@@ -74,12 +75,25 @@ def recover(folders: DataFrame, as_of: Column, hours: int, model: str) -> DataFr
 
     Messages are the lines before the first bad one; folders with broken JSON, blank diffs or no messages drop out.
     """
-    kept = folders.where(selection.recent(F.col("dir"), as_of, hours) & F.try_parse_json("metadata").isNotNull() & F.try_parse_json("tools").isNotNull())
-    kept = kept.where(F.contains(F.coalesce(F.get_json_object("metadata", "$.model"), F.lit("")), F.lit(model)) & (F.length(text.strip("diff")) > 0))
+    kept = _of_model(folders.where(selection.recent(F.col("dir"), as_of, hours)), model)
     each = F.filter(F.split("messages", "\n"), lambda s: F.rlike(s, F.lit(r"\S")))
     bad = F.array_position(F.transform(each, lambda s: F.try_parse_json(s).isNull()), True)
     parsed = F.transform(F.when(bad > 0, F.slice(each, F.lit(1), (bad - 1).cast("int"))).otherwise(each), lambda s: F.from_json(s, "struct<role: string, content: string>"))
-    return kept.withColumn("messages", parsed).where(F.size("messages") > 0).select("dir", "messages", "tools", F.lit(-1.0).alias("reward"), chat.first_user("messages").alias("problem_statement"), F.col("diff").alias("generated_diff"))
+    return _recovered(kept.withColumn("messages", parsed))
+
+
+def _of_model(folders: DataFrame, model: str) -> DataFrame:
+    kept = folders.where(F.try_parse_json("metadata").isNotNull() & F.try_parse_json("tools").isNotNull())
+    return kept.where(F.contains(F.coalesce(F.get_json_object("metadata", "$.model"), F.lit("")), F.lit(model)) & (F.length(text.strip("diff")) > 0))
+
+
+def _recovered(kept: DataFrame) -> DataFrame:
+    return kept.where(F.size("messages") > 0).select("dir", "messages", "tools", F.lit(-1.0).alias("reward"), chat.first_user("messages").alias("problem_statement"), F.col("diff").alias("generated_diff"))
+
+
+def recover_from(spark: SparkSession, root: str, as_of: Column, hours: int, model: str, parts: bool = False) -> DataFrame:
+    """``recover`` of the history folders on disk under ``root``: old folders are passed by unread, and message logs may be of any size."""
+    return _recovered(_of_model(io.history_folders(spark, root, selection.recent(F.col("dir"), as_of, hours), parts), model))
 
 
 def select_for_training(rows: DataFrame, reward_min: float = 0.2) -> DataFrame:

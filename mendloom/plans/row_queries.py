@@ -89,6 +89,19 @@ def _(spark, d):
     return selection.numbered(found, ["number", "path"]).select("path", "number", (F.col("row_no") + 1).alias("place"))
 
 
+_TREE = {0: "shard_2", 1: "shard_10", 2: "shard-11", 3: "stray"}
+
+
+@query("s5_tree_on_disk", "SELECT CASE doc_id % 4 WHEN 0 THEN 'shard_2' WHEN 1 THEN 'shard_10' WHEN 2 THEN 'shard-11' ELSE 'stray' END AS folder, doc_id % 4 + 1 AS place, count(*) AS lines, sum(doc_id)::BIGINT AS total FROM documents GROUP BY ALL")
+def _(spark, d):
+    at, docs = scratch(spark, "tree"), table(spark, d, DOC)
+    for k, folder in _TREE.items():
+        docs.where(F.col("doc_id") % 4 == k).select(F.col("doc_id").cast("string")).write.text(f"{at}/runs/{folder}")
+    docs.select("doc_id").write.json(f"{at}/runs/shard_3")  # no prediction files
+    found = io.discovered_lines(spark, at, "*.txt").groupBy("folder").agg(F.min("place").alias("first"), F.count("*").alias("lines"), F.sum(F.col("line").cast("long")).alias("total"))
+    return selection.numbered(found, ["first"], "place").select("folder", (F.col("place") + 1).alias("place"), "lines", "total")
+
+
 def _history(spark, d) -> DataFrame:
     c = table(spark, d, "conversations")
     names = F.create_map(*(F.lit(x) for kv in {0: "metadata.json", 1: "diff.txt", 2: "messages.jsonl", 3: "tools.json"}.items() for x in kv))
@@ -130,6 +143,26 @@ def _(spark, d):
     return spark.read.parquet(at)
 
 
+_VERSIONED = "SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS place FROM documents"
+
+
+def _versioned(spark, d, as_json: bool) -> DataFrame:
+    docs, root = table(spark, d, DOC).select("doc_id", "lang", "n_chars"), scratch(spark, "datasets")
+    for version, order in (("v2", ["doc_id"]), ("v10", ["n_chars", "doc_id"])):
+        io.write_version(docs, root, "some/documents", version, order, as_json)
+    return io.read_version(spark, root, "some/documents", "doc_id long, lang string, n_chars long", as_json=as_json)
+
+
+@query("k1_versions", _VERSIONED)
+def _(spark, d):
+    return _versioned(spark, d, False)
+
+
+@query("k3_jsonl_versions", _VERSIONED)
+def _(spark, d):
+    return _versioned(spark, d, True)
+
+
 @query("k2_dataset_card", "SELECT 'labelled documents' AS description, '20' AS threshold, count(*) AS rows FROM labels")
 def _(spark, d):
     made = io.card(table(spark, d, "labels"), "labelled documents", threshold="20")
