@@ -5,13 +5,16 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendloom.functions.text import col, lines, occurrences, once, strip
+from mendloom.operators.selection import numbered
 from mendloom.schemas import BLOCKS
+from mendloom.sources.scratch import written
 
-BLOCK = r"(?msd)^<{3,}\s*SEARCH[^\n]*\n(.*?)^={5,}[^\n]*\n(.*?)^>{3,}\s*REPLACE"
+#: Lines that open, part and close a block.
+OPENS, PARTS, CLOSES = r"^<{3,}\s*SEARCH", r"^={5,}", r"^>{3,}\s*REPLACE"
 PERFECT = r"(?s)<<<<<<< SEARCH\n.*?\n=======\n.*?\n>>>>>>> REPLACE"
 
 
@@ -21,14 +24,44 @@ def no_blocks() -> Column:
 
 
 def parse_blocks(x: Column | str, mode: str = "intended") -> Column:
-    """All search/replace blocks of a text, one line end cut from each side; none for null.
+    """All search/replace blocks of a text, without the line end before a marker; none for null.
+
+    A machine over the marker lines: an opener begins a block, and drops one that wasn't closed; a closer
+    ends it if it was parted; markers outside of a block are orphans and count for nothing. Of several
+    lines that could part a block the first as wide as its opener does, else the first of nothing
+    but ``=``, else the first: so a heading underlined in the code parts nothing.
 
     ``compat`` reads texts by paragraphs instead, and malformed markers by looser patterns: see ``paragraph_blocks``.
     """
     if mode == "compat":
         return paragraph_blocks(x)
-    side = lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(BLOCK), F.lit(i)), lambda s: F.regexp_replace(s, r"\n\z", ""))
-    return once(F.coalesce(col(x), F.lit("")), lambda x: F.zip_with(side(x, 1), side(x, 2), lambda s, r: F.struct(s.alias("search"), r.alias("replace"))))
+    return once(F.split(F.coalesce(col(x), F.lit("")), "\n", -1), _line_blocks)
+
+
+def _line_blocks(each: Column) -> Column:
+    """Blocks of the lines of a text."""
+    like = lambda s, p: F.rlike(s, F.lit(p))
+    kind = lambda s: F.when(like(s, OPENS), 1).when(like(s, PARTS), 2).when(like(s, CLOSES), 3).otherwise(0)
+    width = lambda s: F.length(F.regexp_extract(s, "^[<=]+", 0))
+    marks = F.transform(each, lambda s, i: F.struct(i.alias("at"), kind(s).alias("kind"), width(s).alias("width"), like(s, r"^=+\s*$").alias("bare")))
+    marks = F.filter(marks, lambda m: m["kind"] > 0)
+    state = "struct<open:int,width:int,rank:int,parted:int,found:array<struct<open:int,parted:int,closed:int>>>"
+    nothing = F.array().cast("array<struct<open:int,parted:int,closed:int>>")
+
+    def of(open_: Column, width: Column, rank: Column, parted: Column, found: Column) -> Column:
+        return F.struct(open_.alias("open"), width.alias("width"), rank.alias("rank"), parted.alias("parted"), found.alias("found")).cast(state)
+
+    def step(acc: Column, m: Column) -> Column:
+        rank = F.when(m["bare"] & (m["width"] == acc["width"]), 1).when(m["bare"], 2).otherwise(3)
+        closed = F.concat(acc["found"], F.array(F.struct(acc["open"].alias("open"), acc["parted"].alias("parted"), m["at"].alias("closed"))))
+        out = F.when(m["kind"] == 1, of(m["at"], m["width"], F.lit(9), F.lit(-1), acc["found"]))
+        out = out.when((acc["open"] < 0) | ((m["kind"] == 2) & (rank >= acc["rank"])), acc)
+        out = out.when(m["kind"] == 2, of(acc["open"], acc["width"], rank, m["at"], acc["found"]))
+        return out.otherwise(of(F.lit(-1), F.lit(0), F.lit(9), F.lit(-1), F.when(acc["parted"] >= 0, closed).otherwise(acc["found"])))
+
+    found = F.aggregate(marks, of(F.lit(-1), F.lit(0), F.lit(9), F.lit(-1), nothing), step)["found"]
+    between = lambda a, b: F.array_join(F.slice(each, a + 2, b - a - 1), "\n")
+    return F.transform(found, lambda b: F.struct(between(b["open"], b["parted"]).alias("search"), between(b["parted"], b["closed"]).alias("replace")))
 
 
 #: Patterns for paragraphs whose markers are malformed, from strict to loose. The first that fits gives the block.
@@ -37,21 +70,26 @@ NO_SEARCH = r"(?s)<<<+\s*SEARCH\s*>*\n=+\n(.*?)\n>>>+\s*REPLACE\s*<*"
 BLANKS = r"(?s)<<<+\s*SEARCH\s+\n(.*?)\n=+\s+\n(.*?)\n>>>+\s*REPLACE\s+"
 TRAILING = r"(?s)<<<+\s*SEARCH\s*.*?\n(.*?)\n=+.*?\n(.*?)\n>>>+\s*REPLACE\s*.*?"
 NO_DIVIDER = r"(?s)<<+\s*SEARCH\s*>*\n(.*?)>>+\s*REPLACE\s*<*"
+MARKERS = r"<*\s*SEARCH\s*>*|\n=+\n|<*\s*REPLACE\s*>*"
 WORDS_ONLY = r"(?s)(?:.*?SEARCH.*?[\r\n]+)(.*?)(?:.*?(?:=+|DIVIDER).*?[\r\n]+)(.*?)(?:.*?REPLACE)"
 
 
 def _loose(s: Column) -> Column:
-    """The block of one malformed paragraph, or null: without a divider its lines are parted in the middle."""
+    """The block of one malformed paragraph, or null: without a divider its lines are parted in the middle, and last
+    of all it is cut at marker words wherever they stand, of which the first two full parts count."""
     fits = lambda p: F.rlike(s, F.lit(p))
     pair = lambda search, replace: F.struct(search.alias("search"), replace.alias("replace"))
     groups = lambda p: pair(F.regexp_extract(s, p, 1), F.regexp_extract(s, p, 2))
     inner = lines(F.regexp_extract(s, NO_DIVIDER, 1))
     middle = F.floor(F.size(inner) / 2).cast("int")
     halves = pair(F.array_join(F.slice(inner, F.lit(1), middle), "\n"), F.array_join(F.slice(inner, middle + 1, F.size(inner) - middle), "\n"))
-    words = F.contains(s, F.lit("=====")) | F.contains(s, F.lit("DIVIDER"))
+    has = lambda w: F.contains(s, F.lit(w))
+    words = has("SEARCH") & has("REPLACE") & (has("=====") | has("DIVIDER"))
+    full = F.filter(F.transform(F.split(s, MARKERS, -1), strip), lambda p: p != "")
     out = F.when(fits(PRIMARY), groups(PRIMARY)).when(fits(NO_SEARCH), pair(F.lit(""), F.regexp_extract(s, NO_SEARCH, 1)))
     out = out.when(fits(BLANKS), groups(BLANKS)).when(fits(TRAILING), groups(TRAILING)).when(fits(NO_DIVIDER), halves)
-    return out.when(words & fits(WORDS_ONLY), pair(strip(F.regexp_extract(s, WORDS_ONLY, 1)), strip(F.regexp_extract(s, WORDS_ONLY, 2))))
+    out = out.when(words & fits(WORDS_ONLY), pair(strip(F.regexp_extract(s, WORDS_ONLY, 1)), strip(F.regexp_extract(s, WORDS_ONLY, 2))))
+    return out.when(words & (F.size(full) >= 2), pair(F.get(full, 0), F.get(full, 1)))
 
 
 def paragraph_blocks(x: Column | str) -> Column:
@@ -166,6 +204,34 @@ def _ratios(by_line: bool):
     return ratio
 
 
+#: Product of two lengths from which on a pair is heavy, and what a task takes of such products.
+HEAVY, SHARE = 1 << 24, 1 << 28
+
+
+def heavy_groups(heavy: DataFrame, share: int = SHARE) -> DataFrame:
+    """Pairs with their ``cost_``, one partition for each group of about ``share`` in all, the dearest pairs dealt out first."""
+    total, n = heavy.agg(F.sum("cost_"), F.count("*")).first()
+    groups = int(max(1, min(n, -(-(total or 0) // share))))
+    dealt = numbered(heavy.withColumn("dear_", -F.col("cost_")), ["dear_"], "deal_").withColumn("group_", F.col("deal_") % groups)
+    return dealt.repartitionByRange(groups, "group_").drop("dear_", "deal_", "group_")
+
+
+def with_ratios(pairs: DataFrame, **named: tuple[str, str, bool]) -> DataFrame:
+    """``pairs`` with a ``sequence_ratio`` for each name, of (a, b, by_line).
+
+    The time of a ratio grows with the product of the lengths. Pairs of a small product are scored
+    where they are; heavy ones are written, and dealt to tasks by their cost, so that a pair of large
+    texts keeps no others waiting. Null sides are empty texts.
+    """
+    size = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))).cast("double")
+    differ = lambda a, b: F.when(F.coalesce(F.col(a), F.lit("")) == F.coalesce(F.col(b), F.lit("")), 0.0).otherwise(size(a) * size(b))
+    cost = sum((differ(a, b) for a, b, _ in named.values()), F.lit(0.0)).cast("long")
+    scored = lambda df: df.withColumns({n: sequence_ratio(a, b, by_line) for n, (a, b, by_line) in named.items()})
+    heavy = written(pairs.withColumn("cost_", cost).where(F.col("cost_") > HEAVY), "heavy")
+    light = scored(pairs.where(cost <= HEAVY))
+    return light if heavy.isEmpty() else light.unionByName(scored(heavy_groups(heavy)).drop("cost_"))
+
+
 def sequence_ratio(a: Column | str, b: Column | str, by_line: bool = False) -> Column:
     """Matched share of two sequences, of characters or lines; the order of the two matters.
 

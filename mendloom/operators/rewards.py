@@ -31,8 +31,8 @@ def block_pairs(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
 
 def block_similarity(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """(key, similarity): mean over blocks of the mean line ratio of both sides; 1 for two empty lists, 0 for one."""
-    scored = block_pairs(df, a, b, key).withColumn("both", (diffs.sequence_ratio("a_search", "b_search", True) + diffs.sequence_ratio("a_replace", "b_replace", True)) / 2)
-    mean = scored.groupBy(key).agg(F.avg("both").alias("mean"))
+    scored = diffs.with_ratios(block_pairs(df, a, b, key), searched=("a_search", "b_search", True), replaced=("a_replace", "b_replace", True))
+    mean = scored.groupBy(key).agg(F.avg((F.col("searched") + F.col("replaced")) / 2).alias("mean"))
     one = F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.col("mean"))
     return df.join(mean, key, "left").select(key, F.round(one, 6).alias("similarity"))
 
@@ -52,8 +52,9 @@ def last_by_name(df: DataFrame, patch: str, key: str) -> DataFrame:
 def patch_similarity(df: DataFrame, key: str, oracle: str = "patch", generated: str = "generated_diff") -> DataFrame:
     """(key, similarity): character ratios of files of one name, summed, over the larger count of files; 0 without files."""
     o, g = last_by_name(df, oracle, key).withColumnRenamed("part", "o"), last_by_name(df, generated, key).withColumnRenamed("part", "g")
-    both = o.join(g, [key, "filename"], "full_outer").withColumn("ratio", F.when(F.col("o").isNotNull() & F.col("g").isNotNull(), diffs.sequence_ratio("o", "g")).otherwise(0.0))
-    scored = both.groupBy(key).agg((F.sum("ratio") / F.greatest(F.count("o"), F.count("g"), F.lit(1))).alias("similarity"))
+    both = diffs.with_ratios(o.join(g, [key, "filename"], "full_outer"), ratio=("o", "g", False))
+    met = F.when(F.col("o").isNotNull() & F.col("g").isNotNull(), F.col("ratio")).otherwise(0.0)
+    scored = both.groupBy(key).agg((F.sum(met) / F.greatest(F.count("o"), F.count("g"), F.lit(1))).alias("similarity"))
     return df.select(key).join(scored, key, "left").select(key, F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"))
 
 

@@ -147,6 +147,28 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", _flat(diffs.parse_blocks(shown, "compat")).alias("blocks"))
 
 
+@query("d1_marker_lines", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat(p_name, chr(10), '=====', chr(10), p_brand, '=>new') WHEN 1 THEN concat(p_brand, '=>new') WHEN 2 THEN concat(p_brand, '=>', p_name) WHEN 3 THEN '' WHEN 4 THEN concat(p_brand, '=>', chr(10)) ELSE concat('=>', p_name, chr(10), '=======') END AS blocks FROM part")
+def _(spark, d):
+    b, n = F.col("p_brand"), F.col("p_name")
+    shown = by_modulus(
+        F.col("p_partkey"),
+        say("<<<<<<< SEARCH\n", n, "\n=====\n", b, "\n=======\nnew\n>>>>>>> REPLACE"),
+        say("<<<<<<< SEARCH\nunclosed\n<<<<<<< SEARCH\n", b, "\n=======\nnew\n>>>>>>> REPLACE\n<<<<<<< SEARCH\nmore\n=======\n"),
+        say("=======\n>>>>>>> REPLACE\n<<<<< SEARCH\n", b, "\n===== middle\n", n, "\n>>>>> REPLACE"),
+        say("<<<<<<< SEARCH\n", b, "\n>>>>>>> REPLACE\n=======\n", n, "\n>>>>>>> REPLACE"),
+        say("<<<<<<< SEARCH\n", b, "\n=======\n\n\n>>>>>>> REPLACE"),
+        say("<<<<<<< SEARCH\n=======\n", n, "\n=======\n>>>>>>> REPLACE"),
+    )
+    return table(spark, d, "part").select("p_partkey", _flat(diffs.parse_blocks(shown)).alias("blocks"))
+
+
+@query("d1_last_cut", "SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN concat(p_brand, '=>', p_name, ' =====;') ELSE '' END AS blocks FROM part")
+def _(spark, d):
+    b, n = F.col("p_brand"), F.col("p_name")
+    shown = by_modulus(F.col("p_partkey"), say("REPLACE> ", b, " <SEARCH ", n, " =====;"), say("REPLACE> ===== <SEARCH"))
+    return table(spark, d, "part").select("p_partkey", _flat(diffs.parse_blocks(shown, "compat")).alias("blocks"))
+
+
 @query("d2_generate_blocks", "SELECT p_partkey, concat('b ', p_brand, '=>b ', p_size) AS blocks FROM part")
 def _(spark, d):
     part = table(spark, d, "part")

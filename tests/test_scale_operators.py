@@ -1,12 +1,15 @@
 """Operators on hot keys, repeated rows and typed values, and the plans they run on."""
 
+import difflib
 import random
+import re
 import statistics
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from mendloom.functions import diffs
 from mendloom.operators import metrics, selection, transcripts
 from mendloom.plans import pipelines
 from mendloom.sources import io
@@ -119,3 +122,49 @@ def test_ids_by_their_truth(spark):
     lines = spark.createDataFrame([('{"instance_id": {}}',), ('{"instance_id": 1e-400}',), ('{"instance_id": "x"}',), ("{}",), ("7",)], "line string")
     good, bad = io.scan_predictions(lines)
     assert [r.instance_id for r in good.collect()] == ["x"] and bad.count() == 4
+
+
+def test_heavy_pairs_have_tasks_of_their_own_and_ratios_stay(spark, monkeypatch):
+    monkeypatch.setattr(diffs, "HEAVY", 10_000)
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choice("abc\n") for _ in range(n))
+    pairs = [(i, text(draw.randrange(30)), text(draw.randrange(30))) for i in range(400)] + [(1000 + i, text(150 + 10 * i), text(200)) for i in range(12)] + [(2000, None, "a"), (2001, None, None), (2002, "x" * 900, "x" * 900)]
+    frame = spark.createDataFrame(pairs, "k long, a string, b string").repartition(3)
+    got = {r.k: (r.chars, r.lines) for r in diffs.with_ratios(frame, chars=("a", "b", False), lines=("a", "b", True)).collect()}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert got == {k: (ratio(a or "", b or ""), ratio((a or "").splitlines(), (b or "").splitlines())) for k, a, b in pairs}
+    heavy = spark.createDataFrame([(i, 10_000 if i else 10**9) for i in range(40)], "k long, cost_ long").repartition(2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = diffs.heavy_groups(heavy, 10**8).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.max("cost_").alias("most")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(p.n for p in parts) == 40 and max(p.n for p in parts if p.most == 10**9) <= 8 and len(parts) >= 8
+    assert diffs.with_ratios(frame.where("false"), r=("a", "b", False)).count() == 0
+
+
+def machine(text):
+    """Blocks of a loop over lines."""
+    out, lines, open_ = [], text.split("\n"), None
+    for i, line in enumerate(lines):
+        if re.match(r"<{3,}\s*SEARCH", line):
+            open_, width, best, at = i, len(re.match("<+", line)[0]), 9, None
+        elif open_ is not None and re.match("={5,}", line):
+            bare = re.fullmatch(r"=+\s*", line)
+            rank = 1 if bare and len(re.match("=+", line)[0]) == width else 2 if bare else 3
+            if rank < best:
+                best, at = rank, i
+        elif open_ is not None and re.match(r">{3,}\s*REPLACE", line):
+            if at is not None:
+                out.append(("\n".join(lines[open_ + 1 : at]), "\n".join(lines[at + 1 : i])))
+            open_ = None
+    return out
+
+
+def test_marker_lines_are_read_as_by_a_loop(spark):
+    draw = random.Random(6)
+    kinds = ["<<<<<<< SEARCH", "<<<<< SEARCH x", "=======", "=====", "====== x", ">>>>>>> REPLACE", ">>>REPLACE", "code", "", " =======", "<< SEARCH"]
+    texts = ["\n".join(draw.choice(kinds) for _ in range(draw.randrange(14))) for _ in range(600)] + [""]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {r.i: [(b.search, b.replace) for b in r.blocks] for r in frame.select("i", diffs.parse_blocks("t").alias("blocks")).collect()}
+    assert got == {i: machine(t) for i, t in enumerate(texts)} | {-1: []}
