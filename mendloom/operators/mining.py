@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,17 +26,43 @@ def _plain(target: ast.expr | None) -> list[str]:
     return [target.id] if isinstance(target, ast.Name) else []
 
 
-def _variables(node: ast.AST) -> set[str]:
-    """Arguments and assigned names. Tuples and lists count in plain assignments alone."""
-    found = {a.arg for a in node.args.args}
-    for x in ast.walk(node):
-        if isinstance(x, ast.Assign):
-            for t in x.targets:
-                found.update(n for e in (t.elts if isinstance(t, ast.Tuple | ast.List) else [t]) for n in _plain(e))
-        elif isinstance(x, ast.AnnAssign | ast.For):
-            found.update(_plain(x.target))
-        elif isinstance(x, ast.With):
-            found.update(n for i in x.items for n in _plain(i.optional_vars))
+def _assigned(node: ast.AST) -> list[str]:
+    """Names that a statement assigns. Tuples and lists count in plain assignments alone."""
+    if isinstance(node, ast.Assign):
+        return [n for t in node.targets for e in (t.elts if isinstance(t, ast.Tuple | ast.List) else [t]) for n in _plain(e)]
+    if isinstance(node, ast.AnnAssign | ast.For):
+        return _plain(node.target)
+    return [n for i in node.items for n in _plain(i.optional_vars)] if isinstance(node, ast.With) else []
+
+
+class _Function:
+    """A function with the names and string literals inside it, those of inner functions included; arguments are its own alone."""
+
+    def __init__(self, node: ast.FunctionDef | ast.AsyncFunctionDef, outer: _Function | None):
+        self.node, self.outer = node, outer
+        self.names: set[str] = set()
+        self.literals: list[tuple[int, str]] = []
+
+
+def functions_of(tree: ast.AST) -> list[_Function]:
+    """All functions of a syntax tree, outer before inner: each node is seen once, and what it adds goes from inner to outer functions."""
+    found: list[_Function] = []
+    queue, nth = deque([(tree, None)]), 0
+    while queue:
+        node, owner = queue.popleft()
+        nth += 1
+        if owner is not None:
+            owner.names.update(_assigned(node))
+            if isinstance(node, ast.Constant) and isinstance(node.value, str):
+                owner.literals.append((nth, node.value))
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            owner = _Function(node, owner)
+            found.append(owner)
+        queue.extend((child, owner) for child in ast.iter_child_nodes(node))
+    for f in reversed(found):
+        if f.outer is not None:
+            f.outer.names |= f.names
+            f.outer.literals += f.literals
     return found
 
 
@@ -45,22 +72,20 @@ def documented(content: str) -> Iterator[tuple]:
     Lines end as the parser ends them, so a file with carriage returns has the same spans.
     """
     try:
-        nodes = list(ast.walk(ast.parse(content)))
+        found = functions_of(ast.parse(content))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
     rows = re.split(r"\r\n|\r|\n", content)
-    for node in nodes:
-        if not isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            continue
-        docstring = ast.get_docstring(node)
+    for f in found:
+        node, docstring = f.node, ast.get_docstring(f.node)
         if not docstring:
             continue
         start, end = min([node.lineno, *(d.lineno for d in node.decorator_list)]), node.end_lineno
         masked = [*rows[: start - 1], f"# MASKED: {node.name} function (lines {start}-{end})", *rows[end:]]
-        literals = [x.value for x in ast.walk(node) if isinstance(x, ast.Constant) and isinstance(x.value, str)]
         decorated = any(isinstance(d, ast.Name) and d.id == "property" for d in node.decorator_list)
         control = any(isinstance(x, ast.If | ast.For | ast.While) for x in node.body)
-        yield node.name, docstring, start, end, "\n".join(rows[start - 1 : end]), "\n".join(masked).removesuffix("\n"), len(node.body), len(_variables(node)), control, decorated, isinstance(node, ast.AsyncFunctionDef), literals
+        variables = len(f.names | {a.arg for a in node.args.args})
+        yield node.name, docstring, start, end, "\n".join(rows[start - 1 : end]), "\n".join(masked).removesuffix("\n"), len(node.body), variables, control, decorated, isinstance(node, ast.AsyncFunctionDef), [v for _, v in sorted(f.literals, key=lambda x: x[0])]
 
 
 def mine(files: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on hot keys, repeated rows and typed values, and the plans they run on."""
 
+import ast
 import difflib
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendloom.functions import diffs
-from mendloom.operators import metrics, selection, transcripts
+from mendloom.operators import metrics, mining, selection, transcripts
 from mendloom.plans import pipelines
 from mendloom.sources import io
 from mendloom.streaming import predictions
@@ -168,3 +169,29 @@ def test_marker_lines_are_read_as_by_a_loop(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
     got = {r.i: [(b.search, b.replace) for b in r.blocks] for r in frame.select("i", diffs.parse_blocks("t").alias("blocks")).collect()}
     assert got == {i: machine(t) for i, t in enumerate(texts)} | {-1: []}
+
+
+def tower(levels, n):
+    """Functions inside functions, each with names and strings of its own."""
+    out = []
+    for i in range(levels):
+        pad = "  " * i
+        out += [f"{pad}@deco('d{i}')", f"{pad}{'async ' if i % 3 == 0 else ''}def f{n}_{i}(a{i}, b=('x', 1)):", f"{pad}  'doc {n} {i}'", f"{pad}  v{i}, w = 'FROM', [1 for q in range(2)]", f"{pad}  with open('p') as h{i}: pass"]
+    return "\n".join(out)
+
+
+def test_functions_hold_what_a_walk_of_each_finds():
+    content = "\n".join([*(tower(5, n) for n in range(3)), "class C:\n  x: int = 1\n  def m(self):\n    'doc'\n    for i in 'abc':\n      y: str = 's'\n", "z = 'outer'"])
+    found = mining.functions_of(ast.parse(content))
+    assert [f.node.name for f in found] == [x.name for x in ast.walk(ast.parse(content)) if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)]
+    for f in found:
+        assert f.names == {n for x in ast.walk(f.node) for n in mining._assigned(x)}
+        assert [v for _, v in sorted(f.literals, key=lambda x: x[0])] == [x.value for x in ast.walk(f.node) if isinstance(x, ast.Constant) and isinstance(x.value, str)]
+
+
+def test_a_file_of_nested_functions_is_walked_once():
+    content = "\n".join(tower(45, n) for n in range(45))
+    tree = ast.parse(content)
+    began = time.process_time()
+    found = mining.functions_of(tree)
+    assert len(found) == 45 * 45 and time.process_time() - began < 1.5
