@@ -9,6 +9,7 @@ exactly 0.8 misses every bucket with probability (1 - 0.8**3)**16, about 1e-5.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendloom.llm.common import connected_components, materialise
+from mendloom.llm.url_filter import bloom_filter, possible_hits
 from mendloom.llm.words import mix, occurrences, shingles
 
 WIDTH, SIMILAR, FUNCTIONS, PICKED = 5, 0.8, 16, 3
@@ -24,6 +26,10 @@ WIDTH, SIMILAR, FUNCTIONS, PICKED = 5, 0.8, 16, 3
 BLOCK, TEXT = 1 << 21, 256
 #: Members that all others of a cell are compared with before any further pairs are.
 LEADERS = 32
+#: Items up to which texts are aligned on whole rows of bits.
+SHORT = 1024
+#: Pairs of equal items for each item, beyond which texts are aligned by bits.
+REPEATED = 4
 
 
 def sketch(items: np.ndarray, functions: int = FUNCTIONS, picked: int = PICKED) -> np.ndarray:
@@ -46,13 +52,8 @@ def sketch(items: np.ndarray, functions: int = FUNCTIONS, picked: int = PICKED)
     return mix(keys)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> int:
-    """Longest common subsequence within the band that ``similar`` allows, by bit-parallel dynamic programming.
-
-    An alignment of at least that similarity has at most (n + m)(1 - s)/(1 + s) unmatched items, so
-    none of its matches lies further from the diagonal.
-    """
-    band = int((len(a) + len(b)) * (1 - similar) / (1 + similar)) + 1
+def _by_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Longest common subsequence by bit-parallel dynamic programming on whole rows of bits: the least work for short texts."""
     at: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         at[x] = at.get(x, 0) | 1 << i
@@ -65,6 +66,89 @@ def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> int:
     return len(a) - row.bit_count()
 
 
+def _by_matches(first: np.ndarray, many: np.ndarray, places: np.ndarray, band: int) -> int:
+    """Longest common subsequence from the pairs of equal items in the band: a longest rise of their places in ``b``."""
+    i = np.repeat(np.arange(len(many)), many)
+    back = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+    j = places[np.repeat(first + many - 1, many) - back]
+    j = j[np.abs(i - j) <= band]
+    if (np.diff(j) > 0).all():
+        return len(j)
+    ends: list[int] = []
+    for x in j.tolist():
+        if not ends or x > ends[-1]:
+            ends.append(x)
+        else:
+            ends[bisect_left(ends, x)] = x
+    return len(ends)
+
+
+def _by_bits(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Longest common subsequence by bit-parallel dynamic programming over a window of ``2 * band + 1`` items that slides along ``a``."""
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(a.tolist()):
+        at.setdefault(x, []).append(i)
+    # For each item: the window's start when last seen, its places in that window as bits, how many places were taken in.
+    seen = {x: [0, 0, 0] for x in at}
+    lo, hi = 0, min(len(a), band + 1)
+    row, matched = (1 << hi) - 1, 0
+    for j, y in enumerate(b.tolist()):
+        low, high = min(len(a), max(0, j - band)), min(len(a), j + band + 1)
+        if high > hi:
+            row |= ((1 << high - hi) - 1) << hi - lo
+        if low > lo:
+            gone = low - lo
+            matched += gone - (row & (1 << gone) - 1).bit_count()
+            row >>= gone
+        lo, hi = low, max(hi, high)
+        if y in at:
+            state, where = seen[y], at[y]
+            bits, nth = state[1] >> lo - state[0], state[2]
+            while nth < len(where) and where[nth] < hi:
+                if where[nth] >= lo:
+                    bits |= 1 << where[nth] - lo
+                nth += 1
+            state[:] = lo, bits, nth
+            taken = row & bits
+            row = ((row + taken) | (row - taken)) & (1 << hi - lo) - 1
+    return matched + hi - lo - row.bit_count()
+
+
+def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> int:
+    """Longest common subsequence within the band that ``similar`` allows; exact for texts that are at least so similar.
+
+    An alignment of at least that similarity has at most (n + m)(1 - s)/(1 + s) unmatched items, so
+    none of its matches lies further from the diagonal. In longer texts equal beginnings and ends are aligned at once, and items
+    that only one text has are left out: each is unmatched, and narrows the band for the rest. If they
+    are too many, nothing is aligned. Where few items repeat, the pairs of equal items are few and decide (n log n);
+    else a window of bits slides along the band.
+    """
+    band = int((len(a) + len(b)) * (1 - similar) / (1 + similar)) + 1
+    short = min(len(a), len(b))
+    if not short:
+        return 0
+    if short <= SHORT:
+        return _by_words(a, b, band)
+    unlike = np.flatnonzero(a[:short] != b[:short])
+    head = int(unlike[0]) if len(unlike) else short
+    a, b, short = a[head:], b[head:], short - head
+    unlike = np.flatnonzero(a[len(a) - short :][::-1] != b[len(b) - short :][::-1])
+    tail = int(unlike[0]) if len(unlike) else short
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    both = np.isin(a, b), np.isin(b, a)
+    band -= len(a) + len(b) - int(both[0].sum()) - int(both[1].sum())
+    if band < 0:
+        return 0
+    a, b = a[both[0]], b[both[1]]
+    places = np.argsort(b, kind="stable")
+    held = b[places]
+    first = np.searchsorted(held, a)
+    many = np.searchsorted(held, a, "right") - first
+    if not len(a):
+        return head + tail
+    return head + tail + (_by_matches(first, many, places, band) if many.sum() <= REPEATED * (len(a) + len(b)) else _by_bits(a, b, band))
+
+
 def similarity(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> float:
     """aligned / (n + m - aligned); exact wherever it is at least ``similar``."""
     both = aligned(a, b, similar)
@@ -176,6 +260,25 @@ def order_minhash(docs: DataFrame, width: int, functions: int, picked: int) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(text).alias("mark"), text.alias("text")).mapInArrow(sketches, "doc_id long, mark binary, n int, keys array<long>")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes, one row each: ``wanted`` has the node, mark and least doc_id.
+
+    A Bloom filter of the wanted marks and ids (32 MB at most) keeps all other texts out of the shuffle;
+    the join removes its false positives. Repeated rows, those with null ids too, are one.
+    """
+    key = F.xxhash64("mark", "doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(key.alias("key")), "key"))
+
+    @F.arrow_udf("boolean")
+    def possible(keys: pa.Array) -> pa.Array:
+        return pa.array(possible_hits(sent.value, keys.to_numpy(zero_copy_only=False).astype(np.int64)))
+
+    text = normalised(F.col("text"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(text).alias("mark"), text.alias("text")).where(possible(key)).alias("w")
+    found = whole.join(wanted.alias("n"), (F.col("w.mark") == F.col("n.mark")) & F.col("w.doc_id").eqNullSafe(F.col("n.doc_id")))
+    return found.groupBy("n.node").agg(F.any_value("w.text").alias("text"))
+
+
 def like_pivot(members: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
     """(pivot, node, linked): whether each member of the given groups is near the group's pivot, whose text goes along with it."""
     pivots = members.select("pivot").distinct().join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("other")), "pivot")
@@ -217,10 +320,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: float = SIMILA
     blocks = grouped.groupBy("pivot").agg(F.ceil(weight / BLOCK).cast("int").alias("blocks"))
     placed = grouped.join(blocks, "pivot")
 
-    wanted = grouped.select("node").distinct().join(nodes.select("node", "mark", F.col("least").alias("doc_id")), "node")
-    text = normalised(F.col("text"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(text).alias("mark"), text.alias("text")).alias("w")
-    texts = whole.join(wanted.alias("n"), (F.col("w.mark") == F.col("n.mark")) & F.col("w.doc_id").eqNullSafe(F.col("n.doc_id"))).select("n.node", "w.text")
+    wanted = materialise(grouped.select("node").distinct().join(nodes.select("node", "mark", F.col("least").alias("doc_id")), "node"), "wanted")
+    texts = texts_of(docs, wanted)
 
     large = placed.where("blocks > 1")
     led = None

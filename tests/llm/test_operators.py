@@ -2,6 +2,7 @@
 
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -156,6 +157,41 @@ def test_banded_alignment_is_exact_from_the_threshold_on(a, edits):
     assert got == exact if exact >= 0.8 else got < 0.8
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=50), st.lists(st.integers(0, 3), max_size=50))
+def test_both_ways_of_aligning_find_the_longest_common_subsequence(a, b):
+    common = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            common[i + 1][j + 1] = common[i][j] + 1 if x == y else max(common[i][j + 1], common[i + 1][j])
+    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+    assert order_minhash._by_bits(a, b, 100) == common[-1][-1]
+    if len(a) and len(b):
+        places = np.argsort(b, kind="stable")
+        first = np.searchsorted(b[places], a)
+        assert order_minhash._by_matches(first, np.searchsorted(b[places], a, "right") - first, places, 100) == common[-1][-1]
+
+
+def test_texts_of_a_million_words_are_aligned_in_seconds():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 1 << 60, 1_000_000).astype(np.uint64)
+    gone = np.unique(rng.integers(0, len(a), 50_000))
+    start = time.monotonic()
+    assert order_minhash.aligned(a, np.delete(a, gone)) == len(a) - len(gone)
+    assert order_minhash.aligned(a, a[::-1]) < 0.8 * len(a)
+    assert time.monotonic() - start < 30
+
+
+def test_rows_repeated_under_one_or_no_id_are_one_text(spark):
+    near = LONG.replace("word5x5 ", "other ", 1)
+    rows = [(None, LONG)] * 300 + [(None, near)] * 200 + [(7, LONG)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = table.select("doc_id", order_minhash.text_node(order_minhash.normalised(F.col("text"))).alias("mark")).groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
+    assert order_minhash.texts_of(table, nodes.withColumn("node", F.monotonically_increasing_id())).count() == 2
+    got = order_minhash.near_duplicates(table).collect()
+    assert len(got) == 503 and {(r.class_id, r.class_size) for r in got} == {(7, 503)}
+
+
 def classes(spark, *texts):
     return {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs(spark, *texts)).collect()}
 
@@ -249,7 +285,6 @@ def test_a_cell_finds_every_link_of_brute_force(seed, n, apart):
 
 @pytest.mark.parametrize("where", ["edge", "anywhere"])
 def test_a_cell_of_thousands_of_copies_is_quick(where):
-    import time
 
     base, texts = [f"w{i}" for i in range(30)], []
     for i in range(8000):  # at the edge they are near each other, elsewhere they just aren't
