@@ -1,6 +1,7 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions only.
 
-Entities keep their type, punctuation, letter case, script and (for names) gender; equal entities, also
+Entities keep their type and punctuation, names also their script (Latin, Cyrillic, Greek), capitals, hyphens and,
+if listed, gender; equal entities, also
 in different spellings of one number or address, get equal surrogates in all documents, different ones
 different surrogates, none of which is an entity of the corpus. Surrogates are drawn from a keyed hash;
 listed given names follow one another in a keyed order of their list, which is short, so who knows some
@@ -26,7 +27,12 @@ GIVEN = {
 }
 #: Titles that announce a name.
 TITLES = "Mr|Mrs|Ms|Miss|Mx|Sir|Dr|Dra|Doctor|Doktor|Docteur|Prof|Professor|Herr|Herrn|Frau|Fräulein|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señora|Señor|Señorita|Srta|Sra|Sr|Don|Doña|господин|госпожа|доктор|профессор"
-_LATIN, _CYRILLIC = "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va", "ба бе бо ва ве го да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ви"
+#: Syllables of made-up names, by the script of the word that they replace; the last holds for all others.
+SYLLABLES = {
+    r"\p{IsCyrillic}": "ба бе бо ва ве го да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ви",
+    r"\p{IsGreek}": "βα βε γα γο δα δε θα κα κε κο λα λε λο μα με μο να νε νο πα πο ρα ρε ρο σα σε τα τε το φα",
+    "": "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va",
+}
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _MORE = rf"(?: (?:(?:von|van|zu|de|da|do|di|du|del|der|den|la|le) ){{0,2}}{_NAME})"
 #: Names by what stands before them: salutations, introductions, ends of letters. The words stay, as titles do.
@@ -40,13 +46,16 @@ _SECRET = r"(?i:(?:pass(?:word|wd)|token|secret|a(?:pi|ccess)[_-]?key)[A-Za-z0-9
 _PLAIN = r"(?<==\s{0,3}[\"']?)|(?<=[\"']\s{0,3}:\s{0,3}[\"'])"
 _QUOTED = "|".join(rf"(?<={q})(?:{_PLAIN}|(?=[^{q}\n]*?[0-9]))[^{q}\n]{{6,}}+(?={q}|$)" for q in ('"', "'"))
 _VALUE = rf"(?:{_QUOTED}|(?:{_PLAIN}|(?=[^\s\"']*?[0-9]))[^\s\"']{{5,}}[^\s\"'`,;.:!?)\]}}>])"
+#: Secrets by their own form: keys that begin with ``sk``, and signed tokens of three parts.
+_KEYED = r"(?=[se])\b(?:sk[_-](?:[a-z]{1,12}[_-]){0,2}[A-Za-z0-9]{16,256}+|eyJ[A-Za-z0-9_-]{8,4096}+\.eyJ[A-Za-z0-9_-]{4,4096}+\.[A-Za-z0-9_-]{8,4096}+)"
 _TITLED = rf"(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])\b(?:(?:{TITLES})\.? ){{1,3}}(?:(?:von|van|zu|de|da|do|di|du|del|der|den|la|le) ){{0,2}}{_NAME}{_MORE}{{0,2}}"
 _LISTED = rf"(?=[{''.join(sorted({n[0] for n in ' '.join(GIVEN.values()).split()}))}])(?<!\p{{L}})(?:{'|'.join(' '.join(GIVEN.values()).split())}){_MORE}{{1,2}}"
 #: Country codes of telephones by their length: fixed values of the international plan.
 COUNTRIES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
-#: International numbers, area codes in brackets, ten digits, national numbers in pairs, after an area code, in one piece, and Spanish ones.
+#: International numbers (after + or 00), area codes in brackets, ten digits, national numbers in pairs, after an area code, in one piece, and Spanish ones.
 _PHONES = (
     r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d{2,4}|\d(?=(?:[ .-]?\d){6}))(?:[ .-]?\d{2,4}){1,4}(?!\w)",
+    r"00[1-9]\d{0,2}[ .-](?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)",
     r"\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\w)",
     r"\(0\d{1,5}\) ?\d{3,8}(?:[ /-]\d{2,8}){0,3}(?![\w-])",
     r"(?<![/-])(?:\d{3}[ .-]\d{3}[ .-]\d{4}|0[1-9](?:[ .-]\d{2}){4}|0[1-9](?=(?:[ /-]?\d){6})\d{1,3}[ /-]\d{3,8}(?:[ -]\d{2,5}){0,3}|0[1-9]\d{8,9}|[6-9]\d\d(?: \d\d){3}|9\d \d{3} \d\d \d\d)(?![\w-])",
@@ -55,7 +64,7 @@ _PHONES = (
 #: They begin with a look at one character, which settles almost every place of a text.
 PATTERNS = {
     "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    "secret": rf"(?=[PpTtSsAa]){_SECRET}{_VALUE}|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,}}+",
+    "secret": rf"(?=[PpTtSsAa]){_SECRET}{_VALUE}|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,}}+|{_KEYED}",
     "ip": r"(?=[0-9])(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "ipv6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])",
     "iban": r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -65,12 +74,12 @@ PATTERNS = {
     "name": f"{_TITLED}|{_LISTED}|{_SALUTED}|{_CUED}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_HEADS = {"secret": f"^{_SECRET}", "phone": rf"^(?:\+(?:{COUNTRIES})[ .-]?|\(?0)", "name": rf"^(?:(?:(?:{TITLES})\.? ){{1,3}}|(?:{_SALUTES}) |{_CUES})"}
+_HEADS = {"secret": rf"^(?:{_SECRET}|sk[_-](?:[a-z]{{1,12}}[_-]){{0,2}}|eyJ)", "phone": rf"^(?:(?:\+|00)(?:{COUNTRIES})[ .-]?|\(?0)", "name": rf"^(?:(?:(?:{TITLES})\.? ){{1,3}}|(?:{_SALUTES}) |{_CUES})"}
 
 
 def has_entity(text: Column) -> Column:
     """Whether any pattern matches; texts without a sign, a number or a name that all patterns need are settled cheaply."""
-    sign = F.contains(text, F.lit("@")) | F.rlike(text, F.lit(r"[0-9]\.?[0-9]|AKIA|gh[pousr]_")) | F.rlike(text, F.lit(_TITLED)) | F.rlike(text, F.lit(_LISTED)) | F.contains(text, F.lit("::")) | F.rlike(text, F.lit(rf"\b(?:{_SALUTES}) |{_CUES}"))
+    sign = F.contains(text, F.lit("@")) | F.rlike(text, F.lit(r"[0-9]\.?[0-9]|AKIA|gh[pousr]_|\bsk[_-]|\beyJ")) | F.rlike(text, F.lit(_TITLED)) | F.rlike(text, F.lit(_LISTED)) | F.contains(text, F.lit("::")) | F.rlike(text, F.lit(rf"\b(?:{_SALUTES}) |{_CUES}"))
     word = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & F.rlike(text, F.lit(f"(?=[PpTtSsAa]){_SECRET}"))
     return F.coalesce((sign | word) & F.rlike(text, F.lit(ANY)), F.lit(False))
 
@@ -133,9 +142,10 @@ def _iban(core: Column, stream: Column) -> Column:
 
 
 def canonical(kind: Column, core: Column) -> Column:
-    """What all spellings of an entity share: digits of numbers, small letters of addresses."""
+    """What all spellings of an entity share: digits of numbers, small letters of addresses, names with capitals at the beginnings of words."""
+    name = F.array_join(F.transform(F.split(core, " "), lambda w: F.when(F.rlike(w, F.lit(r"^\p{Ll}")), w).otherwise(F.initcap(w))), " ")
     digits = F.regexp_replace(core, r"\D", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind.isin("email", "ipv6"), F.lower(core)).when(kind == "iban", F.upper(F.regexp_replace(core, " ", ""))).otherwise(core)
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind.isin("email", "ipv6"), F.lower(core)).when(kind == "iban", F.upper(F.regexp_replace(core, " ", ""))).when(kind == "name", name).otherwise(core)
 
 
 def _email(core: Column, stream: Column, key: str) -> Column:
@@ -155,23 +165,37 @@ def _card(core: Column, stream: Column) -> Column:
 
 
 def _name(core: Column, attempt: Column, key: str) -> Column:
-    """Listed given names become others of their gender and script, in a keyed order; other parts made-up words of the same script."""
+    """Listed given names become others of their gender and script, in a keyed order; other parts made-up words of the same script.
 
-    def part(p: Column) -> Column:
+    Hyphens and apostrophes stay, as do initials' length and capitals throughout; small words (``von``) stay whole.
+    """
+
+    def made_up(p: Column, piece: Column, i: Column) -> Column:
         made = F.lit(None).cast("string")
-        for script, syllables in ((r"\p{IsCyrillic}", _CYRILLIC), ("", _LATIN)):
+        for script, syllables in SYLLABLES.items():
             listed = F.array(*(F.lit(s) for s in syllables.split()))
-            word = F.initcap(F.concat(*(F.get(listed, F.pmod(_draw(p["stream"], F.lit(i)), F.lit(len(syllables.split())))) for i in range(4))))
-            made = F.coalesce(made, F.when(F.rlike(p["word"], F.lit(script)), word))
+            word = F.initcap(F.concat(*(F.get(listed, F.pmod(_draw(p["stream"], i * 4 + j), F.lit(len(syllables.split())))) for j in range(4))))
+            made = F.coalesce(made, F.when(F.rlike(piece, F.lit(script)), word))
+        made = F.when(F.length(piece) == 1, F.substr(made, F.lit(1), F.lit(1))).otherwise(made)
+        return F.when(F.rlike(piece, F.lit(r"^\p{L}")), made).otherwise(piece)
+
+    def part(p: Column) -> Column:
+        made = F.array_join(F.transform(F.split(p["word"], r"(?=['’-])|(?<=['’-])"), lambda piece, i: made_up(p, piece, i)), "")
         for names in GIVEN.values():
             order = sorted(names.split(), key=lambda x: hashlib.sha256(f"{key}\x1f{x}".encode()).digest())
             listed, n = F.array(*(F.lit(x) for x in order)), len(order)
-            place = F.array_position(listed, p["word"]).cast("int")
+            place = F.array_position(listed, F.initcap(p["word"])).cast("int")
             made = F.when(place > 0, F.get(listed, F.pmod(place + F.pmod(attempt, F.lit(n - 1)), F.lit(n)))).otherwise(made)
-        return F.when(F.rlike(p["word"], F.lit(r"^\p{Ll}")), p["word"]).otherwise(made)
+        return F.struct(p["word"].alias("word"), made.alias("made"))
+
+    cased = lambda p: F.when(F.rlike(p["word"], F.lit(r"^\p{Ll}")), p["word"]).otherwise(_like(p["word"], p["made"]))
+    seeded = F.transform(F.split(core, " "), lambda w: F.struct(w.alias("word"), _stream(key, F.lit("name"), F.initcap(w), attempt).alias("stream")))
+    return F.array_join(F.transform(F.transform(seeded, part), cased), " ")
+
 
-    seeded = F.transform(F.split(core, " "), lambda w: F.struct(w.alias("word"), _stream(key, F.lit("name"), w, attempt).alias("stream")))
-    return F.array_join(F.transform(seeded, part), " ")
+def _like(word: Column, made: Column) -> Column:
+    """``made`` in capitals throughout if ``word`` is."""
+    return F.when(F.rlike(word, F.lit(r"^[\p{Lu}'’-]{2,}$")), F.upper(made)).otherwise(made)
 
 
 def _surrogate(kind: Column, core: Column, attempt: Column, stream: Column, key: str) -> Column:
@@ -222,19 +246,20 @@ def retried(found: DataFrame, key: str) -> DataFrame:
 def _mentions(gap: Column, known: Column) -> Column:
     """Text between entities, with parts of the document's own names replaced by the surrogates of those parts.
 
-    ``known`` is a map from parts to surrogates; null or empty leaves the text alone.
+    ``known`` is a map from parts to surrogates; null or empty leaves the text alone. A part is found in
+    other capitals too, if it begins with one.
     """
     words = F.array_join(F.map_keys(known), "|")
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), words, F.lit(r")(?![\p{L}\p{N}_])"))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?=\p{Lu})(?iu:"), words, F.lit(r")(?![\p{L}\p{N}_])"))
     hits = F.regexp_extract_all(gap, pattern, F.lit(0))
-    swapped = F.array_join(F.zip_with(F.split(gap, pattern, -1), hits, lambda g, h: F.concat(g, F.coalesce(F.element_at(known, h), F.lit("")))), "")
+    swapped = F.array_join(F.zip_with(F.split(gap, pattern, -1), hits, lambda g, h: F.concat(g, F.coalesce(_like(h, F.element_at(known, F.initcap(h))), h, F.lit("")))), "")
     return F.when(F.coalesce(F.size(known), F.lit(0)) > 0, swapped).otherwise(gap)
 
 
 def _parts_of_names(tried: Column, key: str) -> Column:
     """Map from the words of the names found in a document to their surrogates; of two attempts the first counts."""
     named = F.filter(tried, lambda e: e["kind"] == "name")
-    words = F.flatten(F.transform(named, lambda e: F.transform(F.filter(F.split(e["core"], " "), lambda w: F.rlike(w, F.lit(r"^\p{Lu}[\p{L}'’-]{2,}$"))), lambda w: F.struct(w.alias("word"), e["attempt"].alias("attempt")))))
+    words = F.flatten(F.transform(named, lambda e: F.transform(F.filter(F.split(e["core"], " "), lambda w: F.rlike(w, F.lit(r"^\p{Lu}[\p{L}'’-]{2,}$"))), lambda w: F.struct(F.initcap(w).alias("word"), e["attempt"].alias("attempt")))))
     first = F.filter(words, lambda w, i: F.array_position(F.transform(words, lambda x: x["word"]), w["word"]) == i + 1)
     return F.map_from_entries(F.transform(first, lambda w: F.struct(w["word"].alias("key"), _name(w["word"], w["attempt"], key).alias("value"))))
 
@@ -244,8 +269,10 @@ def replace_entities(docs: DataFrame, key: str, column: str = "text") -> DataFra
 
     Where a name was found, its parts are replaced wherever else they stand in that document. Null texts
     stay null with 0 entities; texts without entities stay as they are, byte for byte.
-    Repeated rows and ties are treated alike. Rows aren't shuffled, unless some surrogates clash: then
-    documents are joined by a hash of their text with the attempts of their clashing entities.
+    Repeated rows and ties are treated alike. Rows aren't shuffled, unless many surrogates clash: documents are joined by
+    a hash of their text with the attempts of their clashing entities, a table that is written first, so
+    Spark broadcasts it if its files are under ``spark.sql.autoBroadcastJoinThreshold``. The result may be
+    used in Python functions.
     Columns named ``entities`` are replaced; names that begin with ``surrogate_`` are the operator's own.
     """
     text = F.col(column)
@@ -255,7 +282,7 @@ def replace_entities(docs: DataFrame, key: str, column: str = "text") -> DataFra
         found = docs.where(has_entity(text)).select(F.sha2(text, 256).alias("hash"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).alias("found")).distinct()
         named = found.select("hash", F.explode(parts(F.array("found"))).alias("p")).select("hash", "p.kind", canonical(F.col("p.kind"), F.col("p.core")).alias("core")).distinct()
         of_text = named.join(odd, ["kind", "core"]).groupBy(F.col("hash").alias("surrogate_hash_")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "core"), "attempt"))).alias("surrogate_tries_"))
-        docs = docs.join(of_text, F.sha2(text, 256) == F.col("surrogate_hash_"), "left").drop("surrogate_hash_")
+        docs = docs.join(materialise(of_text, "clashes"), F.sha2(text, 256) == F.col("surrogate_hash_"), "left").drop("surrogate_hash_")
         tries = F.col("surrogate_tries_")
 
     attempt = lambda e: F.coalesce(F.element_at(tries, F.concat_ws("\x1f", e["kind"], canonical(e["kind"], e["core"]))), F.lit(0))
@@ -268,6 +295,7 @@ def replace_entities(docs: DataFrame, key: str, column: str = "text") -> DataFra
     # One step after the other, so that the patterns run over a text once for its entities and once for what is between.
     tried = F.transform(parts(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), lambda e: F.struct(e["head"].alias("head"), e["kind"].alias("kind"), e["core"].alias("core"), attempt(e).alias("attempt")))
     whole = F.transform(F.array(F.struct(tried.alias("tried"), F.split(text, ANY, -1).alias("gaps"))), rebuilt)[0]
-    out = docs.withColumn("surrogate_new_", F.when(has_entity(text), whole))
+    # Exploding an array of one keeps the expression out of later functions' arguments, where Spark can't plan it.
+    out = docs.select("*", F.explode(F.array(F.when(has_entity(text), whole))).alias("surrogate_new_"))
     out = out.withColumns({"entities": F.coalesce("surrogate_new_.entities", F.lit(0)).cast("long"), column: F.coalesce("surrogate_new_.text", text)})
     return out.drop("surrogate_tries_", "surrogate_new_")
