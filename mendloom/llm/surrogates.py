@@ -73,7 +73,8 @@ PATTERNS = {
     "phone": rf"(?=[+(0-9])(?<![\w.])(?:{'|'.join(_PHONES)})",
     "name": f"{_TITLED}|{_LISTED}|{_SALUTED}|{_CUED}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Only a secret begins inside an ASCII word, so there the other patterns aren't tried.
+ANY = rf"(?<![A-Za-z])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})|{PATTERNS['secret']}"
 _HEADS = {"secret": rf"^(?:{_SECRET}|sk[_-](?:[a-z]{{1,12}}[_-]){{0,2}}|eyJ)", "phone": rf"^(?:(?:\+|00)(?:{COUNTRIES})[ .-]?|\(?0)", "name": rf"^(?:(?:(?:{TITLES})\.? ){{1,3}}|(?:{_SALUTES}) |{_CUES})"}
 
 

@@ -721,6 +721,14 @@ def test_surrogates_of_a_corpus_are_distinct_and_leak_nothing(spark):
     assert surrogates.replace_entities(docs(spark, "a@b.org").limit(0), "k").count() == 0
 
 
+def test_entities_inside_words_are_secrets_alone(spark):
+    plainly = "|".join(f"(?:{p})" for p in surrogates.PATTERNS.values())
+    texts = [*ODD, "1John Smith xJohn Smith éJohn Smith, mypassword=abc12345", "xMr Smith éMr Smith _Mr Smith 7Mr Smith", "госпожа Анна Иванова, xгоспожа Анна Петрова", "xjohn@x.com éjohn@x.com _a@b.de", "x192.168.1.1 é192.168.1.1 a+49 30 123456", "eDE89 3704 0044 0532 0130 00 b4111 1111 1111 1111", "Xsecret: \"hunter22\" xregards, John Smith"]
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    rows = docs(spark, *texts).select(found(plainly).alias("plainly"), found(surrogates.ANY).alias("gated")).collect()
+    assert [r.gated for r in rows] == [r.plainly for r in rows] and sum(len(r.gated or []) for r in rows) >= 8
+
+
 # 8
 
 
