@@ -10,7 +10,7 @@ from mendloom.operators import evaluation, rewards, selection, transcripts
 from mendloom.plans import derive
 from mendloom.plans.derive import by_modulus, say, table
 from mendloom.plans.registry import query
-from mendloom.sources import io
+from mendloom.sources import folders, io
 from mendloom.sources.scratch import scratch
 
 DOC, EVT = "documents", "events"
@@ -111,12 +111,10 @@ def _history(spark, d) -> DataFrame:
 
 @query("s6_history_folders", "SELECT conv_id AS dir, max(role) FILTER (turn = 1) AS diff, max(role) FILTER (turn = 3) AS tools FROM conversations GROUP BY 1 HAVING count(DISTINCT turn) FILTER (turn < 4) = 4")
 def _(spark, d):
-    at = scratch(spark, "history")
-    _history(spark, d).select("dir", "name", "value").repartition("dir").write.partitionBy("dir", "name").text(at)
-    # One writer a folder: its files lie under dir=<dir>/name=<file>.
-    read = spark.read.text(f"{at}/*/*", wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -3).alias("dir"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("name"), F.regexp_replace("value", r"\n\z", "").alias("value"))
-    named = read.select(F.substring_index("dir", "=", -1).cast("long").alias("dir"), F.substring_index("name", "=", -1).alias("name"), "value")
-    return io.complete_history(named).select("dir", "diff", "tools")
+    at, wide = scratch(spark, "history"), F.coalesce(F.col("dir").cast("string"), F.lit("none")).alias("dir")
+    folders.write_files(_history(spark, d).where("name is not null").groupBy(wide, "name").agg(F.max("value").alias("value")), at, ["value"])
+    bare = lambda c: F.regexp_replace(c, r"\n\z", "").alias(c)
+    return io.history(spark, at).select(F.expr("try_cast(dir AS long)").alias("dir"), bare("diff"), bare("tools"))
 
 
 @query("s7_json_documents", "SELECT DISTINCT conv_id AS dir, concat('m', conv_id % 3) AS model FROM conversations WHERE turn = 0 AND conv_id % 9 <> 0")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendloom.operators.selection import numbered, with_fallback
+from mendloom.sources.folders import history_values
 
 
 def scan_split(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,8 +79,7 @@ def complete_history(files: DataFrame) -> DataFrame:
 
 def history(spark: SparkSession, root: str, most_bytes: int = 64 << 20) -> DataFrame:
     """The complete rollout folders under ``root``. A file is a value, so a folder with one over ``most_bytes`` is incomplete: see ``oversized``."""
-    files = spark.read.text(f"{root}/*/*", wholetext=True).where(F.col("_metadata.file_size") <= most_bytes).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("dir"), F.col("_metadata.file_name").alias("name"), "value")
-    return complete_history(files)
+    return history_values(spark, root, most_bytes=most_bytes).drop("log_bytes").dropna()
 
 
 def oversized(spark: SparkSession, root: str, most_bytes: int = 64 << 20) -> DataFrame:

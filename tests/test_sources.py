@@ -72,3 +72,33 @@ def test_versions_keep_their_order(spark, tmp_path, as_json):
         io.read_version(spark, root, "nothing", schema)
     io.write_version(rows.where("false"), root, "empty", "1", ["k"], as_json)
     assert io.read_version(spark, root, "empty", schema, as_json=as_json).count() == 0
+
+
+def test_thousands_of_history_folders_take_seconds(spark, tmp_path):
+    import time
+
+    from mendloom.plans import registry
+
+    turns = spark.range(12_000).selectExpr("id div 4 AS conv_id", "id % 4 AS turn", "concat('r', id) AS role", "'t' AS text")
+    turns.where("conv_id % 10 <> 3 or turn <> 2").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.time()
+    got = registry.queries()["s6_history_folders"](spark, str(tmp_path)).collect()
+    assert time.time() - began < 40
+    assert sorted((r.dir, r.diff, r.tools) for r in got) == [(c, f"r{4 * c + 1}", f"r{4 * c + 3}") for c in range(3000) if c % 10 != 3]
+
+
+def test_files_of_several_lines_and_odd_folders(spark, tmp_path):
+    from mendloom.sources import folders
+
+    rows = spark.range(300).selectExpr("concat('d', id % 3) AS dir", "if(id % 2 = 0, 'messages.jsonl', 'diff.txt') AS name", "id AS nth", "if(id = 4, null, concat('é', id)) AS value")
+    folders.write_files(rows, f"file://{tmp_path}/h", ["nth"])
+    (tmp_path / "h" / ".hidden").mkdir()
+    (tmp_path / "h" / "empty").mkdir()
+    got = {r.dir: r for r in folders.history_values(spark, f"file://{tmp_path}/h", F.col("dir") != "d2", 500, 400).collect()}
+    text = lambda d, odd: "".join(("" if i == 4 else f"é{i}") + "\n" for i in range(300) if i % 3 == d and i % 2 == odd)
+    assert set(got) == {"d0", "d1", "empty"} and got["d0"].diff == text(0, 1) and got["empty"].log_bytes is None
+    assert [got["d1"].messages, got["d1"].log_bytes] == [text(1, 0) if len(text(1, 0).encode()) <= 400 else None, len(text(1, 0).encode())]
+    assert sorted(p.name for p in (tmp_path / "h" / "d0").iterdir()) == ["diff.txt", "messages.jsonl"]
+    for bad in ("a/b", "..", None):
+        with pytest.raises(Exception, match="names no file"):
+            folders.write_files(rows.withColumn("dir", F.lit(bad).cast("string")), f"file://{tmp_path}/bad", ["nth"])
