@@ -15,7 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from mendloom.functions.text import col
 from mendloom.schemas import TASK
+from mendloom.sources.folders import spread
 
+FUNCTIONS, ENDS, LEAVES = (ast.FunctionDef, ast.AsyncFunctionDef), (ast.Name, ast.Constant), (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
 #: Words that mark SQL, boilerplate and sections.
 SQL_WORDS = ("SELECT", "FROM", "WHERE", "JOIN", "GROUP BY", "ORDER BY", "HAVING", "UNION", "INSERT", "UPDATE", "DELETE", "CREATE TABLE")
 BOILERPLATE = ("# noqa", ":rtype:", "Gets the", "Sets the")
@@ -52,13 +54,16 @@ def functions_of(tree: ast.AST) -> list[_Function]:
         node, owner = queue.popleft()
         nth += 1
         if owner is not None:
-            owner.names.update(_assigned(node))
-            if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            if isinstance(node, ast.stmt):
+                owner.names.update(_assigned(node))
+            elif isinstance(node, ast.Constant) and isinstance(node.value, str):
                 owner.literals.append((nth, node.value))
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+        if isinstance(node, ENDS):
+            continue
+        if isinstance(node, FUNCTIONS):
             owner = _Function(node, owner)
             found.append(owner)
-        queue.extend((child, owner) for child in ast.iter_child_nodes(node))
+        queue.extend((child, owner) for child in ast.iter_child_nodes(node) if not isinstance(child, LEAVES))
     for f in reversed(found):
         if f.outer is not None:
             f.outer.names |= f.names
@@ -88,11 +93,15 @@ def documented(content: str) -> Iterator[tuple]:
         yield node.name, docstring, start, end, "\n".join(rows[start - 1 : end]), "\n".join(masked).removesuffix("\n"), len(node.body), variables, control, decorated, isinstance(node, ast.AsyncFunctionDef), [v for _, v in sorted(f.literals, key=lambda x: x[0])]
 
 
-def mine(files: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:
-    """One row per documented function of each file; a null file has none."""
-    read = files.select(key, content)
-    schema = T.StructType([read.schema[key], *T._parse_datatype_string(TASK).fields])
+def mine(files: DataFrame, key: str = "file_id", content: str = "content", whole: bool = False) -> DataFrame:
+    """One row per documented function of each file, with the ``whole`` content last if asked for; a null file has none.
+
+    Files are dealt to all tasks first: parsing costs far more than reading, and a table of many files may be one Parquet row group.
+    """
+    read = spread(files.select(key, content))
+    schema = T.StructType([read.schema[key], *T._parse_datatype_string(TASK).fields, *([read.schema[content]] if whole else [])])
     shape = to_arrow_schema(schema)
+    n_task = len(shape) - 1 - whole
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +110,9 @@ def mine(files: DataFrame, key: str = "file_id", content: str = "content") -> Da
                 own = list(documented(text.as_py() or ""))
                 found += own
                 place += [i] * len(own)
-            columns = list(zip(*found, strict=True)) or [()] * (len(shape) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), *(pa.array(c, f.type) for c, f in zip(columns, list(shape)[1:], strict=True))], names=shape.names)
+            columns = list(zip(*found, strict=True)) or [()] * n_task
+            taken = [c.take(pa.array(place, pa.int64())) for c in batch.columns[: 1 + whole]]
+            yield pa.RecordBatch.from_arrays([taken[0], *(pa.array(c, f.type) for c, f in zip(columns, list(shape)[1 : 1 + n_task], strict=True)), *taken[1:]], names=shape.names)
 
     return read.mapInArrow(emit, schema)
 

@@ -23,7 +23,7 @@ def _(spark, d):
 @query("g2_stack_dataset", "SELECT p_partkey AS file_id, true AS has_answer, 'user' AS last_role FROM part WHERE p_partkey % 5 = 0")
 def _(spark, d):
     files = derive.source_files(table(spark, d, "part"))
-    tasks = pipelines.docstring_tasks(files).join(files, "file_id")
+    tasks = pipelines.docstring_tasks(files, whole=True)
     return pipelines.stack_dataset(tasks, "file_id").select("file_id", F.contains("answer", F.lit("SEARCH")).alias("has_answer"), F.element_at("prompt", -1)["role"].alias("last_role"))
 
 

@@ -12,9 +12,9 @@ from mendloom.operators import mining, rewards, selection
 from mendloom.sources import io
 
 
-def docstring_tasks(files: DataFrame, least: int = 50, most_vars: int = 15) -> DataFrame:
-    """Functions of good docstring and code, with a masked file each."""
-    return mining.mine(files).where(mining.good_docstring(least) & mining.code_reject(most_vars).isNull())
+def docstring_tasks(files: DataFrame, least: int = 50, most_vars: int = 15, whole: bool = False) -> DataFrame:
+    """Functions of good docstring and code, with a masked file each, and the ``whole`` file if asked for."""
+    return mining.mine(files, whole=whole).where(mining.good_docstring(least) & mining.code_reject(most_vars).isNull())
 
 
 def repair_dataset(pairs: DataFrame, key: str, most: int = 2048, context: int = 0, system: str = prompts.REPAIR_SYSTEM, seed: int = 42) -> DataFrame:
