@@ -9,6 +9,7 @@ from mendloom.plans import registry
 NAMES = [
     "g2_stack_dataset",
     "a8_common_names",
+    "t1_mine_forms",
 ]
 
 
