@@ -10,6 +10,7 @@ NAMES = [
     "g2_stack_dataset",
     "a8_common_names",
     "t1_mine_forms",
+    "f10_docstring_quality",
 ]
 
 
