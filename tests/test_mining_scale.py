@@ -11,6 +11,7 @@ NAMES = [
     "a8_common_names",
     "t1_mine_forms",
     "f10_docstring_quality",
+    "g1_docstring_tasks",
 ]
 
 
