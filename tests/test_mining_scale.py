@@ -12,6 +12,7 @@ NAMES = [
     "t1_mine_forms",
     "f10_docstring_quality",
     "g1_docstring_tasks",
+    "a7_task_statistics",
 ]
 
 
