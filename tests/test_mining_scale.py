@@ -13,6 +13,7 @@ NAMES = [
     "f10_docstring_quality",
     "g1_docstring_tasks",
     "a7_task_statistics",
+    "a9_quality_funnel",
 ]
 
 
