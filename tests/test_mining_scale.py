@@ -14,6 +14,7 @@ NAMES = [
     "g1_docstring_tasks",
     "a7_task_statistics",
     "a9_quality_funnel",
+    "t1_mine_functions",
 ]
 
 
