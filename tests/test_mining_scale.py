@@ -15,6 +15,7 @@ NAMES = [
     "a7_task_statistics",
     "a9_quality_funnel",
     "t1_mine_functions",
+    "f11_code_quality",
 ]
 
 
