@@ -10,6 +10,7 @@ from mendloom.operators import metrics, rewards, selection
 from mendloom.plans import derive, pipelines
 from mendloom.plans.derive import say, table
 from mendloom.plans.registry import query
+from mendloom.sources import folders
 from mendloom.sources.scratch import scratch
 
 DOC, EVT = "documents", "events"
@@ -100,8 +101,8 @@ def _folders(events: DataFrame) -> DataFrame:
 @query("g10_recovery", _RECOVERED)
 def _(spark, d):
     events = table(spark, d, EVT)
-    folders, latest = _folders(events), events.agg(F.max("ts").alias("as_of"))
-    made = pipelines.recover(folders.crossJoin(F.broadcast(latest)), F.col("as_of"), 240, "m1")
+    found, latest = _folders(events), events.agg(F.max("ts").alias("as_of"))
+    made = pipelines.recover(found.crossJoin(F.broadcast(latest)), F.col("as_of"), 240, "m1")
     return made.select(F.substring_index("dir", "-", -1).cast("long").alias("event_id"), F.size("messages").alias("messages"), "reward", "problem_statement")
 
 
@@ -116,8 +117,8 @@ def _(spark, d):
     rest = {"metadata.json": say('{"model":"m', (k % 2).cast("string"), '"}'), "diff.txt": F.when(k % 3 == 0, " ").otherwise("d"), "tools.json": F.lit("[]")}
     small = turns.select("conv_id").distinct().select(dir_, F.explode(F.create_map(*(x for n, v in rest.items() for x in (F.lit(n), v)))).alias("name", "value"))
     made = log.unionByName(small.withColumn("turn", F.lit(0).cast("long")))
-    made.repartition("dir").sortWithinPartitions("dir", "name", "turn").select("dir", "name", "value").write.partitionBy("dir", "name").text(at)
-    got = pipelines.recover_from(spark, at, F.lit("2025-01-05 04:00:00").cast("timestamp"), 50, "m1", parts=True)
+    folders.write_files(made.where("dir is not null"), at, ["turn"])
+    got = pipelines.recover_from(spark, at, F.lit("2025-01-05 04:00:00").cast("timestamp"), 50, "m1")
     return got.select(F.substring_index("dir", "-", -1).cast("long").alias("conv_id"), F.size("messages").cast("long").alias("messages"), "problem_statement")
 
 

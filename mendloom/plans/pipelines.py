@@ -76,10 +76,7 @@ def recover(folders: DataFrame, as_of: Column, hours: int, model: str) -> DataFr
     Messages are the lines before the first bad one; folders with broken JSON, blank diffs or no messages drop out.
     """
     kept = _of_model(folders.where(selection.recent(F.col("dir"), as_of, hours)), model)
-    each = F.filter(F.split("messages", "\n"), lambda s: F.rlike(s, F.lit(r"\S")))
-    bad = F.array_position(F.transform(each, lambda s: F.try_parse_json(s).isNull()), True)
-    parsed = F.transform(F.when(bad > 0, F.slice(each, F.lit(1), (bad - 1).cast("int"))).otherwise(each), lambda s: F.from_json(s, "struct<role: string, content: string>"))
-    return _recovered(kept.withColumn("messages", parsed))
+    return _recovered(kept.withColumn("messages", io.log_messages("messages")))
 
 
 def _of_model(folders: DataFrame, model: str) -> DataFrame:

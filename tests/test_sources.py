@@ -102,3 +102,28 @@ def test_files_of_several_lines_and_odd_folders(spark, tmp_path):
     for bad in ("a/b", "..", None):
         with pytest.raises(Exception, match="names no file"):
             folders.write_files(rows.withColumn("dir", F.lit(bad).cast("string")), f"file://{tmp_path}/bad", ["nth"])
+
+
+def test_thousands_of_folders_are_recovered_in_seconds(spark, tmp_path):
+    import time
+
+    from mendloom.plans import registry
+
+    turns = spark.range(12_000).selectExpr("id div 4 AS conv_id", "id % 4 AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t\\n', id) AS text")
+    turns.unionByName(turns.limit(1).withColumn("conv_id", F.lit(None).cast("long"))).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.time()
+    got = registry.queries()["g10_recovery_from_disk"](spark, str(tmp_path)).collect()
+    assert time.time() - began < 40
+    want = [(c, 2 if c % 5 == 0 else 4, f"t\n{4 * c}") for c in range(3000) if c % 100 > 50 and c % 3 and c % 2]
+    assert sorted((r.conv_id, r.messages, r.problem_statement) for r in got) == want
+
+
+def test_large_and_small_logs_give_the_same(spark, tmp_path):
+    for i in range(12):
+        said = [json.dumps({"role": "user", "content": f"é{i} {n}"}) for n in range(1 + 40 * (i % 3))]
+        folder(tmp_path, f"d{i}", ("\r\n" if i % 2 else "\n").join([*said, "", *(["{bad", said[0]] if i % 4 == 0 else [])]), leave_out=["diff.txt"] if i == 7 else ["messages.jsonl"] if i == 8 else ())
+    folder(tmp_path, "bad", "{bad\n")
+    folder(tmp_path, "nothing", "")
+    got = [sorted((r.dir, [m.content for m in r.messages]) for r in io.history_folders(spark, f"file://{tmp_path}", F.col("dir") != "d1", most_log=most).collect()) for most in (8 << 20, 500, 0)]
+    assert got[0] == got[1] == got[2] and [d for d, _ in got[0]] == sorted(f"d{i}" for i in range(12) if i not in (1, 7, 8))
+    assert dict(got[0])["d2"] == [f"é2 {n}" for n in range(81)]
