@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendloom.functions.text import FAILED, LIST_COMMAND, PATH_TOKEN, PRECISE_READ, READ_COMMAND, SEARCH_COMMAND, SEARCH_SCOPE, col, path_tokens, strip
+from mendloom.functions.text import FAILED, LIST_COMMAND, PATH_TOKEN, PRECISE_READ, READ_COMMAND, SEARCH_COMMAND, SEARCH_SCOPE, col, once, path_tokens, strip
 
 #: The two tags of tool calls and their responses.
 CALL = r"<tool_call>\s*(\{[\s\S]*?\})\s*</tool_call>"
@@ -26,8 +26,8 @@ def spans(x: Column | str, pattern: str) -> Column:
 def command(json: Column) -> Column:
     """Stripped command of a call's JSON; null if it is missing, blank or no string."""
     parsed = F.try_variant_get(F.try_parse_json(json), "$.arguments.cmd", "variant")
-    text = F.when(F.schema_of_variant(parsed) == "STRING", strip(F.try_variant_get(parsed, "$", "string")))
-    return F.when(text != "", text)
+    text = lambda p: F.when(F.schema_of_variant(p) == "STRING", strip(F.try_variant_get(p, "$", "string")))
+    return once(once(parsed, text), lambda t: F.when(t != "", t))
 
 
 def triples(x: Column | str) -> Column:
@@ -51,10 +51,14 @@ def calls(df: DataFrame, key: str, completion: str = "completion") -> DataFrame:
 
 
 def matches(df: DataFrame, key: str, completion: str, pattern: str, kind: str) -> DataFrame:
-    """(key, kind, start, end, body): a row per match, offsets by running sums in the order of matches."""
+    """(key, kind, start, end, body): a row per match, offsets by running sums in the order of matches.
+
+    Tags of ``pattern`` are <tool_``kind``>; a body is what stands between them without white space, so it isn't searched for again.
+    """
     x = F.coalesce(F.col(completion), F.lit(""))
-    both = F.arrays_zip(F.split(x, pattern, -1).alias("gap"), F.regexp_extract_all(x, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(x, F.lit(pattern), F.lit(1)).alias("body"))
-    found = df.select(key, F.posexplode(both).alias("nth", "m")).select(key, "nth", F.length("m.gap").alias("gap"), F.length("m.whole").alias("size"), F.col("m.body").alias("body"))
+    both = F.arrays_zip(F.split(x, pattern, -1).alias("gap"), F.regexp_extract_all(x, F.lit(pattern), F.lit(0)).alias("whole"))
+    inner = F.substr("m.whole", F.lit(len(kind) + 8), F.length("m.whole") - (2 * len(kind) + 15))
+    found = df.select(key, F.posexplode(both).alias("nth", "m")).select(key, "nth", F.length("m.gap").alias("gap"), F.length("m.whole").alias("size"), F.btrim(inner, F.lit(" \t\n\x0b\f\r")).alias("body"))
     order = Window.partitionBy(key).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("gap").over(order) + F.sum("size").over(order)
     return found.where("size is not null").select(key, F.lit(kind).alias("kind"), (end - F.col("size")).alias("start"), end.alias("end"), "body")

@@ -178,3 +178,16 @@ def test_tokens_of_a_file(spark):
 
     got = spark.createDataFrame([("hello world",), (None,)], "x string").select(id_counter(spark, tokens.path("byte_bpe_50k.json"))(F.col("x")).alias("n")).collect()
     assert sorted(r.n for r in got) == [0, 2]
+
+
+def test_bodies_between_tags_are_those_of_the_pattern(spark):
+    from mendloom.operators import transcripts
+
+    pieces = ["<tool_call>", "</tool_call>", "<tool_response>", "</tool_response>", "{", "}", " ", " ", "\x0b\n", "é", '{"arguments":{"cmd":" ls "}}']
+    texts = [(i, "".join(pieces[(i * 7919 * (n + 3) + n * n * (i % 13)) % 11] for n in range(60))) for i in range(400)]
+    texts += [(400, "<tool_response>\t \n</tool_response><tool_call> \r\n{ a } \x0c</tool_call>"), (401, None)]
+    df = spark.createDataFrame(texts, "k long, completion string")
+    for kind, pattern in (("call", transcripts.CALL), ("response", transcripts.RESPONSE)):
+        got = sorted((r.k, r.start, r.end, r.body) for r in transcripts.matches(df, "k", "completion", pattern, kind).collect())
+        want = sorted((r.k, r.s.start, r.s.end, r.s.body) for r in df.select("k", F.explode(transcripts.spans("completion", pattern)).alias("s")).collect())
+        assert got == want and len(got) > 10
