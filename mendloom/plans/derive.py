@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mendloom.sources.folders import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -95,7 +97,9 @@ def transcripts(events: DataFrame) -> DataFrame:
     out = F.create_map(*(F.lit(x) for k, (_, r) in COMMANDS.items() for x in (k, r)))[F.col("event_type")]
     turn = say("<tool_call>\n", F.to_json(F.struct(F.lit("shell").alias("name"), F.struct(cmd.alias("cmd")).alias("arguments"))), "\n</tool_call>\n<tool_response>\n", out, "\n</tool_response>\n")
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", turn.alias("turn"))))
-    return events.groupBy(session().alias("session")).agg(F.array_join(F.transform(ordered, lambda t: t["turn"]), "").alias("completion"))
+    # Events are small and their texts large, so partitions aren't left to be merged by the bytes of events.
+    dealt = spread(events.select("ts", "event_id", "event_type", session().alias("session")), "session")
+    return dealt.groupBy("session").agg(F.array_join(F.transform(ordered, lambda t: t["turn"]), "").alias("completion"))
 
 
 #: SQL of the same calls, straight from the events.

@@ -16,13 +16,13 @@ HISTORY = {"metadata": "metadata.json", "diff": "diff.txt", "messages": "message
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` in as many partitions as shuffles have and cores there are at least: rows that are small but dear to work on.
+def spread(df: DataFrame, *by: Column | str) -> DataFrame:
+    """``df`` in as many partitions as shuffles have, four a core at least: for rows that are small but dear to work on, or grow.
 
     Their number is given, since adaptive execution would merge small partitions into few by their bytes.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *by)
 
 

@@ -180,6 +180,16 @@ def test_tokens_of_a_file(spark):
     assert sorted(r.n for r in got) == [0, 2]
 
 
+def test_small_events_of_large_texts_are_dealt_to_many_tasks(spark, tmp_path):
+    from mendloom.plans import derive, registry
+
+    rows = spark.range(700).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id % 5 AS user_id", "'view' AS event_type")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert derive.transcripts(spark.read.parquet(f"{tmp_path}/events.parquet")).rdd.getNumPartitions() >= 16
+    for name in ("q9_terminal_habits", "q10_exploration_depth"):
+        assert registry.queries()[name](spark, str(tmp_path)).count() == 35
+
+
 def test_bodies_between_tags_are_those_of_the_pattern(spark):
     from mendloom.operators import transcripts
 
