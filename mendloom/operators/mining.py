@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,9 @@ from mendloom.functions.text import col
 from mendloom.schemas import TASK
 from mendloom.sources.folders import spread
 
-FUNCTIONS, ENDS, LEAVES = (ast.FunctionDef, ast.AsyncFunctionDef), (ast.Name, ast.Constant), (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
+FUNCTIONS, ASSIGNING = (ast.FunctionDef, ast.AsyncFunctionDef), (ast.Assign, ast.AnnAssign, ast.For, ast.With)
+#: Values in a syntax tree that add nothing and have nothing below them, or names alone.
+LEAVES = {type(None), str, int, ast.Name, *(k for base in (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop) for k in base.__subclasses__())}
 #: Words that mark SQL, boilerplate and sections.
 SQL_WORDS = ("SELECT", "FROM", "WHERE", "JOIN", "GROUP BY", "ORDER BY", "HAVING", "UNION", "INSERT", "UPDATE", "DELETE", "CREATE TABLE")
 BOILERPLATE = ("# noqa", ":rtype:", "Gets the", "Sets the")
@@ -49,21 +50,26 @@ class _Function:
 def functions_of(tree: ast.AST) -> list[_Function]:
     """All functions of a syntax tree, outer before inner: each node is seen once, and what it adds goes from inner to outer functions."""
     found: list[_Function] = []
-    queue, nth = deque([(tree, None)]), 0
-    while queue:
-        node, owner = queue.popleft()
-        nth += 1
-        if owner is not None:
-            if isinstance(node, ast.stmt):
+    level, nth = [(tree, None)], 0
+    while level:
+        below = []
+        for node, owner in level:
+            if owner is not None and isinstance(node, ASSIGNING):
                 owner.names.update(_assigned(node))
-            elif isinstance(node, ast.Constant) and isinstance(node.value, str):
-                owner.literals.append((nth, node.value))
-        if isinstance(node, ENDS):
-            continue
-        if isinstance(node, FUNCTIONS):
-            owner = _Function(node, owner)
-            found.append(owner)
-        queue.extend((child, owner) for child in ast.iter_child_nodes(node) if not isinstance(child, LEAVES))
+            if isinstance(node, FUNCTIONS):
+                owner = _Function(node, owner)
+                found.append(owner)
+            for name in node._fields:
+                value = getattr(node, name, None)
+                for child in value if type(value) is list else (value,):
+                    kind = type(child)
+                    if kind is ast.Constant:
+                        nth += 1
+                        if owner is not None and isinstance(child.value, str):
+                            owner.literals.append((nth, child.value))
+                    elif kind not in LEAVES and isinstance(child, ast.AST):
+                        below.append((child, owner))
+        level = below
     for f in reversed(found):
         if f.outer is not None:
             f.outer.names |= f.names
@@ -97,8 +103,9 @@ def mine(files: DataFrame, key: str = "file_id", content: str = "content", whole
     """One row per documented function of each file, with the ``whole`` content last if asked for; a null file has none.
 
     Files are dealt to all tasks first: parsing costs far more than reading, and a table of many files may be one Parquet row group.
+    They are dealt by their hash, since dealing in turn would sort all files that a task reads in its memory.
     """
-    read = spread(files.select(key, content))
+    read = spread(files.select(key, content), key, content)
     schema = T.StructType([read.schema[key], *T._parse_datatype_string(TASK).fields, *([read.schema[content]] if whole else [])])
     shape = to_arrow_schema(schema)
     n_task = len(shape) - 1 - whole
