@@ -29,6 +29,7 @@ def test_files_are_dealt_to_all_tasks_before_they_are_parsed(spark, tmp_path, na
 
 DEALT_BY_HASH = [
     "a8_common_names",
+    "t1_mine_forms",
 ]
 
 
