@@ -35,6 +35,7 @@ DEALT_BY_HASH = [
     "a7_task_statistics",
     "a9_quality_funnel",
     "t1_mine_functions",
+    "f11_code_quality",
 ]
 
 
